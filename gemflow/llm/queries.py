@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gemflow.llm import cooccurrence, mixing, neighbours, packing
+from gemflow.llm import cooccurrence, mixing, neighbours, packing, products
 from gemflow.session import read_table
 
 # --- 1: most similar vectors
@@ -24,6 +24,19 @@ def p1_every_fiftieth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select(F.col("query").alias("photo_id"), "neighbour", F.round("similarity", 6).alias("similarity"), "rank")
 
 
+# --- 4: listings of one product
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of pages that sell the same product."""
+    return products.pairs_of(products.group_listings(read_table(spark, sf_dir, "web_designs")))
+
+
+def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The product group of every page."""
+    return products.group_listings(read_table(spark, sf_dir, "web_designs"))
+
+
 # --- 5: items that appear together
 
 LEAST = {"results": 6, "favorites": 4}
@@ -97,6 +110,8 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p1_every_fiftieth": p1_every_fiftieth,
+    "p4_found": p4_found,
+    "p4_groups": p4_groups,
     "p5_found": p5_found,
     "p5_pairs": p5_pairs,
     "p8_found": p8_found,
