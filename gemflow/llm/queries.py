@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gemflow.llm import cooccurrence, mixing, neighbours, packing, products
+from gemflow.llm import cooccurrence, languages, mixing, neighbours, packing, products
 from gemflow.session import read_table
 
 # --- 1: most similar vectors
@@ -24,6 +24,20 @@ def p1_every_fiftieth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select(F.col("query").alias("photo_id"), "neighbour", F.round("similarity", 6).alias("similarity"), "rank")
 
 
+# --- 3: languages
+
+
+def p3_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages and segments, with confidence, of every search."""
+    searches = read_table(spark, sf_dir, "search_history")
+    return languages.identify(searches, languages.fit(searches, "query", "lang"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Searches whose languages are not exactly the label's, one row per language."""
+    return languages.mislabelled(p3_segments(spark, sf_dir))
+
+
 # --- 4: listings of one product
 
 
@@ -110,6 +124,8 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p1_every_fiftieth": p1_every_fiftieth,
+    "p3_found": p3_found,
+    "p3_segments": p3_segments,
     "p4_found": p4_found,
     "p4_groups": p4_groups,
     "p5_found": p5_found,
