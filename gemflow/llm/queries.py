@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gemflow.llm import cooccurrence, languages, mixing, neighbours, packing, products
+from gemflow.llm import cooccurrence, languages, mixing, neighbours, packing, products, quality
 from gemflow.session import read_table
 
 # --- 1: most similar vectors
@@ -121,6 +121,19 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shares.select("mix", "source", "share_pct", "source_size", "mixed_size", F.round("reached_pct", 3).alias("reached_pct"), "reachable")
 
 
+# --- 10: text quality
+
+
+def p10_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics, outlier score and kind of every document."""
+    return quality.text_kinds(read_table(spark, sf_dir, "documents"))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that are for the most part a list, a table or junk."""
+    return p10_statistics(spark, sf_dir).where("kind <> 'prose'").select("doc_id", "kind")
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_every_fiftieth": p1_every_fiftieth,
@@ -134,6 +147,8 @@ QUERIES = {
     "p8_fill": p8_fill,
     "p9_found": p9_found,
     "p9_shares": p9_shares,
+    "p10_found": p10_found,
+    "p10_statistics": p10_statistics,
 }
 
 SQL = {
