@@ -30,7 +30,7 @@ def running_sum(df: DataFrame, groups: Sequence[str], order: Sequence[str], valu
     stored = spark.read.parquet(path)
     amount = F.coalesce(F.col(value).cast("long"), F.lit(0))
     totals = stored.groupBy("_part", *groups).agg(F.sum(amount).alias("_total"))
-    before = Window.partitionBy(*groups).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*[F.col(g) for g in groups]).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.withColumn("_start", F.coalesce(F.sum("_total").over(before), F.lit(0))).drop("_total")
     starts = starts.select(F.col("_part").alias("_p"), *[F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)], "_start")
     inside = Window.partitionBy("_part", *groups).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
