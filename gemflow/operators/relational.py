@@ -71,7 +71,7 @@ def repair_ids(rows: DataFrame, catalogue: DataFrame, uid: str, code: str) -> Da
     """Add ``resolved``: the uid where the catalogue has it under that code, else the code's uid, else null. Codes must be unique."""
     byuid = catalogue.select(F.col(uid).alias("_u"), F.col(code).alias("_uc"))
     bycode = catalogue.where(F.col(code).isNotNull()).groupBy(F.col(code).alias("_c")).agg(F.min(uid).alias("_cu"))
-    joined = rows.join(byuid, F.col(uid) == F.col("_u"), "left").join(bycode, F.col(code) == F.col("_c"), "left")
+    joined = rows.join(byuid, rows[uid] == byuid["_u"], "left").join(bycode, F.col(code) == F.col("_c"), "left")
     right = F.col("_u").isNotNull() & (F.col("_uc").eqNullSafe(F.col(code)) | F.col(code).isNull() | (F.col(code) == ""))
     return joined.select(*rows.columns, F.when(right, F.col("_u")).otherwise(F.col("_cu")).alias("resolved"))
 

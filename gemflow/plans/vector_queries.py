@@ -135,7 +135,7 @@ def best_view(spark, sf_dir):
 
 def duplicate_families(spark, sf_dir):
     """JOIN-02, AGG-36: near-duplicate photos as classes, exactly, by cells instead of all pairs."""
-    return scoring.duplicate_classes(read_table(spark, sf_dir, "photo_query"), "photo_id", "vec", 0.995)
+    return scoring.duplicate_classes(read_table(spark, sf_dir, "photo_query"), "photo_id", "vec", 96, 0.995)
 
 
 def linear_probe(spark, sf_dir):

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -66,3 +68,16 @@ def materialise(df: DataFrame, label: str = "step") -> DataFrame:
 def cores_of(spark: SparkSession) -> int:
     """Task slots to spread Python-heavy work over, at least the shuffle partitions."""
     return max(int(spark.sparkContext.defaultParallelism), int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give this package to the session's Python workers, once per session, wherever the driver was started."""
+    if getattr(spark.sparkContext, "_gemflow_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="gemflow-code-")) / "gemflow.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted(root.rglob("*.py")):
+            out.write(file, Path(root.name) / file.relative_to(root))
+    spark.sparkContext.addPyFile(str(archive))
+    spark.sparkContext._gemflow_shipped = True
