@@ -396,10 +396,10 @@ def segment_histories(raw: DataFrame, strength: float = 3.0, tolerance: float =
     stated = F.when(F.col("unit").isNotNull(), F.col("logv"))
     quart = F.percentile_approx(stated, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 1000)
     levels = valued.groupBy("source", "quantity", "_code").agg(quart.alias("_q"), F.count(stated).alias("_n"))
-    everywhere = valued.groupBy("quantity", "_code").agg(quart.alias("_g"))
+    everywhere = valued.groupBy("quantity", "_code").agg(quart.alias("_g"), F.count(stated).alias("_m"))
     levels = levels.join(everywhere, ["quantity", "_code"])
-    # a source with few values takes the level of all sources
-    pick = F.when(F.col("_n") >= 12, F.col("_q")).otherwise(F.col("_g"))
+    # a source with few values takes the level of all sources; with few of those too, nothing is known
+    pick = F.when(F.col("_n") >= 12, F.col("_q")).when(F.col("_m") >= 12, F.col("_g"))
     levels = levels.select(
         F.col("source").alias("_s"), F.col("quantity").alias("_k"), F.col("_code").alias("_c"),
         pick[1].alias("level"), F.greatest((pick[2] - pick[0]) / 1.349, F.lit(0.2)).alias("spread"),
