@@ -80,7 +80,7 @@ def run(spark, df, schema, fn, tmp_path, name, mode="append"):
     path = str(tmp_path / name)
     df.coalesce(1).write.mode("append").parquet(path)
     out = fn(spark.readStream.schema(schema).parquet(path))
-    q = out.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", str(tmp_path / f"{name}_ck")).trigger(availableNow=True).start()
+    q = out.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", str(tmp_path / f"{name}_ck")).trigger(once=True).start()
     try:
         assert q.awaitTermination(60)
     finally:
