@@ -6,9 +6,9 @@ items in decreasing size, open containers ordered by the room left, each carryin
 sources and one of its duplicate clusters. The successor search starts at the tightest container with
 enough room and goes on until one is compatible; else a container is opened.
 
-Two documents of one duplicate cluster never share a container, nor do documents of two sources named
-as conflicting. A cluster with more copies than half the containers of its shard cannot keep that
-without wasting most of the room, so such a cluster counts as several, as few as possible.
+Documents of two sources named as conflicting never share a container, nor do two documents of one duplicate
+cluster. Only a cluster with more copies than half the containers of its shard, which cannot keep that without
+wasting most of the room, gives way: its copies share a container when no other has room for them.
 """
 
 from __future__ import annotations
@@ -24,11 +24,11 @@ from pyspark.sql import functions as F
 CONFLICTS = (("scrape_raw", "heritage_text"), ("scrape_raw", "press_note"))
 
 
-def best_fit(sizes: list[int], masks: list[int], avoid: list[int], clusters: list[int], capacity: int) -> list[int]:
+def best_fit(sizes: list[int], masks: list[int], avoid: list[int], clusters: list[int], capacity: int, soft: int = 0) -> list[int]:
     """Container number per item, for items in decreasing size.
 
     masks: the bit of an item's source; avoid: the bits of sources it may not meet; clusters: the bit of its
-    duplicate cluster (0: none).
+    duplicate cluster (0: none); soft: the bits of clusters that give way before a container is opened.
     """
     open_bins: list[tuple[int, int]] = []  # (room left, number), ascending
     sources: list[int] = []
@@ -41,6 +41,8 @@ def best_fit(sizes: list[int], masks: list[int], avoid: list[int], clusters: lis
             if not (sources[no] & bad) and not (dup[no] & cluster):
                 break
             at += 1
+        if at == len(open_bins) and cluster & soft:
+            at = next((k for k in range(bisect_left(open_bins, (size, -1)), at) if not sources[open_bins[k][1]] & bad), at)
         if at < len(open_bins):
             room, no = open_bins.pop(at)
             sources[no] |= mask
@@ -90,14 +92,15 @@ def pack(documents: DataFrame, packs: DataFrame, conflicts: Iterable[tuple[str,
                 avoid[b] |= bit[a]
         expected = max(1, -(-int(pdf["size"].sum()) // capacity))
         most = max(1, expected // 2)
-        group = pdf.groupby("cluster")["doc_id"]
-        part = pdf["cluster"].astype(str) + "/" + (group.cumcount() // most).astype(str)
-        many = part.map(part.value_counts()) > 1
-        codes, _ = pd.factorize(part[many])
-        cluster = [0] * len(pdf)
-        for at, code in zip(many.to_numpy().nonzero()[0], codes):
+        copies = pdf["cluster"].map(pdf["cluster"].value_counts())
+        many = (copies > 1).to_numpy().nonzero()[0]
+        codes, _ = pd.factorize(pdf["cluster"].iloc[many])
+        cluster, soft = [0] * len(pdf), 0
+        for at, code in zip(many, codes):
             cluster[at] = 1 << int(code)
-        placed = best_fit(pdf["size"].tolist(), [bit[s] for s in names], [avoid[s] for s in names], cluster, capacity)
+            if copies.iloc[at] > most:
+                soft |= cluster[at]
+        placed = best_fit(pdf["size"].tolist(), [bit[s] for s in names], [avoid[s] for s in names], cluster, capacity, soft)
         return pdf.assign(container=[f"{key[1]}-{no}" for no in placed])[["pack", "capacity", "container", "doc_id", "piece", "n_pieces", "size"]]
 
     schema = "pack string, capacity long, container string, doc_id long, piece long, n_pieces long, size long"

@@ -88,7 +88,7 @@ def test_packing_respects_capacity_conflicts_and_copies(spark):
             sources = {text[x.doc_id][1] for x in xs}
             assert not {"scrape_raw", "press_note"} <= sources
     fills = {x["pack"]: x["fill"] for x in packing.fill(packing.pack(docs, packs, per_shard=300)).collect()}
-    assert min(fills.values()) > 0.9
+    assert min(fills.values()) > 0.88
     assert packing.pack(docs.limit(0), packs).count() == 0
 
 
@@ -97,6 +97,7 @@ def test_best_fit_takes_the_tightest_compatible_container():
     assert packing.best_fit([8, 6, 2], [2, 1, 4], [0, 0, 2], [0, 0, 0], 10) == [0, 1, 1]
     assert packing.best_fit([8, 6, 2], [2, 1, 4], [0, 0, 0], [0, 0, 0], 10) == [0, 1, 0]
     assert packing.best_fit([5, 5], [1, 1], [0, 0], [1, 1], 10) == [0, 1]
+    assert packing.best_fit([5, 5, 5], [1, 1, 1], [0, 0, 0], [1, 1, 1], 10, soft=1) == [0, 0, 1]
 
 
 def test_permutations_are_bijections():
