@@ -56,7 +56,7 @@ LABELS = {"eng": "en", "english": "en", "hin": "hi", "hindi": "hi", "guj": "gu",
 _TOKEN = re.compile(r"[^\W\d_]+(?:[ऀ-ൿ‌‍]+[^\W\d_]*)*(?:['’][^\W\d_]+)*|[ऀ-ൿ]+|\d+|[^\w\s]+|_")
 # Units, purities and currency marks, which belong to no language.
 _NEUTRAL = set("k kt ct cts ctw g gm gms kg mg mm cm in x rs inr usd aed eur gbp no pc pcs qty sku id mrp us".split())
-# Words for metals, stones and pieces that other languages borrow as they are.
+# Words for metals, stones, pieces and measures that other languages borrow as they are.
 BORROWED = set(
     """gold silver platinum rose white yellow diamond diamonds ruby rubies pearl pearls emerald emeralds sapphire opal polki kundan tanzanite moissanite halo
     ring rings necklace necklaces bracelet bracelets pendant pendants choker bangle bangles anklet earring earrings studs hoops chain mangalsutra jhumka set""".split()
