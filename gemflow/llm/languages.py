@@ -59,7 +59,7 @@ _NEUTRAL = set("k kt ct cts ctw g gm gms kg mg mm cm in x rs inr usd aed eur gbp
 # Words for metals, stones, pieces and measures that other languages borrow as they are.
 BORROWED = set(
     """gold silver platinum rose white yellow diamond diamonds ruby rubies pearl pearls emerald emeralds sapphire opal polki kundan tanzanite moissanite halo
-    ring rings necklace necklaces bracelet bracelets pendant pendants choker bangle bangles anklet earring earrings studs hoops chain mangalsutra jhumka set""".split()
+    ring rings necklace necklaces bracelet bracelets pendant pendants choker bangle bangles anklet earring earrings studs hoops chain mangalsutra mangalsutras inch inches gram grams jhumka set""".split()
 )
 _BORROWED_LETTERS = {"".join(sorted(w)) for w in BORROWED}
 _BLOCKS = {"gu": ("઀", "૿"), "ta": ("஀", "௿"), "deva": ("ऀ", "ॿ")}
