@@ -2,10 +2,10 @@ import os
 
 import pytest
 
-from gemflow.plans import catalogue_queries, data_prep, text_queries, vector_queries
+from gemflow.plans import catalogue_queries, data_prep, ranking_queries, text_queries, vector_queries
 from oracle import DATA, check, connect
 
-MODULES = [data_prep, vector_queries, catalogue_queries, text_queries]
+MODULES = [data_prep, vector_queries, catalogue_queries, text_queries, ranking_queries]
 WITH_SQL = [(name, m) for m in MODULES for name in m.SQL]
 WITHOUT = [(name, m) for m in MODULES for name in m.QUERIES if name not in m.SQL]
 
