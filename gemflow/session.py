@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -45,10 +47,12 @@ def shared_dir(spark: SparkSession) -> str:
         return known.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    own = getattr(spark, "_gemflow_shared", None)
+    own = getattr(spark.sparkContext, "_gemflow_shared", None)
     if own is None:
-        own = "file://" + tempfile.mkdtemp(prefix="gemflow-")
-        spark._gemflow_shared = own
+        folder = tempfile.mkdtemp(prefix="gemflow-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        own = "file://" + folder
+        spark.sparkContext._gemflow_shared = own
     return own
 
 
