@@ -128,7 +128,7 @@ def line_kind(line: str) -> str:
     items = re.split(r"[,;•·|]\s*", text)
     if len(items) >= 6 and sum(len(i.split()) for i in items) <= 4.2 * len(items) and said <= 0.06 * len(words):
         return "list"
-    if len(words) >= 15 and len(plain) > 0.9 * len(words) and sum(w in _COMMON and w not in _KEYWORDS for w in words) < 0.04 * len(words) and not re.search(r"[.,;!?]\s", text):
+    if len(words) >= 10 and len(plain) > 0.9 * len(words) and sum(w in _COMMON and w not in _KEYWORDS for w in words) < 0.04 * len(words) and not re.search(r"[.,;!?]\s", text):
         return "junk"  # keywords without a sentence
     if len(words) <= (6 if plain else 4) and not said and not re.search(r"[.!?।…]['\"”’»)]*$", text):
         return "list"
