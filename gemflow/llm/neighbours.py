@@ -132,30 +132,29 @@ def build_graph(x: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, alp
     centre = int(np.argmax(x @ x.mean(axis=0)))
     entries = np.unique(np.concatenate(([centre], rng.integers(0, n, 15))))
     for relax in (1.0, alpha):
+        kept = np.empty_like(graph)
         for at in range(0, n, batch):
             points = np.arange(at, min(at + batch, n))
             found, _ = beam_search(x, graph, entries, x[points], beam)
             own = np.where(graph[points] == n, -1, graph[points])
-            chosen = robust_prune(x, points, np.concatenate([found, own], axis=1), degree, relax)
-            graph[points] = np.where(chosen < 0, n, chosen)
-            # reverse edges: grouped by target, pruned where there is no room
-            src = np.repeat(points, degree)
-            dst = chosen.ravel()
-            src, dst = src[dst >= 0], dst[dst >= 0]
-            order = np.argsort(dst, kind="stable")
-            src, dst = src[order], dst[order]
-            targets, first, count = np.unique(dst, return_index=True, return_counts=True)
-            wide = int(count.max()) if len(count) else 0
-            wide = min(wide, 2 * degree)
-            extra = np.full((len(targets), wide), -1, dtype=np.int32)
-            for k in range(wide):
-                has = count > k
-                extra[has, k] = src[first[has] + k]
-            for a in range(0, len(targets), batch):
-                t = targets[a : a + batch]
-                old = np.where(graph[t] == n, -1, graph[t])
-                pruned = robust_prune(x, t, np.concatenate([old, extra[a : a + batch]], axis=1), degree, relax)
-                graph[t] = np.where(pruned < 0, n, pruned)
+            kept[points] = robust_prune(x, points, np.concatenate([found, own], axis=1), degree, relax)
+            graph[points] = np.where(kept[points] < 0, n, kept[points])
+        # reverse edges, grouped by target and pruned with what the target has
+        src, dst = np.repeat(np.arange(n), degree), kept.ravel()
+        src, dst = src[dst >= 0], dst[dst >= 0]
+        order = np.lexsort((rng.random(len(dst)), dst))
+        src, dst = src[order], dst[order]
+        targets, first, count = np.unique(dst, return_index=True, return_counts=True)
+        wide = min(int(count.max()) if len(count) else 0, 3 * degree)
+        extra = np.full((len(targets), wide), -1, dtype=np.int32)
+        for k in range(wide):
+            has = count > k
+            extra[has, k] = src[first[has] + k]
+        for a in range(0, len(targets), batch):
+            t = targets[a : a + batch]
+            old = np.where(graph[t] == n, -1, graph[t])
+            pruned = robust_prune(x, t, np.concatenate([old, extra[a : a + batch]], axis=1), degree, relax)
+            graph[t] = np.where(pruned < 0, n, pruned)
     return graph, entries.astype(np.int32)
 
 
