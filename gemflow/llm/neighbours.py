@@ -6,7 +6,7 @@ rule (an edge is dropped only if a kept neighbour is ``alpha`` times nearer to i
 edges, and reverse edges are added and pruned alike. A query then runs a beam search in every shard, and the
 best of all shards are merged with cosines in double precision.
 
-Everything is in blocks: an index row is one shard, a query row is one block of queries, and they meet by
+Exact copies share one place in the graph. Everything is in blocks: an index row is one shard, a query row is one block of queries, and they meet by
 shard number, so memory per task is bounded by shard and block size whatever the collection's size.
 """
 
@@ -176,7 +176,7 @@ def build_index(vectors: DataFrame, shards: int, degree: int = DEGREE, alpha: fl
 
 
 def search_index(index: DataFrame, queries: DataFrame, shards: int, k: int, dim: int, beam: int = BEAM, block: int = 2048) -> DataFrame:
-    """(query, neighbour, similarity, rank): the k best of all shards for every query, itself left out."""
+    """(query, neighbour, similarity, rank): the k best of all shards for every query, itself among them."""
     blocks = queries.select(F.pmod(F.xxhash64("id", F.lit(9)), F.lit(max(1, -(-queries.count() // block)))).cast("int").alias("block"), "id", "v")
 
     def bundle(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -199,13 +199,12 @@ def search_index(index: DataFrame, queries: DataFrame, shards: int, k: int, dim:
                 x32 = x.astype(np.float32)
                 for a in range(0, len(q), 512):
                     qa = q[a : a + 512]
-                    found, _ = beam_search(x32, graph, np.frombuffer(row.entries, np.int32), qa.astype(np.float32), max(beam, k + 1))
+                    found, _ = beam_search(x32, graph, np.frombuffer(row.entries, np.int32), qa.astype(np.float32), max(beam, k))
                     best = found[:, : k + 16]
                     exact = np.einsum("mkd,md->mk", x[np.maximum(best, 0)], qa)
                     other = np.where(best < 0, -1, ids[np.maximum(best, 0)])
                     mine = q_ids[a : a + 512]
-                    bad = (best < 0) | (other == mine[:, None])
-                    exact[bad] = -np.inf
+                    exact[best < 0] = -np.inf
                     order = np.lexsort((other, -exact), axis=1)[:, :k]
                     sim, other = np.take_along_axis(exact, order, 1), np.take_along_axis(other, order, 1)
                     ok = np.isfinite(sim)
@@ -224,10 +223,17 @@ def most_similar(vectors: DataFrame, queries: DataFrame, key: str = "photo_id",
     """
     spark = vectors.sparkSession
     kept = materialise(usable(vectors, key, vec, dim), "vectors")
-    total = kept.count()
+    # copies of one vector are one place in the graph; k + 1 of them are all that a query can need
+    copy = F.row_number().over(Window.partitionBy("v").orderBy("id"))
+    listed = kept.withColumn("_c", copy).where(F.col("_c") <= k + 1).groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("copies"))
+    places = materialise(listed.select(F.col("copies")[0].alias("id"), "v", "copies"), "places")
+    total = places.count()
     if total == 0:
         return spark.createDataFrame([], "query long, neighbour long, similarity double, rank int")
     shards = max(1, -(-total // shard))
-    index = materialise(build_index(kept, shards, degree, alpha), "graph")
+    index = materialise(build_index(places.select("id", "v"), shards, degree, alpha), "graph")
     asked = kept.join(queries.select(F.col(key).cast("long").alias("id")).dropna().distinct(), "id", "left_semi")
-    return search_index(index, asked, shards, k, dim, beam)
+    found = search_index(index, asked, shards, k + 1, dim, beam).drop("rank")
+    each = found.join(places.select(F.col("id").alias("neighbour"), "copies"), "neighbour").select("query", F.explode("copies").alias("neighbour"), "similarity")
+    w = Window.partitionBy("query").orderBy(F.col("similarity").desc(), "neighbour")
+    return each.where("query <> neighbour").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

@@ -9,7 +9,8 @@ from gemflow.llm import cooccurrence, mixing, neighbours, packing
 
 def test_neighbours_reach_recall_over_all_shards(spark):
     rng = np.random.default_rng(0)
-    x = np.vstack([rng.normal(size=(700, 16)), np.repeat(rng.normal(size=(3, 16)), 15, axis=0)]) * rng.uniform(0.1, 30, (745, 1))
+    x = np.vstack([rng.normal(size=(700, 16)), np.repeat(rng.normal(size=(3, 16)), 15, axis=0)])
+    x[:700] *= rng.uniform(0.1, 30, (700, 1))  # the last 45 are exact copies
     rows = [(i, [float(v) for v in x[i]], "q") for i in range(len(x))]
     rows += [(800, None, ""), (801, [0.0] * 16, ""), (802, [1.0] * 5, ""), (803, [float("nan")] * 16, ""), (804, [float("inf")] + [1.0] * 15, ""), (None, [1.0] * 16, ""), (3, [float(v) for v in x[3]], "")]
     df = spark.createDataFrame(rows, "photo_id long, vec array<float>, query string")
