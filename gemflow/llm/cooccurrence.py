@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gemflow.session import materialise
+
 CHUNK = 64
 
 
@@ -41,21 +43,20 @@ def _within(sets: DataFrame) -> DataFrame:
 
 def pair_counts(kinds: dict[str, DataFrame], chunk: int = CHUNK) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(pairs, items, baskets): n_ab per pair, n per item and n per kind of basket, for baskets as built above."""
-    small, large, singles = None, None, None
-
-    def add(total, more):
-        return more if total is None else total.unionByName(more)
-
+    stored = None
+    in_parts = [kind for kind, baskets in kinds.items() if "part" in baskets.columns]
     for kind, baskets in kinds.items():
         typed = baskets.withColumn("kind", F.lit(kind)).withColumn("items", F.col("items").cast("array<long>"))
-        if "part" not in typed.columns:
+        if kind not in in_parts:
             typed = typed.withColumn("part", F.lit(0)).withColumn("n_items", F.size("items").cast("long"))
-        ordinary = typed.where(F.col("n_items") <= chunk)
-        if "part" in baskets.columns:
-            ordinary = ordinary.groupBy("kind", "basket_id").agg(F.array_sort(F.flatten(F.collect_list("items"))).alias("items"))
-        small = add(small, ordinary.select("kind", "items"))
-        large = add(large, typed.where(F.col("n_items") > chunk).select("kind", "basket_id", "part", "n_items", "items"))
-        singles = add(singles, typed.select("kind", "basket_id", "items"))
+        typed = typed.select("kind", "basket_id", "part", "n_items", "items")
+        stored = typed if stored is None else stored.unionByName(typed)
+    stored = materialise(stored, "baskets")  # read for the pairs, the items and the totals
+    ordinary = stored.where(F.col("n_items") <= chunk)
+    joined = ordinary.where(F.col("kind").isin(in_parts)).groupBy("kind", "basket_id").agg(F.array_sort(F.flatten(F.collect_list("items"))).alias("items"))
+    small = ordinary.where(~F.col("kind").isin(in_parts)).select("kind", "items").unionByName(joined.select("kind", "items"))
+    large = stored.where(F.col("n_items") > chunk)
+    singles = stored.select("kind", "basket_id", "items")
     slices = F.transform(F.sequence(F.lit(0), F.floor((F.size("items") - 1) / chunk).cast("int")), lambda i: F.slice("items", i * chunk + 1, F.lit(chunk)))
     cut = large.select("kind", "basket_id", "part", F.posexplode(slices).alias("_s", "items"))
     numbered = cut.withColumn("no", F.row_number().over(Window.partitionBy("kind", "basket_id").orderBy("part", "_s")) - 1)
