@@ -89,6 +89,24 @@ def test_pivot_rounds_cover_every_vertex(spark):
     assert len(got) == 52 and all(len({got[i] for i in range(c * 10, c * 10 + 10)}) == 1 for c in range(5)) and got[50] == 50
 
 
+def test_large_components_are_settled_wholly_and_without_contradictions(spark):
+    attrs = "id long, code string, brand string, names array<string>, colour string, purity int, count int, stone array<double>, gold array<double>, gross array<double>, width array<double>, height array<double>, kind string"
+    one = [(i, None, None, ["aurelia"], "yellow", 18, None, [0.5, 0.6], [4 + i / 200, 4.3 + i / 200], None, None, None, "ring") for i in range(30)]
+    two = [(i, None, None, ["mirabel"], "white", 14, c, [0.3, 0.4], [3.0 + i / 1e4, 3.2], None, None, None, "ring") for i, c in ((100, 1), (101, None), (102, 2))]
+    reps = spark.createDataFrame(one + two, attrs)
+    got = {r.id: r.pivot for r in products.star_rounds(reps, products.neighbours(reps), largest=16).collect()}
+    assert {got[i] for i in range(30)} == {0}
+    assert got[100] != got[102] and got[101] in (got[100], got[102])
+
+
+def test_size_of_components_does_not_change_groups(spark):
+    schema = "id long, title string, brand string, site string, original string, updated_at timestamp"
+    words = ["".join(chr(97 + (i * 7 + k * (i + 3)) % 26) for k in range(6)) + "o" for i in range(60)]
+    df = spark.createDataFrame([(i, f"Aurelia {w} ring 18k yellow gold 4.00 g diamond 0.50 ct", None, "a.example", None, None) for i, w in enumerate(words)], schema)
+    got = {r.id: r.group_id for r in products.group_listings(df, largest=16).collect()}
+    assert len(got) == 60 and set(got.values()) == {0}
+
+
 PROSE = "We asked the caster to weigh the link again because the opal moved a little under the loupe. It took three weeks to learn how, and the box had a dent."
 LIST = "\n".join(f"- {a} {b}" for a in ("silver", "heavy", "plain") for b in ("ring", "clasp", "bangles"))
 TABLE = "Code,Metal,Weight\n" + "\n".join(f"K{i}012,rose gold,{i}.5" for i in range(9))
