@@ -116,7 +116,25 @@ def slug(spark, sf_dir):
 )
 def clean(spark, sf_dir):
     """STR-S13: cleaned text, compared by digest."""
-    return read_table(spark, sf_dir, "documents").select("doc_id", F.md5(T.clean_text("text")).alias("digest"))
+    return read_table(spark, sf_dir, "documents").select("doc_id", F.md5(T.clean_text("text", 2000)).alias("digest"))
+
+
+@query(
+    "str_clean_whole",
+    r"""SELECT doc_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g'))) AS digest FROM documents""",
+)
+def clean_whole(spark, sf_dir):
+    """STR-S13: whole cleaned documents, compared by digest."""
+    return read_table(spark, sf_dir, "documents").select("doc_id", F.md5(T.clean_text("text", None)).alias("digest"))
+
+
+@query(
+    "str_clean_titles",
+    r"""SELECT id, left(trim(regexp_replace(regexp_replace(regexp_replace(title, '\r\n?', chr(10), 'g'), '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g')), 30) AS title FROM (SELECT DISTINCT id, title FROM web_designs)""",
+)
+def clean_titles(spark, sf_dir):
+    """STR-S13: a short field, cleaned and cut to what its form takes."""
+    return read_table(spark, sf_dir, "web_designs").select("id", "title").distinct().select("id", T.clean_text("title", 30).alias("title"))
 
 
 @query(

@@ -25,3 +25,8 @@ def test_query_equals_its_sql(spark, con, name, module):
 @pytest.mark.parametrize("name,module", WITHOUT, ids=[n for n, _ in WITHOUT])
 def test_query_runs(spark, name, module):
     assert module.QUERIES[name](spark, DATA).count() >= 0
+
+
+def test_clean_whole_digests_what_follows_a_cap(spark, tmp_path):
+    spark.createDataFrame([(1, "a" * 2500 + "x"), (2, "a" * 2500 + "y")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert len({r.digest for r in text_queries.clean_whole(spark, str(tmp_path)).collect()}) == 2
