@@ -148,6 +148,31 @@ def linear_probe(spark, sf_dir):
     return e.join(total, "vec_id").select("vec_id", "class", F.round(F.col("_e") / F.col("_t"), 6).alias("p"))
 
 
+def _by_family(p: DataFrame) -> DataFrame:
+    """Class probabilities of the views, averaged per family."""
+    return p.groupBy(_family_of("vec_id").alias("family"), "class").agg(F.round(F.avg("p"), 6).alias("p"))
+
+
+def zero_shot_all(spark, sf_dir):
+    """VEC-10, MA-02: class probabilities of every item by softmax at temperature 20, averaged per family."""
+    items = _items(spark, sf_dir)
+    classes = scoring.mean_vectors(items, "label", "embedding").select(F.col("label").alias("class"), "vec")
+    scored = items.crossJoin(F.broadcast(classes)).select("vec_id", "class", V.cosine("embedding", "vec").alias("s"))  # one row per class
+    listed = scored.groupBy("vec_id").agg(F.array_sort(F.collect_list(F.struct("class", "s"))).alias("c"))
+    p = V.softmax(F.transform("c", lambda x: x["s"]), 20.0)
+    out = listed.select("vec_id", F.posexplode(p).alias("_i", "p"), "c")
+    return _by_family(out.select("vec_id", F.get("c", F.col("_i"))["class"].alias("class"), "p"))
+
+
+def linear_probe_all(spark, sf_dir):
+    """VEC-15: class probabilities of a linear reader over every label and item, averaged over the views of a family."""
+    items = _items(spark, sf_dir)
+    weights = scoring.mean_vectors(items, "label", "embedding").select(F.col("label").alias("class"), "vec")
+    scored = items.crossJoin(F.broadcast(weights)).select("vec_id", "class", F.exp(8 * V.dot("embedding", "vec")).alias("_e"))  # one row per class
+    total = scored.groupBy("vec_id").agg(F.sum("_e").alias("_t"))
+    return _by_family(scored.join(total, "vec_id").select("vec_id", "class", (F.col("_e") / F.col("_t")).alias("p")))
+
+
 def distribution_overlap(spark, sf_dir):
     """MA-04, VEC-16: overlap of each photo's attribute shares with an even distribution."""
     photos = read_table(spark, sf_dir, "photo_query").where("attrs IS NOT NULL AND size(attrs) > 0")
@@ -188,6 +213,11 @@ _SQL_PAIRS = """
     pairs AS (SELECT q.vec_id AS query, i.vec_id AS item, list_cosine_similarity(q.v, i.v) AS score, q.label AS ql, i.label AS il, i.vec_id // 3 AS family
               FROM items q JOIN items i ON q.vec_id % 50 = 0 AND q.vec_id <> i.vec_id)
 """
+_SQL_CLASSES = """
+    WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+    d AS (SELECT label AS class, pos, avg(x) AS x FROM (SELECT label, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM e) GROUP BY 1, 2),
+    c AS (SELECT class, list(x ORDER BY pos) AS m, sqrt(sum(x * x)) AS n FROM d GROUP BY class)
+"""
 _RANK = "row_number() OVER (PARTITION BY query ORDER BY score DESC, item)"
 
 QUERIES = {
@@ -195,6 +225,7 @@ QUERIES = {
     "vec_zero_shot_softmax": zero_shot, "vec_knn_vote": knn_vote, "vec_neighbour_attr": neighbour_attribute, "vec_percentile_rank": percentile_rank,
     "vec_centred_scores": centred_scores, "vec_lead_next_family": lead_next_family, "vec_mean_by_label": mean_by_label, "vec_taste_vector": taste_vectors,
     "vec_best_view": best_view, "vec_duplicate_families": duplicate_families, "vec_linear_probe": linear_probe, "vec_distribution_overlap": distribution_overlap,
+    "vec_zero_shot_all": zero_shot_all, "vec_linear_probe_all": linear_probe_all,
     "vec_picture_score": picture_score, "rerank_mmr": mmr, "rerank_shop_spread": shop_spread, "rerank_browse_order": browse_order,
 }
 
@@ -250,6 +281,10 @@ SQL = {
         c AS (SELECT class, list(x ORDER BY pos) AS m, sqrt(sum(x * x)) AS n FROM d GROUP BY class),
         s AS (SELECT vec_id, class, exp(8 * list_dot_product(v, m) / n) AS x FROM e, c WHERE vec_id % 50 = 0)
         SELECT vec_id, class, round(x / sum(x) OVER (PARTITION BY vec_id), 6) AS p FROM s""",
+    "vec_zero_shot_all": _SQL_CLASSES + """, s AS (SELECT vec_id, class, exp(20 * (list_cosine_similarity(v, m) - max(list_cosine_similarity(v, m)) OVER (PARTITION BY vec_id))) AS x FROM e, c)
+        SELECT vec_id // 3 AS family, class, round(avg(p), 6) AS p FROM (SELECT vec_id, class, x / sum(x) OVER (PARTITION BY vec_id) AS p FROM s) GROUP BY 1, 2""",
+    "vec_linear_probe_all": _SQL_CLASSES + """, s AS (SELECT vec_id, class, exp(8 * list_dot_product(v, m) / n) AS x FROM e, c)
+        SELECT vec_id // 3 AS family, class, round(avg(p), 6) AS p FROM (SELECT vec_id, class, x / sum(x) OVER (PARTITION BY vec_id) AS p FROM s) GROUP BY 1, 2""",
     "vec_distribution_overlap": """WITH p AS (SELECT photo_id, list_transform(map_values(attrs), lambda x: greatest(coalesce(x, 0.0), 0.0)) AS a FROM photo_query WHERE attrs IS NOT NULL AND cardinality(attrs) > 0)
         SELECT photo_id, round(list_sum(list_transform(a, lambda x: sqrt(x / list_sum(a) / len(a)))), 6) AS overlap FROM p WHERE list_sum(a) <> 0""",
     "vec_picture_score": _SQL_PAIRS + "SELECT query, round(max(score) - avg(score), 6) AS lead, round(greatest(0.0, max(score) - 0.3) * 10, 6) AS repeat FROM pairs GROUP BY query",

@@ -30,3 +30,9 @@ def test_query_runs(spark, name, module):
 def test_clean_whole_digests_what_follows_a_cap(spark, tmp_path):
     spark.createDataFrame([(1, "a" * 2500 + "x"), (2, "a" * 2500 + "y")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert len({r.digest for r in text_queries.clean_whole(spark, str(tmp_path)).collect()}) == 2
+
+
+@pytest.mark.parametrize("name", ["vec_zero_shot_all", "vec_linear_probe_all"])
+def test_class_probabilities_cover_every_label_and_family(spark, con, name):
+    labels, families = con.sql("SELECT count(DISTINCT label), count(DISTINCT vec_id // 3) FROM embeddings").fetchall()[0]
+    assert vector_queries.QUERIES[name](spark, DATA).count() == labels * families
