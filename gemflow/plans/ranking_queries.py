@@ -110,6 +110,14 @@ def stock_check(spark, sf_dir):
     return li.join(p, F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", "l_linenumber", (F.col("l_quantity") <= F.col("p_size")).alias("enough"))
 
 
+@query("flt_stock_check_all", "SELECT l_orderkey, l_linenumber, l_quantity <= p_size AS enough FROM lineitem LEFT JOIN part ON p_partkey = l_partkey")
+def stock_check_all(spark, sf_dir):
+    """JOIN-24: every pick against what is there; unknown where there is no part."""
+    li = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_partkey")
+    p = read_table(spark, sf_dir, "part").select("p_partkey", "p_size")
+    return li.join(p, F.col("l_partkey") == F.col("p_partkey"), "left").select("l_orderkey", "l_linenumber", (F.col("l_quantity") <= F.col("p_size")).alias("enough"))
+
+
 @query("prj_detail", "SELECT a.uid, string_agg(b.design_id, ',' ORDER BY b.uid) AS siblings FROM designs a JOIN designs b ON a.family = b.family AND a.uid <> b.uid GROUP BY a.uid")
 def detail(spark, sf_dir):
     """PRJ-02: siblings in order, by one list per family instead of a self-join of rows."""

@@ -192,6 +192,16 @@ def size_label(spark, sf_dir):
     return p.select("p_partkey", T.size_label(F.concat(F.format_string("%.2f", F.col("p_size").cast("double")), F.lit("X"), F.format_string("%.2f", F.col("p_size") / 4))).alias("label"))
 
 
+@query(
+    "str_size_label_all",
+    r"""SELECT p_partkey, CAST(p_size AS VARCHAR) || ' × ' || regexp_replace(printf('%.2f', p_size / 4.0), '\.?0+$', '') || ' mm' AS label FROM part""",
+)
+def size_label_all(spark, sf_dir):
+    """STR-S25: every part."""
+    p = read_table(spark, sf_dir, "part")
+    return p.select("p_partkey", T.size_label(F.concat(F.format_string("%.2f", F.col("p_size").cast("double")), F.lit("X"), F.format_string("%.2f", F.col("p_size") / 4))).alias("label"))
+
+
 @query(
     "str_budget",
     _S + r"""SELECT id, CAST(replace(regexp_extract(query, '(?i)\bunder\s+(\d[\d,]*)', 1), ',', '') AS BIGINT) AS budget FROM s WHERE regexp_matches(query, '(?i)\bunder\s+\d')""",

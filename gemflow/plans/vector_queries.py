@@ -124,6 +124,17 @@ def taste_vectors(spark, sf_dir):
     return means.select("user_id", F.round(F.get("vec", F.lit(0)), 6).alias("x0"), F.round(F.get("vec", F.lit(1)), 6).alias("x1"), F.round(V.norm("vec"), 6).alias("size"))
 
 
+def taste_vectors_all(spark, sf_dir):
+    """AGG-12: as taste_vectors, the events spread over all embeddings."""
+    events = read_table(spark, sf_dir, "events").where("user_id IS NOT NULL")
+    age = F.timestamp_diff("SECOND", F.col("ts"), F.lit("2024-01-31").cast("timestamp_ntz")) / 86400.0
+    items = _items(spark, sf_dir)
+    spread = events.crossJoin(F.broadcast(items.agg(F.count("*").alias("_n"))))  # one row
+    liked = spread.select("user_id", (F.col("event_id") % F.col("_n")).alias("vec_id"), F.pow(F.lit(0.5), age / 14).alias("w")).join(items, "vec_id")
+    means = scoring.mean_vectors(liked, "user_id", "embedding", "w")
+    return means.select("user_id", F.round(F.get("vec", F.lit(0)), 6).alias("x0"), F.round(F.get("vec", F.lit(1)), 6).alias("x1"), F.round(V.norm("vec"), 6).alias("size"))
+
+
 def best_view(spark, sf_dir):
     """AGG-13, JOIN-17, VEC-07: best view per design, the design's own score where it has none."""
     pairs = _family(_pairs(spark, sf_dir))
@@ -225,7 +236,7 @@ QUERIES = {
     "vec_zero_shot_softmax": zero_shot, "vec_knn_vote": knn_vote, "vec_neighbour_attr": neighbour_attribute, "vec_percentile_rank": percentile_rank,
     "vec_centred_scores": centred_scores, "vec_lead_next_family": lead_next_family, "vec_mean_by_label": mean_by_label, "vec_taste_vector": taste_vectors,
     "vec_best_view": best_view, "vec_duplicate_families": duplicate_families, "vec_linear_probe": linear_probe, "vec_distribution_overlap": distribution_overlap,
-    "vec_zero_shot_all": zero_shot_all, "vec_linear_probe_all": linear_probe_all,
+    "vec_taste_vector_all": taste_vectors_all, "vec_zero_shot_all": zero_shot_all, "vec_linear_probe_all": linear_probe_all,
     "vec_picture_score": picture_score, "rerank_mmr": mmr, "rerank_shop_spread": shop_spread, "rerank_browse_order": browse_order,
 }
 
@@ -264,6 +275,11 @@ SQL = {
         d AS (SELECT user_id, pos, sum(w * x) / sum(w) AS x FROM (SELECT user_id, w, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM l) GROUP BY 1, 2),
         n AS (SELECT user_id, pos, x / sqrt(sum(x * x) OVER (PARTITION BY user_id)) AS x FROM d)
         SELECT user_id, round(max(x) FILTER (pos = 1), 6) AS x0, round(max(x) FILTER (pos = 2), 6) AS x1, round(sqrt(sum(x * x)), 6) AS size FROM n GROUP BY user_id""",
+    "vec_taste_vector_all": """WITH l AS (SELECT user_id, pow(0.5, date_diff('second', ts, TIMESTAMP '2024-01-31') / 86400.0 / 14) AS w, CAST(embedding AS DOUBLE[]) AS v
+            FROM events JOIN embeddings ON vec_id = event_id % (SELECT count(*) FROM embeddings) WHERE user_id IS NOT NULL),
+        d AS (SELECT user_id, pos, sum(w * x) / sum(w) AS x FROM (SELECT user_id, w, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM l) GROUP BY 1, 2),
+        n AS (SELECT user_id, pos, x / sqrt(sum(x * x) OVER (PARTITION BY user_id)) AS x FROM d)
+        SELECT user_id, round(max(x) FILTER (pos = 1), 6) AS x0, round(max(x) FILTER (pos = 2), 6) AS x1, round(sqrt(sum(x * x)), 6) AS size FROM n GROUP BY user_id""",
     "vec_best_view": _SQL_PAIRS + """, views AS (SELECT query, family, max(score) AS vs FROM pairs WHERE item % 3 > 0 GROUP BY 1, 2),
         s AS (SELECT p.query, p.family, round(coalesce(vs, score), 6) AS sim FROM pairs p LEFT JOIN views v ON v.query = p.query AND v.family = p.family WHERE item % 3 = 0)
         SELECT query, family, sim FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY sim DESC, family) AS r FROM s) WHERE r <= 5""",
