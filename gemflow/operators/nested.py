@@ -11,7 +11,12 @@ own key (the path from the root) and the foreign key of its parent row.
 Reading rules. A field that holds lists in one record is a list in all: a lone object is a list of
 one. A JSON text inside a value is read as the JSON it holds, repeatedly. Positions count every
 element, nulls included. A text that is null or no complete JSON gives no rows, and neither does
-one nested deeper than the parser allows. Rows of one id count once, the newest by ``version``.
+one nested deeper than the parser allows. A byte order mark before the text is no part of it. Rows of one
+id count once, the newest by ``version``.
+
+Recursion. A field below a field of its own name (``parts.parts.parts``) is the same element once more: its
+schema path stays that of the outermost one, so recursive elements of any depth share one table, whose rows
+refer to rows of that table, and the schema graph stays finite however deep the records go.
 
 Only the schema graph comes to the driver; its size depends on the number of distinct field paths
 and is checked against ``max_paths``.
@@ -35,11 +40,11 @@ SHRED_SCHEMA = "src string, row_id long, tbl string, node string, parent string,
 def read_json(text):
     """The value a text holds, with JSON texts inside it left as they are; None where it isn't JSON."""
     try:
-        value = json.loads(text)
+        value = json.loads(text.removeprefix("\ufeff"))
         while isinstance(value, str) and value.lstrip()[:1] in ("[", "{"):
             value = json.loads(value)
         return value
-    except (ValueError, RecursionError, TypeError):
+    except (ValueError, RecursionError, TypeError, AttributeError):
         return None
 
 
@@ -80,7 +85,7 @@ class SchemaGraph:
         for p in sorted(objects, key=lambda x: (x.count("."), x)):
             if not p:
                 continue
-            repeated = p in self.lists or p in self.maps or p.rsplit(".", 1)[-1] == "*"
+            repeated = p in self.lists or p in self.maps or "recursive" in self.kinds[p] or p.rsplit(".", 1)[-1] == "*"
             twins = same.get((p.rsplit(".", 1)[-1], shape[p]), [p])
             if repeated or len(twins) > 1:
                 named[p] = min(twins, key=lambda x: (x.count("."), x)).replace(".*", "_entry").replace(".", "_")
@@ -88,9 +93,17 @@ class SchemaGraph:
 
 
 def _step(path: str, key: str) -> str:
+    """The path of a node, one key deeper."""
     return f"{path}.{key}" if path else key
 
 
+def _schema_step(path: str, key: str) -> str:
+    """The schema path one key deeper; a key that is on the path already leads back to where it was."""
+    key = key.replace(".", "\u2024")  # a dot inside a key is no step
+    parts = path.split(".") if path else []
+    return ".".join([*parts[: parts.index(key)], key]) if key != "*" and key in parts else _step(path, key)
+
+
 def latest(df: DataFrame, key: str, version: str | None) -> DataFrame:
     """One row per key, the newest by version; ties fall to one row by content. Null keys take no part."""
     order = [F.col(version).desc_nulls_last()] if version else []
@@ -115,7 +128,10 @@ def schema_graph(texts: DataFrame, maps: dict[str, set[str]] | None = None, max_
                     if isinstance(value, dict):
                         seen.add((src, path, "object"))
                         for k, v in value.items():
-                            stack.append((_step(path, "*" if path in own else k), v))
+                            at = _schema_step(path, "*" if path in own else k)
+                            if len(at) <= len(path) and isinstance(unwrap(v), (dict, list)):
+                                seen.add((src, at, "recursive"))
+                            stack.append((at, v))
                     elif isinstance(value, list):
                         seen.add((src, path, "list"))
                         stack.extend((path, v) for v in value)
@@ -187,10 +203,10 @@ def shred(texts: DataFrame, graphs: dict[str, SchemaGraph]) -> DataFrame:
                                 own[name or "value"] = json.dumps(plain, ensure_ascii=False)
                         elif isinstance(v, dict) and p in mapped:
                             for i, (k, x) in enumerate(v.items()):
-                                todo.append((x, _step(p, "*"), _step(n, k), node, i, "entry"))
+                                todo.append((x, _schema_step(p, "*"), _step(n, k), node, i, "entry"))
                         elif isinstance(v, dict):
                             for k, x in v.items():
-                                q = _step(p, k)
+                                q = _schema_step(p, k)
                                 x = unwrap(x)
                                 if q in tables and q not in lists and q not in mapped and isinstance(x, dict):
                                     todo.append((x, q, _step(n, k), node, None, "shared"))

@@ -84,3 +84,17 @@ def test_repeated_ids_count_once_and_empty_tables_work(spark):
 def test_very_deep_texts_do_not_crash(spark):
     rows, _ = found(spark, [(1, '{"a":' * 50_000 + "1" + "}" * 50_000), (2, {"a": [{}]})])
     assert nodes(rows) == [(2, "a[0]")]
+
+
+def test_recursive_elements_share_one_table(spark):
+    deep = {"name": "a0"}
+    for i in range(60):
+        deep = {"name": f"a{i + 1}", "part": {"id": i, "inner": [{"part": deep}]}} if i % 7 == 0 else {"name": f"a{i + 1}", "part": deep}
+    df = spark.createDataFrame([(1, json.dumps({"part": deep, "x": 1})), (2, None), (3, "\ufeff" + json.dumps({"part": {"name": "b"}}))], "id long, text string")
+    rows, graphs = nested.shred_sources({"s": (df, "text")}, version=None)
+    got = [r for r in rows.collect() if r.row_id == 1]
+    assert len(graphs["s"].kinds) < 12 and {r.tbl for r in got} == {"root", "part", "part_inner"}
+    keys = {r.node for r in got}
+    assert all(r.parent in keys for r in got if r.parent is not None) and sum("name" in r.fields for r in got) == 61
+    assert [r.fields for r in rows.where("row_id = 3 AND tbl = 'part'").collect()] == [{"name": "b"}]
+    assert nested.flat_tables(rows, graphs)["s", "part"].where("row_id = 1").count() == sum(r.tbl == "part" for r in got)
