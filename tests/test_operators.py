@@ -127,3 +127,26 @@ def test_popularity_limits_before_it_counts_users(spark):
     df = spark.createDataFrame(rows, "m string, u string, w double")
     assert [r.m for r in behaviour.popular(df, ["m"], "u", F.col("w"), top=1).collect()] == []
     assert [r.m for r in behaviour.popular(df, ["m"], "u", F.col("w"), top=2).collect()] == ["y"]
+
+
+def test_edit_distance_equals_the_full_matrix():
+    import random
+
+    def full(a, b):
+        d = {}
+        for i in range(len(a) + 1):
+            for j in range(len(b) + 1):
+                d[i, j] = i + j if not i or not j else min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (a[i - 1] != b[j - 1]))
+                if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                    d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
+        return d[len(a), len(b)]
+
+    rng = random.Random(3)
+    for _ in range(3000):
+        a, b = ("".join(rng.choice("abc") for _ in range(rng.randint(0, 8))) for _ in range(2))
+        assert T.osa_distance(a, b, 2) == min(full(a, b), 3)
+
+
+def test_html_text_keeps_lines_and_drops_scripts():
+    assert T.html_text("<p>One &amp; two</p><script>x = '<b>'</script><div>a<br>b  c</div>t<style>p{}</style>") == "One & two\na\nb c\nt"
+    assert T.html_text(None) is None and T.html_text("") == ""
