@@ -89,22 +89,41 @@ def test_pivot_rounds_cover_every_vertex(spark):
     assert len(got) == 52 and all(len({got[i] for i in range(c * 10, c * 10 + 10)}) == 1 for c in range(5)) and got[50] == 50
 
 
-def test_large_components_are_settled_wholly_and_without_contradictions(spark):
-    attrs = "id long, code string, brand string, names array<string>, colour string, purity int, count int, stone array<double>, gold array<double>, gross array<double>, width array<double>, height array<double>, kind string"
+ATTRS = "id long, code string, brand string, names array<string>, colour string, purity int, count int, stone array<double>, gold array<double>, gross array<double>, width array<double>, height array<double>, kind string"
+
+
+def in_tasks(spark, reps, pairs):
+    nodes = reps.join(products.connected_components(pairs), "id")
+    return products.settled_in_tasks(nodes, pairs.join(nodes.select(F.col("id").alias("a"), "component"), "a"))
+
+
+def test_components_are_settled_alike_in_tasks_and_in_spark(spark):
     one = [(i, None, None, ["aurelia"], "yellow", 18, None, [0.5, 0.6], [4 + i / 200, 4.3 + i / 200], None, None, None, "ring") for i in range(30)]
     two = [(i, None, None, ["mirabel"], "white", 14, c, [0.3, 0.4], [3.0 + i / 1e4, 3.2], None, None, None, "ring") for i, c in ((100, 1), (101, None), (102, 2))]
-    reps = spark.createDataFrame(one + two, attrs)
-    got = {r.id: r.pivot for r in products.star_rounds(reps, products.neighbours(reps), largest=16).collect()}
+    mixed = [(200 + i, None, ["kefa", "borun", None][i % 3], [["selen"], ["marko"], []][i * 7 % 3], ["rose", None, "white"][i * 5 % 3], 18, [None, 3, 4][i // 3 % 3], [0.2 + i % 7 / 10, 0.25 + i % 7 / 10], [2 + i % 5 / 3, 2.4 + i % 5 / 3], None, None, None, None) for i in range(120)]
+    reps = spark.createDataFrame(one + two + mixed, ATTRS)
+    pairs = products.materialise(products.neighbours(reps))
+    got = {r.id: r.pivot for r in products.star_rounds(reps, pairs).collect()}
     assert {got[i] for i in range(30)} == {0}
     assert got[100] != got[102] and got[101] in (got[100], got[102])
+    inside = {r.id: r.pivot for r in in_tasks(spark, reps, pairs).collect()}
+    assert len(inside) > 100 and all(got[i] == p for i, p in inside.items()) and all(got[i] == i for i in got.keys() - inside.keys())
+
+
+def test_one_product_on_three_thousand_pages_is_one_group(spark):
+    schema = "id long, title string, brand string, site string, original string, updated_at timestamp"
+    words = ["".join(chr(97 + (i // 26**k + k * (i % 5 + 3)) % 26) for k in range(6)) + "o" for i in range(3000)]
+    rows = [(i, f"Aurelia {w} ring 18k yellow gold 4.00 g diamond 0.50 ct", None, "a.example", None, None) for i, w in enumerate(words)]
+    df = spark.createDataFrame(rows, schema)
+    for most in (products.IN_TASK, 16):
+        got = {r.id: r.group_id for r in products.group_listings(df, in_task=most).collect()}
+        assert len(got) == 3000 and set(got.values()) == {0}
 
 
-def test_size_of_components_does_not_change_groups(spark):
+def test_pages_that_state_too_little_stay_apart(spark):
     schema = "id long, title string, brand string, site string, original string, updated_at timestamp"
-    words = ["".join(chr(97 + (i * 7 + k * (i + 3)) % 26) for k in range(6)) + "o" for i in range(60)]
-    df = spark.createDataFrame([(i, f"Aurelia {w} ring 18k yellow gold 4.00 g diamond 0.50 ct", None, "a.example", None, None) for i, w in enumerate(words)], schema)
-    got = {r.id: r.group_id for r in products.group_listings(df, largest=16).collect()}
-    assert len(got) == 60 and set(got.values()) == {0}
+    df = spark.createDataFrame([page(i, "Ring", None, [("Width", "21 mm")]) for i in range(40)], schema)
+    assert {r.id: r.group_id for r in products.group_listings(df).collect()} == {i: i for i in range(40)}
 
 
 PROSE = "We asked the caster to weigh the link again because the opal moved a little under the loupe. It took three weeks to learn how, and the box had a dent."
