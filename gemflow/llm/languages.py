@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gemflow.functions.text import osa_distance
+
 LANGUAGES = ["en", "hi", "gu", "mr", "ta", "fr", "es", "de", "hi-latn", "gu-latn"]
 BITS, DIM = 31, 1 << 15
 
@@ -61,7 +63,9 @@ BORROWED = set(
     """gold silver platinum rose white yellow diamond diamonds ruby rubies pearl pearls emerald emeralds sapphire opal polki kundan tanzanite moissanite halo
     ring rings necklace necklaces bracelet bracelets pendant pendants choker bangle bangles anklet earring earrings studs hoops chain mangalsutra mangalsutras inch inches gram grams jhumka set""".split()
 )
-_BORROWED_LETTERS = {"".join(sorted(w)) for w in BORROWED}
+_BORROWED_LETTERS: dict[str, list[str]] = {}
+for _w in sorted(BORROWED):
+    _BORROWED_LETTERS.setdefault("".join(sorted(_w)), []).append(_w)
 _BLOCKS = {"gu": ("઀", "૿"), "ta": ("஀", "௿"), "deva": ("ऀ", "ॿ")}
 
 
@@ -90,25 +94,51 @@ def script_of(word: str) -> str | None:
 SCRIPT_LANGUAGES = {"gu": ["gu"], "ta": ["ta"], "deva": ["hi", "mr"], "latn": ["en", "fr", "es", "de", "hi-latn", "gu-latn"]}
 
 
-def words_of(text: str) -> list[tuple[str, bool]]:
-    """(word, punctuation before it) for the words of a text; numbers, units, codes and signs are left out."""
+def _piece(piece: str) -> tuple[list[tuple[str, bool]], bool]:
+    """Words of one blank-separated piece with the punctuation flag before each, and the flag after the last."""
+    if any(c.isdigit() for c in piece) and script_of(piece) in ("latn", None) and re.fullmatch(r"[^\w]*[\w#./%+-]*\d[\w#./%+-]*[^\w]*", piece):
+        return [], bool(re.search(r"[,.;:!?/]$", piece))  # a number, a purity, a measure or a code
     out, cut = [], False
-    pieces = text.split()
-    for piece in pieces:
-        if any(c.isdigit() for c in piece) and script_of(piece) in ("latn", None) and re.fullmatch(r"[^\w]*[\w#./%+-]*\d[\w#./%+-]*[^\w]*", piece):
-            cut = cut or bool(re.search(r"[,.;:!?/]$", piece))
-            continue  # a number, a purity, a measure or a code
-        for m in _TOKEN.finditer(piece):
-            token = m.group()
-            script = script_of(token)
-            if script is None:
-                cut = cut or bool(re.search(r"[,.;:!?/|–—-]", token)) and not (0 < m.start() and m.end() < len(piece) and token in ("-", "'", "’"))
-                continue
-            low = token.lower()
-            if script == "latn" and low in _NEUTRAL:
-                continue
-            out.append((low, cut))
+    for m in _TOKEN.finditer(piece):
+        token = m.group()
+        script = script_of(token)
+        if script is None:
+            cut = cut or bool(re.search(r"[,.;:!?/|–—-]", token)) and not (0 < m.start() and m.end() < len(piece) and token in ("-", "'", "’"))
+            continue
+        low = token.lower()
+        if script == "latn" and low in _NEUTRAL:
+            continue
+        out.append((low, cut))
+        cut = False
+    return out, cut
+
+
+#: Scripts from the last in the alphabet, so that the first of equals is the last by name.
+_SCRIPTS = ["ta", "other", "latn", "gu", "deva"]
+_WRITTEN = np.array([[name in SCRIPT_LANGUAGES.get(s, LANGUAGES) for name in LANGUAGES] for s in _SCRIPTS])
+
+
+def _borrowed(word: str) -> bool:
+    """Whether a word is a trade word, or one with letters that changed places."""
+    return any(osa_distance(word, known, 2) <= 2 for known in _BORROWED_LETTERS.get("".join(sorted(word)), ()))
+
+
+def words_of(text: str, known: dict | None = None) -> list[tuple[str, bool]]:
+    """(word, punctuation before it) for the words of a text; numbers, units, codes and signs are left out.
+
+    ``known`` keeps pieces that were read before.
+    """
+    out, cut = [], False
+    for piece in text.split():
+        got = known.get(piece) if known is not None else None
+        if got is None:
+            got = _piece(piece)
+            if known is not None:
+                known[piece] = got
+        for word, flag in got[0]:
+            out.append((word, cut or flag))
             cut = False
+        cut = cut or got[1]
     return out
 
 
@@ -137,84 +167,111 @@ def codewords(classes: int = len(LANGUAGES), bits: int = BITS, tries: int = 3000
 class Identifier:
     """The fitted bit classifiers and the decoder."""
 
+    #: Cost of changing language between words, and at punctuation; the most that one word may cost, and a borrowed one.
+    CHANGE, AT_CUT, REACH, BORROWED_COST = 7.0, 3.5, 6.0, 1.2
+    #: Words and pieces kept between batches.
+    KEPT = 200_000
+
     def __init__(self, weights: np.ndarray, bit_weight: np.ndarray, code: np.ndarray):
         self.weights, self.bit_weight, self.code = weights, bit_weight, code
-        self._cache: dict[str, np.ndarray] = {}
+        self._pieces: dict[str, tuple] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self._place: dict[str, int] = {}
+        self._margin, self._cost, self._letters = np.zeros((0, BITS)), np.zeros((0, len(LANGUAGES))), np.zeros((0, len(_SCRIPTS)))
 
     def margins(self, word: str) -> np.ndarray:
         """Bit margins of one word."""
-        if word not in self._cache:
-            if len(self._cache) > 200_000:
-                self._cache.clear()
-            f = features(word)
-            self._cache[word] = self.weights[f].sum(axis=0) / np.sqrt(len(f))
-        return self._cache[word]
+        f = features(word)
+        return self.weights[f].sum(axis=0) / np.sqrt(len(f))
 
     def losses(self, margin: np.ndarray) -> np.ndarray:
-        """Weighted logistic loss of every language's codeword under the margins (rows of them too)."""
-        agree = margin[..., None, :] * self.code
-        return (np.logaddexp(0, -agree) * self.bit_weight).sum(axis=-1)
+        """Weighted logistic loss of every language's codeword under the margins (rows of them too).
 
-    def decode(self, words: list[str]) -> tuple[str | None, float, bool]:
-        """(language, confidence, ambiguous) of words taken as one language."""
-        words = [w for w in words if script_of(w)]
-        if not words:
-            return None, 0.0, True
-        loss = self.losses(np.sum([self.margins(w) for w in words], axis=0))
-        allowed = self._allowed(words)
-        loss = np.where(allowed, loss, np.inf)
-        p = np.exp(-(loss - loss.min()))
-        p /= p.sum()
-        order = np.argsort(-p)
-        return LANGUAGES[order[0]], float(p[order[0]]), bool(p[order[0]] < 2 * p[order[1]])
-
-    def _allowed(self, words: list[str]) -> np.ndarray:
-        scripts = {}
-        for w in words:
-            s = script_of(w)
-            scripts[s] = scripts.get(s, 0) + len(w)
-        main = max(scripts, key=lambda s: (scripts[s], str(s)))
-        names = SCRIPT_LANGUAGES.get(main, LANGUAGES)
-        return np.array([name in names for name in LANGUAGES])
-
-    def segment(self, text: str | None, change: float = 7.0, at_cut: float = 3.5, reach: float = 6.0, borrowed: float = 1.2) -> list[tuple[str, float, bool, str]]:
-        """(language, confidence, ambiguous, words) per segment of a text, in order; none without words.
-
-        A word's cost under a language is its excess loss, at most ``reach`` so that no single word decides, and at
-        most ``borrowed`` for the names of metals, stones and pieces, letters out of place or not;
-        changing language costs ``change``, at punctuation ``at_cut``.
+        The loss of a bit is that of agreement plus the margin where the codeword has the other sign.
         """
-        tokens = words_of(text) if text else []
-        if not tokens:
-            return []
-        words = [w for w, _ in tokens]
-        cost = self.losses(np.array([self.margins(w) for w in words]))
-        most = np.array([borrowed if "".join(sorted(w)) in _BORROWED_LETTERS else reach for w in words])
+        agree = np.logaddexp(0, -margin) @ self.bit_weight
+        return agree[..., None] + (margin * self.bit_weight) @ ((1 - self.code.T) / 2)
+
+    def _learn(self, words: list[str]) -> None:
+        """Read words into the tables: margins, cost per language, letters per script."""
+        margin = np.array([self.margins(w) for w in words])
+        cost = self.losses(margin)
+        most = np.array([self.BORROWED_COST if _borrowed(w) else self.REACH for w in words])
         cost = np.minimum(cost - cost.min(axis=1, keepdims=True), most[:, None])
+        letters = np.zeros((len(words), len(_SCRIPTS)))
         for i, w in enumerate(words):
-            names = SCRIPT_LANGUAGES.get(script_of(w))
-            if names:
-                out = np.array([n not in names for n in LANGUAGES])
-                cost[i] = np.where(out, reach + 6, cost[i] - cost[i][~out].min())
+            script = script_of(w)
+            letters[i, _SCRIPTS.index(script)] = len(w)
+            if script in SCRIPT_LANGUAGES:
+                fits = _WRITTEN[_SCRIPTS.index(script)]
+                cost[i] = np.where(fits, cost[i] - cost[i][fits].min(), self.REACH + 6)
+        self._place |= {w: len(self._place) + i for i, w in enumerate(words)}
+        self._margin, self._cost, self._letters = (np.concatenate([x, y]) for x, y in ((self._margin, margin), (self._cost, cost), (self._letters, letters)))
+
+    def _path(self, cost: np.ndarray, cuts: list[bool]) -> list[int]:
+        """The language of every word by dynamic programming."""
         n, c = cost.shape
         best, back = cost[0].copy(), np.zeros((n, c), dtype=np.int64)
         for i in range(1, n):
-            step = at_cut if tokens[i][1] else change
             low = int(np.argmin(best))
-            switch = best[low] + step < best
-            back[i] = np.where(switch, low, np.arange(c))
-            best = np.where(switch, best[low] + step, best) + cost[i]
+            changed = best[low] + (self.AT_CUT if cuts[i] else self.CHANGE)
+            back[i] = np.where(changed < best, low, np.arange(c))
+            best = np.minimum(changed, best) + cost[i]
         path = [int(np.argmin(best))]
         for i in range(n - 1, 0, -1):
             path.append(int(back[i, path[-1]]))
-        path.reverse()
-        out, start = [], 0
-        for i in range(1, n + 1):
-            if i == n or path[i] != path[start]:
-                span = words[start:i]
-                _, confidence, ambiguous = self.decode(span)
-                out.append((LANGUAGES[path[start]], confidence, ambiguous, " ".join(span)))
-                start = i
+        return path[::-1]
+
+    def segment(self, text: str | None) -> list[tuple[str, float, bool, str]]:
+        """(language, confidence, ambiguous, words) per segment of a text, in order; none without words."""
+        return self.segment_all([text])[0]
+
+    def segment_all(self, texts: list[str | None]) -> list[list[tuple[str, float, bool, str]]]:
+        """The segments of many texts at once.
+
+        A word's cost under a language is its excess loss, at most ``REACH`` so that no single word decides, and at
+        most ``BORROWED_COST`` for the names of metals, stones and pieces, letters out of place or not; changing
+        language costs ``CHANGE``, at punctuation ``AT_CUT``. Every word costs nothing in some language, so a text that
+        costs less than a change in one language is in that language, and only other texts need the programme.
+        """
+        if len(self._pieces) > self.KEPT:
+            self._pieces.clear()
+        if len(self._place) > self.KEPT:
+            self._forget()
+        tokens = [words_of(t, self._pieces) if t else [] for t in texts]
+        new = dict.fromkeys(w for row in tokens for w, _ in row if w not in self._place)
+        if new:
+            self._learn(list(new))
+        out: list[list] = [[] for _ in texts]
+        full = [i for i, row in enumerate(tokens) if row]
+        if not full:
+            return out
+        flat = np.array([self._place[w] for i in full for w, _ in tokens[i]])
+        starts = np.cumsum([0, *[len(tokens[i]) for i in full]])
+        total = np.add.reduceat(self._cost[flat], starts[:-1], axis=0)
+        single, low = np.argmin(total, axis=1), total.min(axis=1)
+        spans = []  # (text, first word, end, language), words counted over all texts
+        for k, i in enumerate(full):
+            a, b = int(starts[k]), int(starts[k + 1])
+            cuts = [cut for _, cut in tokens[i]]
+            if low[k] < (self.AT_CUT if any(cuts[1:]) else self.CHANGE):
+                spans.append((i, a, b, int(single[k])))
+                continue
+            path = self._path(self._cost[flat[a:b]], cuts)
+            edges = [0, *[j for j in range(1, b - a) if path[j] != path[j - 1]], b - a]
+            spans += [(i, a + x, a + y, path[x]) for x, y in zip(edges, edges[1:])]
+        firsts = np.array([a for _, a, _, _ in spans])  # spans lie end to end
+        loss = self.losses(np.add.reduceat(self._margin[flat], firsts, axis=0))
+        main = np.argmax(np.add.reduceat(self._letters[flat], firsts, axis=0), axis=1)
+        loss = np.where(_WRITTEN[main], loss, np.inf)
+        p = np.exp(loss.min(axis=1, keepdims=True) - loss)
+        p /= p.sum(axis=1, keepdims=True)
+        two = np.sort(p, axis=1)[:, -2:]
+        words = [w for i in full for w, _ in tokens[i]]
+        for (i, a, b, lang), (second, first) in zip(spans, two.tolist()):
+            out[i].append((LANGUAGES[lang], first, first < 2 * second, " ".join(words[a:b])))
         return out
 
 
@@ -222,8 +279,12 @@ def _sums(values: np.ndarray, index: np.ndarray, starts: np.ndarray) -> np.ndarr
     return np.add.reduceat(values[index], starts, axis=0)
 
 
-def train(texts: list[str], labels: list[str], seed: int = 4, rounds: int = 220, decay: float = 2e-4) -> Identifier:
-    """Fit the bit classifiers on (text, language), full batch, on whole texts and on random spans of them."""
+def train(texts: list[str], labels: list[str], seed: int = 4, rounds: int = 220, decay: float = 2e-4, settled: float = 1e-4) -> Identifier:
+    """Fit the bit classifiers on (text, language), full batch, on whole texts and on random spans of them.
+
+    The fit ends after ``rounds``, or as soon as no more than a share ``settled`` of the decisions on the training spans
+    changed in ten rounds.
+    """
     rng = np.random.default_rng(seed)
     code = codewords()
     spans, target = [], []
@@ -242,7 +303,7 @@ def train(texts: list[str], labels: list[str], seed: int = 4, rounds: int = 220,
     vocabulary = {w: i for i, w in enumerate(sorted({w for s in spans for w in s}))}
     feats = [features(w) for w in vocabulary]
     f_index, f_start = np.concatenate(feats), np.cumsum([0, *[len(f) for f in feats[:-1]]])
-    f_scale = np.repeat([1 / np.sqrt(len(f)) for f in feats], [len(f) for f in feats])[:, None]
+    f_scale = np.repeat([1 / np.sqrt(len(f)) for f in feats], [len(f) for f in feats])[:, None].astype(np.float32)
     f_word = np.repeat(np.arange(len(feats)), [len(f) for f in feats])
     by_feature = np.argsort(f_index, kind="stable")
     used, u_start = np.unique(f_index[by_feature], return_index=True)
@@ -252,24 +313,31 @@ def train(texts: list[str], labels: list[str], seed: int = 4, rounds: int = 220,
     s_row = np.repeat(np.arange(len(spans)), lengths)
     by_word = np.argsort(s_index, kind="stable")
     _, w_start = np.unique(s_index[by_word], return_index=True)
-    y = code[np.array(target)]
+    y = code[np.array(target)].astype(np.float32)
     count = np.bincount(target, minlength=len(LANGUAGES))
     row_weight = (1 / np.maximum(count, 1))[np.array(target)][:, None]
-    row_weight /= row_weight.mean()
-    w = np.zeros((DIM, BITS))
-    m, v = np.zeros((len(used), BITS)), np.zeros((len(used), BITS))
+    row_weight = (row_weight / row_weight.mean()).astype(np.float32)
+    f_used = np.searchsorted(used, f_index)
+    w, m, v = (np.zeros((len(used), BITS), dtype=np.float32) for _ in range(3))
     for t in range(1, rounds + 1):
-        word_margin = np.add.reduceat(w[f_index] * f_scale, f_start, axis=0)
+        word_margin = np.add.reduceat(w[f_used] * f_scale, f_start, axis=0)
         margin = _sums(word_margin, s_index, s_start)
+        if t % 10 == 0:
+            decided = margin > 0
+            if t > 20 and (decided != before).mean() <= settled:
+                break
+            before = decided
         grad = -y * row_weight / (1 + np.exp(y * margin))
         word_grad = _sums(grad, s_row[by_word], w_start)
-        g = np.add.reduceat((word_grad[f_word] * f_scale)[by_feature], u_start, axis=0) / len(spans) + decay * w[used]
+        g = np.add.reduceat((word_grad[f_word] * f_scale)[by_feature], u_start, axis=0) / np.float32(len(spans)) + decay * w
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        w[used] -= 0.08 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
+        w -= 0.08 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
     right = ((margin * y > 0) * row_weight).mean(axis=0)
     share = np.clip(right, 0.5 + 1e-3, 1 - 1e-3)
     bit_weight = np.log(share / (1 - share))
-    return Identifier(w.astype(np.float32), bit_weight / bit_weight.mean(), code)
+    weights = np.zeros((DIM, BITS), dtype=np.float32)
+    weights[used] = w
+    return Identifier(weights, bit_weight / bit_weight.mean(), code)
 
 
 def voted(texts: list[str], counts: list[dict[str, int]]) -> list[tuple[str, str]]:
@@ -322,7 +390,8 @@ def fit(rows: DataFrame, text: str, label: str, sample_texts: int = 12_000, per_
         return out
 
     model = train(*zip(*[*seeds, *some(clean)]), rounds=120)
-    clean = [(t, lang) for t, lang in some(clean) if {p[0] for p in model.segment(t)} == {lang}]
+    kept = some(clean)
+    clean = [(t, lang) for (t, lang), parts in zip(kept, model.segment_all([t for t, _ in kept])) if {p[0] for p in parts} == {lang}]
     return train(*zip(*[*seeds, *clean]))
 
 
@@ -340,17 +409,16 @@ def identify(rows: DataFrame, model: Identifier, key: str = "id", text: str = "q
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = Identifier(*shared.value)
-        known: dict[str, list] = {}
         for pdf in batches:
-            out = []
-            for i, t, lang in zip(pdf["id"], pdf["t"], pdf["l"]):
-                if t not in known:
-                    if len(known) > 100_000:
-                        known.clear()
-                    known[t] = own.segment(t)
-                parts = known[t]
-                out.append((i, label_of(lang), sorted({p[0] for p in parts}), [{"lang": a, "confidence": b, "ambiguous": c, "words": d} for a, b, c, d in parts]))
-            yield pd.DataFrame(out, columns=["id", "label", "languages", "segments"])
+            places: dict = {}
+            for t in pdf["t"]:
+                places.setdefault(t, len(places))
+            found = own.segment_all([t if isinstance(t, str) else None for t in places])
+            parts = [found[places[t]] for t in pdf["t"]]
+            yield pd.DataFrame({
+                "id": pdf["id"], "label": [label_of(x) for x in pdf["l"]], "languages": [sorted({p[0] for p in x}) for x in parts],
+                "segments": [[dict(zip(("lang", "confidence", "ambiguous", "words"), p)) for p in x] for x in parts],
+            })
 
     return once.mapInPandas(run, SEGMENTS)
 
