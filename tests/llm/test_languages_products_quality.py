@@ -146,9 +146,20 @@ def test_tails_are_exact_shares_and_kinds_follow(spark):
     stats = quality.text_statistics(df)
     pdf = stats.toPandas()
     assert pdf["doc_id"].is_unique and 401 not in set(pdf["doc_id"])
-    tails = [r for r in quality.tail_probabilities(stats).collect() if r.script == "*"]
+    tails = [r for r in quality.tail_probabilities(stats).collect() if r.language == "*"]
     for r in tails:
         assert abs(r.tail - (pdf[r.statistic] >= r.value - 1e-9).mean()) < 1e-12
     kinds = {r.doc_id: r.kind for r in quality.text_kinds(df).collect()}
     assert {kinds[i] for i in range(60)} == {"prose"} and {kinds[100 + i] for i in range(8)} == {"list"} and {kinds[200 + i] for i in range(6)} == {"table"} and {kinds[300 + i] for i in range(5)} == {"junk"}
     assert quality.text_kinds(df.limit(0)).count() == 0
+
+
+def test_batches_read_as_single_texts_and_tails_decide(spark, monkeypatch):
+    texts = [PROSE, LIST, TABLE, *JUNK, "", "  \n ", "Karat", "ये अंगूठी सोने की है और बहुत हल्की है।", "la bague est en or et elle est dans la boîte."]
+    assert quality.Reader(kept=5).read(texts) == [quality.read_text(t) for t in texts]
+    assert [quality.read_text(t)["language"] for t in texts[-3:]] == ["en", "hi", "fr"] and quality.read_text("12 %% 7")["language"] == "none"
+    assert quality.read_text("It was heavy and she sent it back. " * 30)["broken_share"] == 1.0
+    df = spark.createDataFrame([(i, PROSE + f" Order {i} came on time.") for i in range(60)] + [(100 + i, LIST) for i in range(20)], "doc_id long, text string")
+    assert quality.text_kinds(df).where("kind = 'list'").count() == 20
+    monkeypatch.setattr(quality, "outlier_scores", lambda s: s.withColumn("outlier", F.lit(0.0)))
+    assert quality.text_kinds(df).where("kind = 'list'").count() == 0  # without tails nothing is an outlier
