@@ -1,18 +1,22 @@
 """Items that appear together: pair counts over baskets, and association beyond chance.
 
-Ordinary baskets expand to their pairs in place. A huge basket is split into chunks of items; every
-pair of chunks is a product of its own, keyed by (basket, chunk, chunk), so the products of one basket
-spread over all tasks. Pair counts are combined map-side before the one shuffle on the pair.
+Ordinary baskets expand to their pairs in place. A huge basket is split into chunks of items by a hash of the
+item, as many as its size asks for; every pair of chunks is a product of its own, keyed by (basket, chunk,
+chunk), so neither the items nor the products of one basket ever meet in one task. Pair counts are combined
+map-side before the one shuffle on the pair.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gemflow.session import materialise
 
+#: Items up to which a basket is ordinary, and items a chunk of a huge one has on average.
 CHUNK = 64
+#: Parts that the rows of a basket are spread over while its size is looked up.
+SALTS = 32
 
 
 def array_baskets(rows: DataFrame, key: str, items: str, version: str | None = None) -> DataFrame:
@@ -25,14 +29,9 @@ def array_baskets(rows: DataFrame, key: str, items: str, version: str | None = N
     return rows.where(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("basket_id"), clean.alias("_i"), rank.alias("_r")).groupBy("basket_id").agg(F.max_by("_i", "_r").alias("items")).where("size(items) > 0")
 
 
-def row_baskets(rows: DataFrame, key: str, item: str, spread: int = 16) -> DataFrame:
-    """Parts of baskets from rows (key, item): (basket_id, part, n_items, items). Repeated rows count once, nulls take no part.
-
-    A basket's rows are grouped by (key, hash of item), so the basket with most rows is no hot group.
-    """
-    once = rows.select(F.col(key).cast("string").alias("basket_id"), F.col(item).cast("long").alias("item")).dropna().distinct()
-    parts = once.groupBy("basket_id", F.pmod(F.xxhash64("item"), F.lit(spread)).cast("int").alias("part")).agg(F.array_sort(F.collect_list("item")).alias("items"))
-    return parts.withColumn("n_items", F.sum(F.size("items")).over(Window.partitionBy("basket_id")))
+def row_baskets(rows: DataFrame, key: str, item: str) -> DataFrame:
+    """Members of baskets from rows: (basket_id, item). Repeated rows count once, nulls take no part."""
+    return rows.select(F.col(key).cast("string").alias("basket_id"), F.col(item).cast("long").alias("item")).dropna().distinct()
 
 
 def _within(sets: DataFrame) -> DataFrame:
@@ -41,37 +40,45 @@ def _within(sets: DataFrame) -> DataFrame:
     return first.select("kind", "a", F.explode(F.slice("items", F.col("_p") + 2, F.size("items"))).alias("b"))
 
 
+def _products(members: DataFrame, chunk: int) -> tuple[DataFrame, DataFrame]:
+    """(arrays, pairs) of huge baskets (kind, basket_id, item, n): the items of each chunk, and the pairs across chunks."""
+    chunks = F.ceil(F.col("n") / chunk).cast("int")
+    placed = members.select("kind", "basket_id", "item", chunks.alias("of")).withColumn("no", F.pmod(F.xxhash64("item", F.lit(17)), F.col("of")).cast("int"))
+    held = materialise(placed.groupBy("kind", "basket_id", "of", "no").agg(F.array_sort(F.collect_list("item")).alias("items")), "chunks")
+    # every chunk goes to each product it takes part in
+    sent = held.select("kind", "basket_id", "no", "items", F.explode(F.sequence(F.lit(0), F.col("of") - 1)).alias("_o")).where("no <> _o")
+    sent = sent.select("kind", "basket_id", F.least("no", "_o").alias("lo"), F.greatest("no", "_o").alias("hi"), "items")
+    met = sent.groupBy("kind", "basket_id", "lo", "hi").agg(F.collect_list("items").alias("_c")).where("size(_c) = 2")  # chunks without items send nothing
+    cross = met.select("kind", F.col("_c")[1].alias("_r"), F.explode(F.col("_c")[0]).alias("_x")).select("kind", "_x", F.explode("_r").alias("_y"))
+    return held.select("kind", "items"), cross.select("kind", F.least("_x", "_y").alias("a"), F.greatest("_x", "_y").alias("b"))
+
+
 def pair_counts(kinds: dict[str, DataFrame], chunk: int = CHUNK) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(pairs, items, baskets): n_ab per pair, n per item and n per kind of basket, for baskets as built above."""
-    stored = None
-    in_parts = [kind for kind, baskets in kinds.items() if "part" in baskets.columns]
-    for kind, baskets in kinds.items():
-        typed = baskets.withColumn("kind", F.lit(kind)).withColumn("items", F.col("items").cast("array<long>"))
-        if kind not in in_parts:
-            typed = typed.withColumn("part", F.lit(0)).withColumn("n_items", F.size("items").cast("long"))
-        typed = typed.select("kind", "basket_id", "part", "n_items", "items")
-        stored = typed if stored is None else stored.unionByName(typed)
-    stored = materialise(stored, "baskets")  # read for the pairs, the items and the totals
-    ordinary = stored.where(F.col("n_items") <= chunk)
-    joined = ordinary.where(F.col("kind").isin(in_parts)).groupBy("kind", "basket_id").agg(F.array_sort(F.flatten(F.collect_list("items"))).alias("items"))
-    small = ordinary.where(~F.col("kind").isin(in_parts)).select("kind", "items").unionByName(joined.select("kind", "items"))
-    large = stored.where(F.col("n_items") > chunk)
-    singles = stored.select("kind", "basket_id", "items")
-    slices = F.transform(F.sequence(F.lit(0), F.floor((F.size("items") - 1) / chunk).cast("int")), lambda i: F.slice("items", i * chunk + 1, F.lit(chunk)))
-    cut = large.select("kind", "basket_id", "part", F.posexplode(slices).alias("_s", "items"))
-    numbered = cut.withColumn("no", F.row_number().over(Window.partitionBy("kind", "basket_id").orderBy("part", "_s")) - 1)
-    counted = numbered.withColumn("n", F.count("*").over(Window.partitionBy("kind", "basket_id")).cast("int"))
-    # every chunk goes to each product it takes part in
-    sent = counted.select("kind", "basket_id", "no", "items", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("_o"))
-    sent = sent.select("kind", "basket_id", F.least("no", "_o").alias("lo"), F.greatest("no", "_o").alias("hi"), "no", "items")
-    products = sent.groupBy("kind", "basket_id", "lo", "hi").agg(F.array_sort(F.collect_list(F.struct("no", "items"))).alias("_c"))
-    same = products.where("lo = hi").select("kind", F.col("_c")[0]["items"].alias("items"))
-    cross = products.where("lo < hi").select("kind", F.col("_c")[0]["items"].alias("_l"), F.col("_c")[1]["items"].alias("_r"))
-    cross = cross.select("kind", "_r", F.explode("_l").alias("_x")).select("kind", "_x", F.explode("_r").alias("_y"))
-    pairs = _within(small.unionByName(same)).unionByName(cross.select("kind", F.least("_x", "_y").alias("a"), F.greatest("_x", "_y").alias("b")))
+
+    def union(parts: list[DataFrame], schema: str) -> DataFrame:
+        out = next(iter(kinds.values())).sparkSession.createDataFrame([], schema)
+        for part in parts:
+            out = out.unionByName(part)
+        return out
+
+    arrays = [b.select(F.lit(k).alias("kind"), "basket_id", F.col("items").cast("array<long>").alias("items")) for k, b in kinds.items() if "items" in b.columns]
+    rows = [b.select(F.lit(k).alias("kind"), "basket_id", F.col("item").cast("long").alias("item")) for k, b in kinds.items() if "item" in b.columns]
+    # read for the pairs, the items and the totals
+    whole = materialise(union(arrays, "kind string, basket_id string, items array<long>"), "baskets")
+    members = materialise(union(rows, "kind string, basket_id string, item long"), "members")
+    sizes = materialise(members.groupBy("kind", "basket_id").agg(F.count("*").alias("n")), "sizes")
+    # a basket's size reaches its rows by (basket, part): a huge basket has more rows than parts
+    huge = sizes.where(F.col("n") > chunk).select("kind", "basket_id", "n", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    sized = members.withColumn("_salt", F.pmod(F.xxhash64("item", F.lit(23)), F.lit(SALTS)).cast("int")).join(huge, ["kind", "basket_id", "_salt"], "left")
+    small = sized.where("n IS NULL").groupBy("kind", "basket_id").agg(F.array_sort(F.collect_list("item")).alias("items")).select("kind", "items")
+    size = F.size("items")
+    large = whole.where(size > chunk).select("kind", "basket_id", F.explode("items").alias("item"), size.cast("long").alias("n"))
+    same, cross = _products(sized.where("n IS NOT NULL").select("kind", "basket_id", "item", "n").unionByName(large), chunk)
+    pairs = _within(whole.where(size <= chunk).select("kind", "items").unionByName(small).unionByName(same)).unionByName(cross)
     counts = pairs.groupBy("kind", "a", "b").agg(F.count("*").alias("n_ab"))
-    per_item = singles.select("kind", F.explode("items").alias("item")).groupBy("kind", "item").agg(F.count("*").alias("n_item"))
-    totals = singles.select("kind", "basket_id").distinct().groupBy("kind").agg(F.count("*").alias("n"))
+    per_item = whole.select("kind", F.explode("items").alias("item")).unionByName(members.select("kind", "item")).groupBy("kind", "item").agg(F.count("*").alias("n_item"))
+    totals = whole.select("kind").unionByName(sizes.select("kind")).groupBy("kind").agg(F.count("*").alias("n"))  # one basket a row
     return counts, per_item, totals
 
 
@@ -91,3 +98,9 @@ def associations(kinds: dict[str, DataFrame], least: dict[str, int] | None = Non
     joined = counts.join(n_a, ["kind", "a"]).join(n_b, ["kind", "b"]).join(F.broadcast(totals), "kind")  # one row per kind of basket
     lift = F.col("n_ab").cast("double") * F.col("n") / (F.col("n_a").cast("double") * F.col("n_b"))
     return joined.select("kind", "a", "b", "n_ab", "n_a", "n_b", "n", lift.alias("lift"), F.log2(lift).alias("pmi"))
+
+
+def more_than_chance(factor: int = 12) -> Column:
+    """Whether n_ab * n >= factor * n_a * n_b, exactly: in decimals of 38 digits, as the products leave the range of long integers."""
+    big = lambda c: F.col(c).cast("decimal(19,0)")
+    return big("n_ab") * big("n") >= F.lit(factor).cast("decimal(2,0)") * big("n_a") * big("n_b")

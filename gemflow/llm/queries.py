@@ -65,7 +65,7 @@ def _baskets(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Design pairs kept or shown together at least twelve times as often as by chance."""
-    pairs = cooccurrence.associations(_baskets(spark, sf_dir), LEAST).where("n_ab * n >= 12 * n_a * n_b")
+    pairs = cooccurrence.associations(_baskets(spark, sf_dir), LEAST).where(cooccurrence.more_than_chance(12))
     return pairs.select(F.col("kind").alias("basket"), F.col("a").alias("uid_a"), F.col("b").alias("uid_b"))
 
 

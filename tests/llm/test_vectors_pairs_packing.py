@@ -67,6 +67,21 @@ def test_pair_counts_equal_brute_force_at_every_chunk_size(spark):
     assert cooccurrence.associations(empty).count() == 0
 
 
+def test_a_huge_basket_and_products_beyond_long_integers(spark):
+    n = 3000
+    rows = spark.range(n).select(F.lit("all").alias("user_id"), F.col("id").alias("design_uid")).unionByName(spark.createDataFrame([("u", 1), ("u", 2), ("u", 2)], "user_id string, design_uid long"))
+    kinds = {"favorites": cooccurrence.row_baskets(rows, "user_id", "design_uid")}
+    counts, items, totals = cooccurrence.pair_counts(kinds)
+    seen = counts.agg(F.count("*"), F.sum("n_ab"), F.max("n_ab"), F.min(F.col("b") - F.col("a"))).first()
+    assert tuple(seen) == (n * (n - 1) // 2, n * (n - 1) // 2 + 1, 2, 1) and totals.first().n == 2 and items.count() == n
+    as_array = {"results": cooccurrence.array_baskets(spark.range(n).groupBy(F.lit(1).alias("id")).agg(F.collect_list("id").alias("uids")), "id", "uids")}
+    assert cooccurrence.pair_counts(as_array)[0].count() == n * (n - 1) // 2
+    edge = [(1, 10**10, 6 * 10**9, 2 * 10**10, 10**9), (2, 10**10, 6 * 10**9 + 1, 2 * 10**10, 10**9), (3, 10**10, 6 * 10**9, 2 * 10**10 - 1, 10**9)]
+    df = spark.createDataFrame([(i, ab * 12, a * 2, n, b) for i, ab, a, n, b in edge], "i int, n_ab long, n_a long, n long, n_b long")
+    want = [i for i, ab, a, n, b in edge if ab * 12 * n >= 12 * a * 2 * b]
+    assert [r.i for r in df.where(cooccurrence.more_than_chance(12)).collect()] == want
+
+
 def test_packing_respects_capacity_conflicts_and_copies(spark):
     r = random.Random(3)
     rows = [(i, "w" * r.randrange(0, 90) + str(i), r.choice(["scrape_raw", "press_note", "blog", None])) for i in range(400)]
