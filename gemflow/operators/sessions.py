@@ -62,33 +62,41 @@ def sessionize(events: DataFrame, user: str = "user_id", at: str = "created_at",
 class SessionTable:
     """A stored table of sessions that grows by batches.
 
-    Layout under ``path``: immutable version folders, one Parquet folder per storage bucket of users,
-    plus manifests. A manifest names the folder that holds each bucket; ``ingest`` writes new folders
-    first and then publishes the next manifest by one rename, so a reader sees all of a batch or
-    nothing, and a job that dies halfway leaves the old state.
+    Layout under ``path``: immutable version folders with Parquet files per storage bucket of users, plus manifests.
+    A manifest names the folder that holds each bucket; ``ingest`` writes new folders first and then publishes the next
+    manifest by one rename, so a reader sees all of a batch or nothing, and a job that dies halfway leaves the old
+    state. (On an object store without an atomic rename the store must offer a write that fails if the file is there.)
 
-    Events are known by ``key``: one that is already stored, or repeated inside the batch, counts once.
+    Buckets follow the size of the table: there are as many as keep ``rows_per_bucket`` events in one, by powers of two,
+    so the table is dealt anew only when it has doubled, and a batch rewrites just the buckets of its users.
+
+    Events are known by ``key``: one that is already stored, or repeated inside the batch, counts once. A batch is
+    compared only with stored keys within the range of its own, and the key files are merged as they grow in number.
     Rows without key, user or time take no part. Extra columns are ignored.
     """
 
-    def __init__(self, spark: SparkSession, path: str, gap_us: int = GAP_US, buckets: int = 16):
-        self.spark, self.path, self.gap_us, self.buckets = spark, path.rstrip("/"), gap_us, buckets
+    KEY_FILES = 16
+
+    def __init__(self, spark: SparkSession, path: str, gap_us: int = GAP_US, rows_per_bucket: int = 200_000):
+        self.spark, self.path, self.gap_us, self.rows_per_bucket = spark, path.rstrip("/"), gap_us, rows_per_bucket
         self._jvm = spark.sparkContext._jvm
         self._fs_path = self._jvm.org.apache.hadoop.fs.Path
         self._fs = self._fs_path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _bucket(self, user: Column) -> Column:
-        return F.pmod(F.xxhash64(user), F.lit(self.buckets)).cast("int")
+    @staticmethod
+    def _bucket(user: str, buckets: int) -> Column:
+        return F.pmod(F.xxhash64(user), F.lit(buckets)).cast("int")
 
     def _state(self) -> tuple[int, dict]:
-        """The newest manifest: (version, {"buckets": {bucket: folder}, "keys": [folders]})."""
+        """The newest manifest: (version, {"n": buckets, "rows": events, "buckets": {bucket: folder}, "keys": [files]})."""
+        empty = {"n": 1, "rows": 0, "buckets": {}, "keys": []}
         folder = self._fs_path(f"{self.path}/manifest")
         if not self._fs.exists(folder):
-            return 0, {"buckets": {}, "keys": []}
+            return 0, empty
         names = [s.getPath().getName() for s in self._fs.listStatus(folder)]
         done = sorted(int(n[1:-5]) for n in names if n.startswith("v") and n.endswith(".json"))
         if not done:
-            return 0, {"buckets": {}, "keys": []}
+            return 0, empty
         stream = self._fs.open(self._fs_path(f"{self.path}/manifest/v{done[-1]}.json"))
         try:
             text = self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
@@ -105,18 +113,50 @@ class SessionTable:
         if self._fs.exists(target) or not self._fs.rename(temporary, target):
             raise RuntimeError(f"another writer published version {version} first")
 
-    def _stored(self, state: dict, buckets: set[int] | None = None) -> DataFrame | None:
-        wanted = sorted({d for b, d in state["buckets"].items() if buckets is None or int(b) in buckets})
-        if not wanted:
-            return None
-        live = [(int(b), d) for b, d in state["buckets"].items() if buckets is None or int(b) in buckets]
-        schema = "user_id string, start_us long, end_us long, n_events long"
-        return self.spark.read.schema(schema).parquet(*[f"{d}/bucket={b}" for b, d in live])
+    def _stored(self, state: dict, buckets: set[int] | None = None) -> DataFrame:
+        """The sessions of some buckets (None: of all)."""
+        out = self.spark.createDataFrame([], "user_id string, start_us long, end_us long, n_events long")
+        folders: dict[str, list[int]] = {}
+        for b, folder in state["buckets"].items():
+            if buckets is None or int(b) in buckets:
+                folders.setdefault(folder, []).append(int(b))
+        for folder, own in sorted(folders.items()):
+            part = self.spark.read.schema("user_id string, start_us long, end_us long, n_events long, bucket int").parquet(folder)
+            out = out.unionByName(part.where(F.col("bucket").isin(own)).drop("bucket"))
+        return out
 
     def read(self) -> DataFrame:
         """All stored sessions."""
-        found = self._stored(self._state()[1])
-        return found if found is not None else self.spark.createDataFrame([], "user_id string, start_us long, end_us long, n_events long")
+        return self._stored(self._state()[1])
+
+    def _unseen(self, batch: DataFrame, keys: list[dict], home: str) -> tuple[DataFrame, dict] | None:
+        """The batch's events that are not stored yet, written, and their key file; None where there are none."""
+        schema = "_key long, _user string, _at timestamp"
+
+        def written(df: DataFrame, name: str) -> tuple[DataFrame, dict]:
+            df.write.parquet(f"{home}/{name}")
+            events = self.spark.read.schema(schema).parquet(f"{home}/{name}")
+            low, high, rows = events.agg(F.min("_key"), F.max("_key"), F.count("*")).first()
+            return events, {"path": f"{home}/{name}", "low": low, "high": high, "rows": rows}
+
+        events, file = written(batch, "events")
+        if not file["rows"]:
+            return None
+        near = [k["path"] for k in keys if k["low"] <= file["high"] and k["high"] >= file["low"]]
+        if not near:
+            return events, file
+        known = self.spark.read.schema(schema).parquet(*near).where(F.col("_key").between(file["low"], file["high"])).select("_key")
+        events, file = written(events.join(known, "_key", "left_anti"), "unseen")
+        return (events, file) if file["rows"] else None
+
+    def _merged_keys(self, keys: list[dict], home: str) -> list[dict]:
+        """The key files; once they are many, the smaller half of them as one, sorted so that ranges are read alone."""
+        if len(keys) <= self.KEY_FILES:
+            return keys
+        keys = sorted(keys, key=lambda k: k["rows"])
+        old, rest = keys[: len(keys) // 2], keys[len(keys) // 2 :]
+        self.spark.read.schema("_key long").parquet(*[k["path"] for k in old]).repartitionByRange("_key").sortWithinPartitions("_key").write.parquet(f"{home}/keys")
+        return [*rest, {"path": f"{home}/keys", "low": min(k["low"] for k in old), "high": max(k["high"] for k in old), "rows": sum(k["rows"] for k in old)}]
 
     def ingest(self, batch: DataFrame, key: str = "id", user: str = "user_id", at: str = "created_at") -> None:
         """Add one batch of events, late ones included."""
@@ -124,25 +164,29 @@ class SessionTable:
         new = batch.select(F.col(key).cast("long").alias("_key"), F.col(user).cast("string").alias("_user"), F.col(at).alias("_at"))
         new = new.where("_key IS NOT NULL AND _user IS NOT NULL AND _at IS NOT NULL")
         new = new.groupBy("_key").agg(F.min(F.struct("_at", "_user")).alias("_row")).select("_key", "_row._user", "_row._at")
-        if state["keys"]:
-            new = new.join(self.spark.read.parquet(*state["keys"]), "_key", "left_anti")
         home = f"{self.path}/version-{version + 1}-{uuid.uuid4().hex[:8]}"
-        new.write.parquet(f"{home}/events")
-        events = self.spark.read.schema("_key long, _user string, _at timestamp").parquet(f"{home}/events")
-        local = merge_sessions(local_parts(events, "_user", "_at", self.gap_us), self.gap_us)
-        affected = {r[0] for r in events.select(self._bucket(F.col("_user"))).distinct().collect()}  # at most self.buckets rows
-        if not affected:
+        found = self._unseen(new, state["keys"], home)
+        if found is None:
             return
-        stored = self._stored(state, affected)
-        if stored is not None:
-            touched = local.groupBy("user_id").agg(F.min("start_us").alias("_lo"), F.max("end_us").alias("_hi"))
-            near = (F.col("end_us") >= F.col("_lo") - self.gap_us) & (F.col("start_us") <= F.col("_hi") + self.gap_us)
-            marked = stored.join(touched, "user_id", "left").withColumn("_near", F.coalesce(near, F.lit(False)))
-            apart = marked.where("NOT _near").select(*SESSION_COLUMNS)
-            merged = merge_sessions(marked.where("_near").select(*SESSION_COLUMNS).unionByName(local), self.gap_us).unionByName(apart)
+        events, file = found
+        rows, count = state["rows"] + file["rows"], state["n"]
+        while count * self.rows_per_bucket < rows:
+            count *= 2
+        affected = {r[0] for r in events.select(self._bucket("_user", state["n"])).distinct().collect()}  # at most the number of buckets
+        stored = self._stored(state, None if count > state["n"] else affected)
+        local = merge_sessions(local_parts(events, "_user", "_at", self.gap_us), self.gap_us)
+        touched = local.groupBy("user_id").agg(F.min("start_us").alias("_lo"), F.max("end_us").alias("_hi"))
+        near = (F.col("end_us") >= F.col("_lo") - self.gap_us) & (F.col("start_us") <= F.col("_hi") + self.gap_us)
+        marked = stored.join(touched, "user_id", "left").withColumn("_near", F.coalesce(near, F.lit(False)))
+        apart = marked.where("NOT _near").select(*SESSION_COLUMNS)
+        merged = merge_sessions(marked.where("_near").select(*SESSION_COLUMNS).unionByName(local), self.gap_us).unionByName(apart)
+        merged = merged.withColumn("bucket", self._bucket("user_id", count))
+        if count > 1:
+            merged = merged.repartition("bucket")
+        merged.write.partitionBy("bucket").parquet(f"{home}/sessions")
+        if count > state["n"]:
+            buckets = dict.fromkeys(map(str, range(count)), f"{home}/sessions")
         else:
-            merged = local
-        merged.withColumn("bucket", self._bucket(F.col("user_id"))).repartition("bucket").write.partitionBy("bucket").parquet(f"{home}/sessions")
-        buckets = state["buckets"] | {str(b): f"{home}/sessions" for b in affected}
-        events.select("_key").write.parquet(f"{home}/keys")
-        self._publish(version + 1, {"buckets": buckets, "keys": [*state["keys"], f"{home}/keys"]})
+            buckets = state["buckets"] | {str(b): f"{home}/sessions" for b in affected}
+        keys = self._merged_keys([*state["keys"], file], home)
+        self._publish(version + 1, {"n": count, "rows": rows, "buckets": buckets, "keys": keys})

@@ -56,7 +56,7 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sessions per length class, with their duration; a one-pass view over the same operator."""
+    """Sessions per length class, with their duration, over the same incremental table."""
     found = p7_found(spark, sf_dir)
     size = F.when(F.col("n_searches") == 1, "single").when(F.col("n_searches") <= 5, "short").otherwise("long")
     return found.groupBy(size.alias("size_class")).agg(

@@ -82,3 +82,15 @@ def test_two_writers_cannot_publish_one_version(spark):
     table.ingest(frame(spark, [(1, "a", 0, "")]))
     with pytest.raises(RuntimeError):
         table._publish(1, {"buckets": {}, "keys": []})
+
+
+def test_buckets_grow_and_key_files_merge(spark, monkeypatch):
+    monkeypatch.setattr(SessionTable, "KEY_FILES", 3)
+    data = rows(240, 5)
+    table = SessionTable(spark, scratch_path(spark, "t"), rows_per_bucket=30)
+    for at in range(0, 240, 40):
+        table.ingest(frame(spark, data[at : at + 40]))
+    table.ingest(frame(spark, data[100:130]))  # all stored before
+    _, state = table._state()
+    assert state["n"] >= 4 and len(state["buckets"]) == state["n"] and len(state["keys"]) <= 4
+    assert sum(k["rows"] for k in state["keys"]) == state["rows"] and result(table.read()) == brute(data)
