@@ -9,9 +9,9 @@ Three steps:
    the ratio of two known units is a stretch written in another unit, and is reversed.
 3. Conversion in exact decimals, rounded half up.
 
-A source that holds a third of all rows is no hot task: histories are range-partitioned on (source,
-quantity, time, key), so one long history spreads over many tasks, each cutting its own runs in
-blocks, while the usual level of a source comes from a pre-aggregated quantile sketch.
+A source that holds a third of all rows is no hot task: the values of a history are ranked by range-partitioned
+running sums, and blocks of ranks, with the values around them, are searched apart, while the usual level of a
+source comes from a pre-aggregated quantile sketch.
 """
 
 from __future__ import annotations
@@ -23,11 +23,12 @@ from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gemflow.operators.nested import latest, read_json, unwrap
-from gemflow.session import cores_of
+from gemflow.operators.prefix import running_sum
+from gemflow.session import materialise
 
 # Unit writings (lower case, without dots and blanks at the ends) and their size in the
 # base of their kind: milligrams for mass, hundredths of a millimetre for length.
@@ -376,73 +377,65 @@ def _log_factors(quantity: str) -> dict[str, float]:
     return {u: math.log(float(_BASE[usual] / _BASE[u])) for u in kind if u != usual}
 
 
-HISTORY = RAW + ", level double, spread double, logv double"
+HISTORY = RAW + ", shift string"
+#: Values that one search reads as its own, and those around them that it reads along.
+BLOCK, AROUND = 4096, 512
 
 
-def segment_histories(raw: DataFrame, strength: float = 3.0, tolerance: float = 0.9, block: int = 4096) -> DataFrame:
+def segment_histories(raw: DataFrame, strength: float = 3.0, tolerance: float = 0.9, block: int = BLOCK, around: int = AROUND, prior: int = 12) -> DataFrame:
     """Mark the values that lie in a stretch written in another unit: adds ``shift``, the unit found.
 
-    Values enter by the logarithm of their stated size (bare numbers as if in the usual unit). The usual
-    level and spread of a (source, quantity, currency) are its quartiles. A segment counts as shifted when
-    its mean lies within ``tolerance`` spreads (at least 0.25) of a known factor and nearer to that than to
-    no shift. ``strength`` times log n is the penalty, in spreads squared.
+    Values enter by the logarithm of their stated size (bare numbers as if in the usual unit). The usual level and
+    spread of a (source, quantity, currency) are its quartiles, drawn towards those of all sources as if ``prior`` values
+    of these belonged to it; the fewer values there are in all, the wider the spread, so that few values tell no unit. A segment counts as shifted when its mean lies within ``tolerance`` spreads (at least
+    0.25) of exactly one known factor and nearer to that than to no shift. ``strength`` times log n, with n the
+    length of the history, is the penalty, in spreads squared.
+
+    A history is searched in blocks of ``block`` values by rank, each together with ``around`` values on either side, so that a
+    stretch across an edge is seen whole from both sides if it reaches no further than that. Ranks are exact, so the
+    result depends neither on partitions nor on cores. Values that are zero, negative or no numbers are not marked.
     """
     size = F.col("value").cast("double")
     factor = F.create_map(*[x for u, b in _BASE.items() for x in (F.lit(u), F.lit(float(b)))])
     usual = F.create_map(*[x for q, (_, u, _) in QUANTITIES.items() for x in (F.lit(q), F.lit(float(_BASE[u])))])
     logv = F.when(F.col("quantity") == "price", F.log(size)).otherwise(F.log(size * F.coalesce(F.try_element_at(factor, F.col("unit")), usual[F.col("quantity")])))
-    valued = raw.withColumn("logv", F.when(size > 0, logv)).where("logv IS NOT NULL")
-    valued = valued.withColumn("_code", F.coalesce("code", F.lit("")))
-    stated = F.when(F.col("unit").isNotNull(), F.col("logv"))
+    stored = materialise(raw.withColumn("_log", F.when(size > 0, logv)).withColumn("_code", F.coalesce("code", F.lit(""))).withColumn("_source", F.coalesce("source", F.lit(""))), "history")
+    valued = stored.where("_log IS NOT NULL")
+    stated = F.when(F.col("unit").isNotNull(), F.col("_log"))
     quart = F.percentile_approx(stated, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 1000)
-    levels = valued.groupBy("source", "quantity", "_code").agg(quart.alias("_q"), F.count(stated).alias("_n"))
+    levels = valued.groupBy("_source", "quantity", "_code").agg(quart.alias("_q"), F.count(stated).alias("_n"), F.count("*").alias("_length"))
     everywhere = valued.groupBy("quantity", "_code").agg(quart.alias("_g"), F.count(stated).alias("_m"))
     levels = levels.join(everywhere, ["quantity", "_code"])
-    # a source with few values takes the level of all sources; with few of those too, nothing is known
-    pick = F.when(F.col("_n") >= 12, F.col("_q")).when(F.col("_m") >= 12, F.col("_g"))
-    levels = levels.select(
-        F.col("source").alias("_s"), F.col("quantity").alias("_k"), F.col("_code").alias("_c"),
-        pick[1].alias("level"), F.greatest((pick[2] - pick[0]) / 1.349, F.lit(0.2)).alias("spread"),
-    )
-    joined = valued.join(levels, F.col("source").eqNullSafe(F.col("_s")) & (F.col("quantity") == F.col("_k")) & (F.col("_code") == F.col("_c")), "left")
-    joined = joined.select(*raw.columns, "level", "spread", "logv")
-    parts = cores_of(raw.sparkSession)
-    ordered = joined.repartitionByRange(parts, "quantity", "code", "source", "at", "row_id", "seq").sortWithinPartitions("quantity", "code", "source", "at", "row_id", "seq")
+
+    def drawn(i: int) -> Column:
+        return F.when(F.col("_n") > 0, (F.col("_n") * F.col("_q")[i] + prior * F.col("_g")[i]) / (F.col("_n") + prior)).otherwise(F.col("_g")[i])
+
+    levels = levels.select("_source", "quantity", "_code", drawn(1).alias("_level"), (F.greatest((drawn(2) - drawn(0)) / 1.349, F.lit(0.2)) * F.sqrt(1 + prior / F.col("_m"))).alias("_spread"), "_length")
+    history = ["quantity", "_code", "_source"]
+    keys = valued.select(*history, "at", "row_id", "seq", "src", "_log").withColumn("_one", F.lit(1))
+    ranked = running_sum(keys, history, ["at", "row_id", "seq", "src"], "_one", "_rank")
+    own, place = F.floor(F.col("_rank") / block), F.col("_rank") % block
+    seen = F.array_compact(F.array(own, F.when((place < around) & (own > 0), own - 1), F.when(place >= block - around, own + 1)))
+    placed = ranked.select("*", own.alias("_own"), F.explode(seen).alias("_block")).join(levels.where("_level IS NOT NULL"), history)
 
     def cut(run: pd.DataFrame) -> pd.DataFrame:
+        run = run.sort_values("_rank")
+        level, spread, known = run["_level"].iloc[0], run["_spread"].iloc[0], _log_factors(run["quantity"].iloc[0])
+        x = (run["_log"].to_numpy() - level) / spread
         shift = np.array([None] * len(run), dtype=object)
-        level, spread = run["level"].iloc[0], run["spread"].iloc[0]
-        if level is not None and level == level:
-            known = _log_factors(run["quantity"].iloc[0])
-            for at in range(0, len(run), block):
-                x = (run["logv"].to_numpy()[at : at + block] - level) / spread
-                starts = changepoints(x, strength * math.log(max(len(x), 3)))
-                for a, b in zip(starts, [*starts[1:], len(x)]):
-                    mean = float(x[a:b].mean()) * spread
-                    # a value written in a smaller unit reads larger
-                    unit, off = min(((u, abs(mean - f)) for u, f in known.items()), key=lambda p: p[1])
-                    if off < max(0.25, tolerance * spread) and off < abs(mean) / 2:
-                        shift[at + a : at + b] = unit
-        return run.assign(shift=shift)
-
-    def runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """The sorted partition, one source history at a time, in pieces of whole blocks."""
-        held: pd.DataFrame | None = None
-        for pdf in batches:
-            held = pdf if held is None or not len(held) else pd.concat([held, pdf], ignore_index=True)
-            ids = held[["quantity", "code", "source"]].fillna("").agg("\x1f".join, axis=1)
-            edges = np.flatnonzero(np.concatenate(([True], ids.to_numpy()[1:] != ids.to_numpy()[:-1])))
-            last = int(edges[-1]) if len(edges) else 0
-            for a, b in zip(edges[:-1], edges[1:]):
-                yield cut(held.iloc[a:b])
-            whole = (len(held) - last) // block * block
-            if whole:
-                yield cut(held.iloc[last : last + whole])
-            held = held.iloc[last + whole :].reset_index(drop=True)
-        if held is not None and len(held):
-            yield cut(held)
-
-    return ordered.mapInPandas(runs, HISTORY + ", shift string")
+        starts = changepoints(x, strength * math.log(max(int(run["_length"].iloc[0]), 3)))
+        near = max(0.25, tolerance * spread)
+        for a, b in zip(starts, [*starts[1:], len(x)]):
+            mean = float(x[a:b].mean()) * spread
+            # a value written in a smaller unit reads larger
+            fits = [u for u, f in known.items() if abs(mean - f) < near and abs(mean - f) < abs(mean) / 2]
+            if len(fits) == 1:
+                shift[a:b] = fits[0]
+        out = run.assign(shift=shift)
+        return out.loc[(out["_own"] == out["_block"]) & out["shift"].notna(), [*history, "row_id", "seq", "src", "shift"]]
+
+    marks = placed.groupBy(*history, "_block").applyInPandas(cut, "quantity string, _code string, _source string, row_id long, seq long, src string, shift string")
+    return stored.join(marks, [*history, "row_id", "seq", "src"], "left").select(*raw.columns, "shift")
 
 
 def convert(marked: DataFrame, rates: DataFrame) -> DataFrame:

@@ -33,9 +33,8 @@ def p2_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quantities whose unit is stated, in common units; a stretch of prices in minor units is reversed."""
-    known = p6_quantities(spark, sf_dir).where("amount IS NOT NULL AND (quantity = 'price' OR unit_via IN ('value', 'label', 'note'))")
-    return known.select("src", "row_id", "quantity", "amount").distinct()
+    """Quantities in common units: those whose unit is stated, and those whose unit one level shift of the source's history tells."""
+    return p6_quantities(spark, sf_dir).where("amount IS NOT NULL").select("src", "row_id", "quantity", "amount").distinct()
 
 
 def p6_quantities(spark: SparkSession, sf_dir: str) -> DataFrame:

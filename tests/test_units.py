@@ -4,6 +4,7 @@ from decimal import Decimal
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from gemflow.operators import units as U
 
@@ -72,6 +73,16 @@ def test_a_stretch_in_minor_units_is_reversed(spark):
     assert all(abs(got[i][0] - 100_000 * (1 + 0.1 * math.sin(i))) < 2 for i in got)
 
 
+def test_blocks_and_partitions_do_not_change_stretches(spark):
+    rows = [("web", "shop", i, None, "price", str(round(1000 * (1 + 0.1 * math.sin(i)) * (100 if 55 <= i < 75 or i == 200 else 1), 2)), "1", "value", "INR", 0) for i in range(400)]
+    rows += [("web", None, 1000 + i, None, "price", "0" if i == 3 else "12.5", "1", "value", None, 0) for i in range(5)]
+    raw = spark.createDataFrame(rows, U.RAW).withColumn("at", F.timestamp_seconds("row_id"))
+    want = {i for i in range(55, 75)} | {200}
+    for block, around, parts in ((4096, 512, 1), (64, 48, 3), (32, 32, 9)):
+        got = U.segment_histories(raw.repartition(parts), block=block, around=around).collect()
+        assert len(got) == 405 and {r.row_id for r in got if r.shift == "minor"} == want
+
+
 def test_specs_to_common_units(spark):
     doc = {"description": "All weights in tola, stones in cents, sizes in inches.", "specs": [None, {"label": "Net Wt.", "value": "0.2"}, {"label": "Diamond Weight", "value": "0.5 ct"}, {"label": "Size (W x H)", "value": "1.5 x 2 cm"}, {"label": "Gross Wt. (dwt)", "value": "2"}]}
     rows = [(1, json.dumps(doc)), (1, json.dumps(doc)), (2, "{broken"), (3, None), (None, json.dumps(doc)), (4, json.dumps({"specs": {"label": "Weight", "value": "1,234 mg"}})), (5, json.dumps({"specs": [{"label": "Weight", "value": "12"}]}))]
