@@ -12,7 +12,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gemflow.session import cores_of, scratch_path
+from gemflow.session import cores_of, materialise, scratch_path
+
+#: Rows of starts that are sent to all executors.
+BROADCAST_ROWS = 500_000
 
 
 def running_sum(df: DataFrame, groups: Sequence[str], order: Sequence[str], value: str, out: str, partitions: int | None = None) -> DataFrame:
@@ -29,7 +32,7 @@ def running_sum(df: DataFrame, groups: Sequence[str], order: Sequence[str], valu
     df.repartitionByRange(parts, *keys).withColumn("_part", F.spark_partition_id()).write.parquet(path)
     stored = spark.read.parquet(path)
     amount = F.coalesce(F.col(value).cast("long"), F.lit(0))
-    totals = stored.groupBy("_part", *groups).agg(F.sum(amount).alias("_total"))
+    totals = materialise(stored.groupBy("_part", *groups).agg(F.sum(amount).alias("_total")), "totals")
     before = Window.partitionBy(*[F.col(g) for g in groups]).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.withColumn("_start", F.coalesce(F.sum("_total").over(before), F.lit(0))).drop("_total")
     starts = starts.select(F.col("_part").alias("_p"), *[F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)], "_start")
@@ -38,6 +41,6 @@ def running_sum(df: DataFrame, groups: Sequence[str], order: Sequence[str], valu
     same = F.col("_part") == F.col("_p")
     for i, g in enumerate(groups):
         same = same & F.col(g).eqNullSafe(F.col(f"_g{i}"))
-    # bounded by partitions x groups that meet in a partition
-    joined = local.join(F.broadcast(starts), same)
+    # partitions x groups that meet in a partition; with very many groups a plain join
+    joined = local.join(F.broadcast(starts) if totals.count() <= BROADCAST_ROWS else starts, same)
     return joined.withColumn(out, F.col("_inside") + F.col("_start")).select(*df.columns, out)

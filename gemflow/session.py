@@ -57,8 +57,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/gemflow/{label}-{uuid.uuid4().hex[:12]}"
+    """A fresh path in the shared folder, under the name of the application."""
+    return f"{shared_dir(spark)}/gemflow/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex[:12]}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all intermediate results of this application.
+
+    DataFrames that queries gave read them, so this is for after the last of those was written or collected.
+    """
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/gemflow/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialise(df: DataFrame, label: str = "step") -> DataFrame:
@@ -79,7 +88,9 @@ def ship_package(spark: SparkSession) -> None:
     if getattr(spark.sparkContext, "_gemflow_shipped", False):
         return
     root = Path(__file__).resolve().parent
-    archive = Path(tempfile.mkdtemp(prefix="gemflow-code-")) / "gemflow.zip"
+    folder = tempfile.mkdtemp(prefix="gemflow-code-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = Path(folder) / "gemflow.zip"
     with zipfile.ZipFile(archive, "w") as out:
         for file in sorted(root.rglob("*.py")):
             out.write(file, Path(root.name) / file.relative_to(root))

@@ -78,6 +78,67 @@ def test_slate_and_budget(spark):
     assert sorted(r.id for r in rerank.budget_fill(files, "size", ["id"], 10, "id").collect()) == [1, 3, 4]
 
 
+def test_budget_equals_a_fold(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, None if i == 7 else int(v), None if i % 11 == 0 else i % 13) for i, v in enumerate(rng.integers(0, 60, 120))]
+    left, want = 500, []
+    for i, v, _ in sorted(rows, key=lambda r: (r[2] is not None, r[2] or 0, r[0])):
+        if v is not None and v <= left:
+            left -= v
+            want.append(i)
+    got = rerank.budget_fill(spark.createDataFrame(rows, "id long, size long, at int"), "size", ["at"], 500, "id")
+    assert sorted(r.id for r in got.collect()) == sorted(want)
+
+
+def test_browse_equals_the_rule(spark):
+    rng = np.random.default_rng(1)
+    rows = [("r", i, f"f{i // 2}", None if i % 9 == 0 else float(rng.integers(0, 6)), [float(v) for v in rng.normal(size=2)]) for i in range(150)] + [(None, 900, "x", 1.0, [1.0, 0.0]), ("r", 901, "x", 1.0, None)]
+    df = spark.createDataFrame(rows, "category string, item long, family string, richness double, vec array<double>")
+    known = sorted(r[3] for r in rows if r[3] is not None)
+    median = spark.createDataFrame([(x,) for x in known], "x double").selectExpr("percentile_approx(x, 0.5, 10000)").first()[0]
+    first = {}
+    for c, i, f, rich, v in sorted((r for r in rows if r[0] and r[4]), key=lambda r: (-(median if r[3] is None else r[3]), r[1])):
+        first.setdefault(f, (i, np.array(v) / np.linalg.norm(v)))
+    wait, shown = list(first.values()), []
+    while wait:
+        fine = [w for w in wait[:50] if all(w[1] @ s[1] < 0.93 for s in shown[-6:])]
+        shown.append((fine or wait)[0])
+        wait = [w for w in wait if w is not shown[-1]]
+    for size in (10_000, 7):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        got = [r["item"] for r in rerank.browse(df).orderBy("position").collect()]
+        assert got == [i for i, _ in shown]
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_slate_equals_the_rule(spark):
+    rng = np.random.default_rng(2)
+    rows = [(u, i, float(rng.integers(0, 9)) / 9, ["recent", "popular", "explore", "for_you"][rng.integers(0, 4)], f"t{rng.integers(0, 3)}", f"m{rng.integers(0, 12)}", [float(v) for v in rng.normal(size=3)]) for u in ("a", "b", "c") for i in range(60)]
+    rows += [(None, 1, 1.0, "recent", "t", "m", [1.0, 0.0, 0.0]), ("d", 1, None, "recent", "t", "m", [1.0, 0.0, 0.0])]
+    want = {}
+    for u in ("a", "b", "c"):
+        own = [(r, np.array(r[6]) / np.linalg.norm(r[6])) for r in rows if r[0] == u]
+        picked = []
+        while len(picked) < 5:
+            fits = [(r, v) for r, v in own if all(r[1] != p[0][1] and r[5] != p[0][5] for p in picked)
+                    and sum(p[0][3] == r[3] for p in picked) < {"recent": 2, "popular": 1, "explore": 1}.get(r[3], 5) and sum(p[0][4] == r[4] for p in picked) < 3]
+            if not fits:
+                break
+            near = lambda v: max((v @ p[1] for p in picked), default=0.0)
+            picked.append(max(fits, key=lambda c: (c[0][3] == "recent", c[0][2] if c[0][3] == "recent" else 0.7 * c[0][2] - 0.9 * near(c[1]), c[0][2], -c[0][1])))
+        want[u] = [p[0][1] for p in picked]
+    got = {}
+    for r in rerank.slate(spark.createDataFrame(rows, "user_id string, item long, score double, kind string, type string, meaning string, vec array<double>")).orderBy("position").collect():
+        got.setdefault(r.user_id, []).append(r["item"])
+    assert got == want
+
+
+def test_spread_takes_the_rest_of_a_shop_later(spark):
+    rows = [(1, 1, 1.0, 7, [1.0, 0.0]), (1, 2, 0.99, 7, [1.0, 0.001]), (1, 3, 0.95, 7, [0.0, 1.0]), (1, 4, 0.9, 8, [0.7, -0.7]), (1, 5, None, 8, [1.0, 1.0]), (1, 6, 0.5, 8, None)]
+    got = [r["item"] for r in rerank.spread(spark.createDataFrame(rows, "query long, item long, score double, shop long, vec array<double>"), k=3).orderBy("position").collect()]
+    assert got == [1, 4, 3]
+
+
 def test_filters_relax_with_a_note(spark):
     rows = [("q", i, i < 3, i / 40) for i in range(40)] + [("p", i, True, 0.9) for i in range(40)]
     df = spark.createDataFrame(rows, "query_id string, id long, flag boolean, p double")
