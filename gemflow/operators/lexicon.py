@@ -1,14 +1,17 @@
 """Free-text queries to filters: spelling repair, longest-match terms, negation, resolution.
 
 The lexicon is a parameter. A small one written for this package serves tests and queries; real ones are
-content. Matching consumes spans from left to right, longest term first, which is sequential within a text, so
-it runs row by row inside Arrow batches; the lexicon is a fixed table and travels with the function.
+content. Matching consumes spans, longest term first, which is sequential within a text, so it runs row by row
+inside Arrow batches; the lexicon is a fixed table and travels with the function.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -16,113 +19,248 @@ from pyspark.sql import functions as F
 
 from gemflow.functions.text import osa_distance
 
-#: term, kind, value. Kinds: category, metal, shape, intent.
-SAMPLE = [
-    ("ring", "category", "ring"), ("rings", "category", "ring"), ("bands", "category", "ring"), ("earring", "category", "earrings"), ("earrings", "category", "earrings"),
-    ("pair of earrings", "category", "earrings"), ("studs", "category", "earrings"), ("hoops", "category", "earrings"), ("pendant", "category", "pendant"), ("pendants", "category", "pendant"),
-    ("necklace", "category", "necklace"), ("necklaces", "category", "necklace"), ("choker", "category", "necklace"), ("bracelet", "category", "bracelet"), ("bracelets", "category", "bracelet"),
-    ("bangle", "category", "bracelet"), ("bangles", "category", "bracelet"), ("anklet", "category", "anklet"), ("anguthi", "category", "ring"), ("haar", "category", "necklace"),
-    ("अंगूठी", "category", "ring"), ("हार", "category", "necklace"), ("વીંટી", "category", "ring"), ("હાર", "category", "necklace"),
-    ("gold", "metal", "yellow_gold"), ("yellow gold", "metal", "yellow_gold"), ("white gold", "metal", "white_gold"), ("rose gold", "metal", "rose_gold"), ("silver", "metal", "white_gold"), ("platinum", "metal", "white_gold"),
-    ("round", "shape", "round"), ("oval", "shape", "oval"), ("pear", "shape", "pear"), ("princess cut", "shape", "princess"), ("emerald cut", "shape", "emerald"), ("marquise", "shape", "marquise"), ("heart", "shape", "heart"),
-    ("diamond", "intent", "diamond"), ("pearl", "intent", "pearl"), ("ruby", "intent", "ruby"), ("sapphire", "intent", "sapphire"), ("emerald", "intent", "emerald"), ("halo", "intent", "halo"),
-    ("solitaire", "intent", "solitaire"), ("plain", "intent", "plain"), ("heavy", "intent", "heavy"), ("light", "intent", "light"), ("floral", "intent", "floral"), ("twisted", "intent", "twisted"), ("vintage", "intent", "vintage"),
-]
+# A small sample: kind, then value to its terms. A metal value after ``~`` is one that is shown as another, with a note.
+_SAMPLE = {
+    "category": {
+        "ring": "ring, rings, anguthi, vinti, अंगूठी, વીંટી, વીટી", "earrings": "earring, earrings, ear rings, studs, stud, hoops, jhumka, butti, बाली, કાનની બુટ્ટી, બુટ્ટી",
+        "pendant": "pendant, pendants, locket, पेंडेंट, પેન્ડન્ટ", "necklace": "necklace, necklaces, haar, choker, rani haar, chain, हार, હાર", "bracelet": "bracelet, bracelets, bangle, bangles, cuff, kada, chain bracelet, कंगन, બંગડી",
+        "anklet": "anklet, anklets, payal",
+    },
+    "metal": {
+        "rose_gold": "rose gold, pink gold, रोज़ गोल्ड, રોઝ ગોલ્ડ", "white_gold": "white gold, सफेद सोना, સફેદ સોનું", "white_gold~silver": "silver, platinum, chandi, चांदी, ચાંદી", "yellow_gold": "yellow gold, पीला सोना",
+    },
+    "shape": {
+        "oval": "oval", "pear": "pear, drop shaped, teardrop, बूंद, ટીપા જેવો", "princess": "princess, princess cut", "emerald": "emerald cut", "marquise": "marquise", "cushion": "cushion, cushion cut", "round": "round, गोल, ગોળ",
+    },
+    "intent": {
+        "solitaire": "solitaire, single diamond, single stone, one diamond, centre diamond, center diamond, center stone, diamond on center, single round diamond, एक हीरा, सॉलिटेयर, એક હીરો", "halo": "halo, surrounded by diamonds",
+        "side_stones": "side stones, side diamonds, pave, stones on the sides", "big_stone": "bigstone", "three_stone": "three stone, three stones, trilogy, on each side", "prong": "prong, prongs", "bezel": "bezel",
+        "single_row": "single row, one row", "rows": "rows, multiple layers, layers", "tennis": "tennis, eternity", "cluster": "cluster, lots of diamonds", "diamond": "diamond, diamonds, stone, stones, heera, sparkling, हीरा, हीरे, હીરા, ચમકદાર, चमकदार",
+        "coloured_stone": "ruby, emerald, sapphire, gemstone", "pearl": "pearl, pearls, moti", "plain": "plain gold, plain band, plain", "drop": "drop, dangling, hanging", "thin": "thin, slim, thin width, thin band, patli, पतली, પાતળી",
+        "wide": "wide, broad, wide band", "minimal": "simple, minimal, light, small, halki, નાની, સાદી, सादी", "statement": "heavy, big, bold, bhari, ભારે, भारी", "everyday": "everyday, daily, daily use, office wear, રોજ, रोज़",
+        "bridal": "bridal, wedding, bride, dulhan, લગ્ન, शादी", "engagement": "engagement, sagai", "party": "party, festive, पार्टी", "floral": "floral, flower, flowers, phool", "heart": "heart, hearts, હાર્ટ", "leaf": "leaf, leaves",
+        "twisted": "twisted", "open_design": "open design, gap, two ends", "men": "men, mens, men's, gents, husband, father", "women": "women, mother, wife, sister, મમ્મી, माँ", "gift": "gift, birthday",
+    },
+}
+#: term, kind, value.
+SAMPLE = [(term, kind, value) for kind, values in _SAMPLE.items() for value, terms in values.items() for term in terms.split(", ")]
+#: Forms of a piece that a type word names besides the type.
+FORMS = {"hoops": "hoop", "stud": "stud", "studs": "stud", "jhumka": "jhumka", "bangle": "bangle", "bangles": "bangle", "kada": "bangle", "cuff": "cuff", "chain bracelet": "flexible", "choker": "choker", "rani haar": "rani_haar"}
 
-#: Words that negate what comes next (ahead) or what came before (back).
-AHEAD, BACK, LINKS = {"without", "no", "not", "bina", "ohne", "sans"}, {"nahi", "na"}, {"and", "or", "nor", "too", "a", "an", "any"}
+# Cues of negation, and where the negated term is looked for first (> ahead, < behind).
+CUES = {
+    "no more": ">", "not any": ">", "do not want": ">", "don't want": ">", "dont want": ">", "no": ">", "not": ">", "without": ">", "avoid": ">", "except": ">", "never": ">", "zero": ">", "free of": ">",
+    "bina": "><", "bagair": "><", "nahi": "<>", "nahin": "<>", "nai": "<", "free": "<", "vagar": "<", "na joie": "<", "na ho": "<", "nahi ho": "<", "na hoy": "<",
+    "વગર": "<", "વગરની": "<", "વગરનું": "<", "નહીં": "<", "ના હોય": "<", "के बिना": "<", "बिना": "><", "नहीं": "<", "नहीं चाहिए": "<", "मत": "<", "न हो": "<",
+}
+# Words that carry a negation on, intents about stones, words that only name a type where nothing else does.
+CONNECTORS = {"or", "and", "nor", "ya", "aur", "ane", "ke", "અને", "કે", "या", "और", "any"}
+STONES = {"diamond", "solitaire", "halo", "side_stones", "cluster", "tennis", "three_stone", "coloured_stone", "big_stone", "single_row", "rows", "channel", "prong", "bezel"}
+WEAK = {"chain", "ચેન", "चेन"}
+LAYOUTS = {"halo", "three_stone", "side_stones", "cluster", "rows", "tennis"}
+_BIG = set("big bigger biggest large larger huge bada bade badi mota moto મોટો મોટા મોટી बड़ा बड़े बड़ी".split())
+_STONE_NAMES = set("diamond diamonds stone stones hira heera solitaire round oval pear princess cushion emerald marquise હીરો હીરા ગોળ हीरा हीरे गोल".split())
+# Words that say nothing to a picture model.
+STOP = set(
+    """i a an the for my me want need that is which can be of to in on at with and or design designs show some please any only chahiye ke ka ki liye mein koi type wala wali jewellery jewelry looking like
+    would it should joie joiye mate also very more less something piece her his their him our wear she he gold sona metal get give find from as so too all set center centre middle single shape shaped style""".split()
+)
+_SIGNS = str.maketrans(dict.fromkeys("+&(),.;:!?\"/\\-_|*", " ") | {"’": "'"})
+
+
+def is_real(word: str, real: set[str]) -> bool:
+    """Whether a word, or a word it is a plain inflection of, is in a dictionary of base forms."""
+    if word in real:
+        return True
+    endings = {"ies": ["y"], "es": [""], "s": [""], "ed": ["", "e"], "ing": ["", "e"], "ly": [""], "er": [""], "est": [""]}
+    return any(word.endswith(end) and len(word) >= len(end) + 3 and word[: -len(end)] + back in real for end, backs in endings.items() for back in backs)
 
 
 def closest(word: str, vocabulary: list[str], real: set[str]) -> str:
     """A misspelt word's nearest vocabulary word: Latin words of four letters or more that are neither known nor real.
 
     One edit is allowed up to five letters, else two; only words with the same first letter and at least four letters count; the
-    smallest distance wins, then the alphabet. Without one the word stays.
+    smallest distance wins, then the alphabet. Without one the word stays. ``vocabulary`` is sorted.
     """
-    if not re.fullmatch(r"[a-z]{4,}", word) or word in real:
+    if not re.fullmatch(r"[a-z]{4,}", word) or is_real(word, real):
         return word
     limit = 1 if len(word) <= 5 else 2
     best = (limit + 1, word)
-    for known in vocabulary:
-        if known[0] == word[0] and len(known) >= 4:
-            d = osa_distance(word, known, limit)
-            if d < best[0]:
-                best = (d, known)
+    for at in range(bisect_left(vocabulary, word[0]), len(vocabulary)):
+        known = vocabulary[at]
+        if known[0] != word[0]:
+            break
+        if len(known) >= 4:
+            best = min(best, (osa_distance(word, known, limit), known), key=lambda b: b[0])
     return best[1] if best[0] <= limit else word
 
 
-def parse_one(text: str, terms: dict[tuple[str, ...], tuple[str, str]], vocabulary: list[str], real: set[str]) -> dict:
-    """The structured reading of one text."""
-    words = [w for w in re.split(r"[^\w']+", (text or "").lower()) if w]
-    fixed, corrections = [], {}
-    for w in words:
-        c = w if w in vocabulary else closest(w, vocabulary, real)
-        if c != w:
-            corrections[w] = c
-        fixed.append(c)
-    longest = max((len(t) for t in terms), default=1)
-    spans, used, i = [], [False] * len(fixed), 0
-    while i < len(fixed):
-        for n in range(min(longest, len(fixed) - i), 0, -1):
-            hit = terms.get(tuple(fixed[i : i + n]))
-            if hit:
-                spans.append((i, i + n, *hit))
-                used[i : i + n] = [True] * n
-                i += n
-                break
-        else:
-            i += 1
-    negated = set()
-    for at, w in enumerate(fixed):
-        if w in AHEAD:
-            reach = at + 1
-            for k, (a, b, _, _) in enumerate(spans):  # up to three words ahead, chained by linking words
-                if a >= reach and a - reach <= 3 and all(x in LINKS or used[j] for j, x in enumerate(fixed[reach:a], reach) if a - reach > 2):
-                    if not any(k2 in negated and spans[k2][0] > at for k2 in range(k)) or all(x in LINKS for x in fixed[reach:a]):
-                        negated.add(k)
-                        reach = b
-        elif w in BACK:
-            near = [k for k, (a, b, _, _) in enumerate(spans) if b <= at and at - b <= 2]
-            if near:
-                negated.add(near[-1])
-    out = {"corrections": corrections, "categories": [], "not_categories": [], "metals": [], "not_metals": [], "shape": None, "intents": [], "not_intents": []}
-    for k, (_, _, kind, value) in enumerate(spans):
-        no = k in negated
-        if kind == "shape":
-            if not no and out["shape"] is None:
-                out["shape"] = value
-            continue
-        name = {"category": "categories", "metal": "metals", "intent": "intents"}[kind]
-        target = out[("not_" if no else "") + name]
-        if value not in target:
-            target.append(value)
-    if "plain" in out["intents"]:  # plain rules stones out
-        out["intents"] = [x for x in out["intents"] if x not in ("solitaire", "diamond")]
-    out["leftover"] = " ".join(w for w, u in zip(fixed, used) if not u and w not in AHEAD | BACK)
-    return out
-
-
-PARSED = "id long, corrections map<string,string>, categories array<string>, not_categories array<string>, metals array<string>, not_metals array<string>, shape string, intents array<string>, not_intents array<string>, leftover string"
+@dataclass
+class Hit:
+    """A term where it stands in the text."""
+
+    start: int
+    end: int
+    term: str
+    kind: str
+    value: str
+    negated: bool = False
+
+
+class _Text:
+    """A text and which of its characters are taken."""
+
+    def __init__(self, text: str):
+        self.text, self.taken = text, bytearray(len(text))
+
+    def places(self, terms: dict[str, object], longest: int) -> list[tuple[int, int, str]]:
+        """Where terms stand: Latin ones as whole words, others anywhere; the longest first, each taking its characters."""
+        words = [(m.start(), m.end()) for m in re.finditer(r"[a-z0-9']+", self.text)]
+        found = []
+        for i, (start, _) in enumerate(words):
+            for _, end in words[i : i + longest]:
+                if self.text[start:end] in terms:
+                    found.append((start, end, self.text[start:end]))
+        for term in terms:
+            if not term.isascii():
+                found += [(m.start(), m.end(), term) for m in re.finditer(re.escape(term), self.text)]
+        kept = []
+        for start, end, term in sorted(found, key=lambda f: (f[0] - f[1], f[0])):
+            if not any(self.taken[start:end]):
+                self.take(start, end)
+                kept.append((start, end, term))
+        return kept
+
+    def take(self, start: int, end: int) -> None:
+        self.taken[start:end] = b"\x01" * (end - start)
+
+    def left(self, start: int = 0, end: int | None = None) -> list[str]:
+        """The words in a stretch that nothing took."""
+        end = len(self.text) if end is None else end
+        return "".join(" " if t else c for c, t in zip(self.text[start:end], self.taken[start:end])).split()
+
+
+class Lexicon:
+    """Terms and their meanings, ready to read texts with."""
+
+    def __init__(self, table: list[tuple[str, str, str]], forms: dict[str, str] | None = None, real: set[str] | None = None):
+        self.terms = {t.lower(): (kind, value) for t, kind, value in table}
+        self.forms, self.real = forms or {}, real or set()
+        self.longest = max((len(t.split()) for t in self.terms), default=1)
+        self.vocabulary = sorted({w for t in [*self.terms, *CUES] for w in t.split() if w.isascii()} | STOP)
+        self.known = set(self.vocabulary)
+
+    def repair(self, words: list[str]) -> tuple[list[str], dict[str, str]]:
+        """Words with misspelt ones replaced, and what was."""
+        out = [w if w in self.known else closest(w, self.vocabulary, self.real) for w in words]
+        return out, {w: c for w, c in zip(words, out) if w != c}
+
+    def find(self, words: list[str]) -> tuple[_Text, list[Hit]]:
+        """The text, with a size word before a stone as one term, and its terms in order, negated ones marked."""
+        for i, w in enumerate(words):
+            if w in _BIG and _STONE_NAMES.intersection(words[i + 1 : i + 3]):
+                words = [*words[:i], "bigstone", *words[i + 1 :]]
+        text = _Text(" ".join(words))
+        hits = sorted((Hit(a, b, t, *self.terms[t]) for a, b, t in text.places(self.terms, self.longest)), key=lambda h: h.start)
+        self._negate(text, hits)
+        return text, hits
+
+    def _negate(self, text: _Text, hits: list[Hit], gap: int = 3) -> None:
+        """Mark what cues negate: ahead the next term within three words and what goes on from it, behind the last one within one.
+
+        Terms go on over connecting words only, or side by side where both are about stones.
+        """
+        free = _Text(text.text)
+        free.taken[:] = text.taken
+        cues = free.places(CUES, max(len(c.split()) for c in CUES))
+        for start, end, cue in cues:
+            for way in CUES[cue]:
+                if way == "<":
+                    near = [h for h in hits if h.end <= start and len(text.left(h.end, start)) <= 1][-1:]
+                else:
+                    after = [h for h in hits if h.start >= end]
+                    near = [h for h in after if len(text.left(end, h.start)) <= gap][:1]
+                    for h in after[after.index(near[0]) + 1 :] if near else ():
+                        between = text.left(near[-1].end, h.start)
+                        if not (set(between) <= CONNECTORS if between else {h.value, near[-1].value} <= STONES):
+                            break
+                        near.append(h)
+                for h in near:
+                    h.negated = True
+                if near:
+                    break
+            text.take(start, end)
+
+    def read(self, text: str | None) -> dict:
+        """The structured reading of one text; a null one reads as empty."""
+        words, corrections = self.repair((text or "").lower().translate(_SIGNS).split())
+        rest, hits = self.find(words)
+        leftover = rest.left()
+        free = " ".join(w for w in re.findall(r"[a-z]+", " ".join(leftover)) if w not in STOP and len(w) > 2)
+        return {"corrections": corrections, **self._resolve(hits, words), "leftover": " ".join(leftover), "free_text": free or None}
+
+    def _resolve(self, hits: list[Hit], words: list[str]) -> dict:
+        def of(kind: str, negated: bool) -> list[Hit]:
+            return [h for h in hits if h.kind == kind and h.negated == negated]
+
+        types = [h for h in of("category", False) if h.term not in WEAK]
+        wanted = dict.fromkeys(h.value for h in of("intent", False)) | dict.fromkeys(self.forms[h.term] for h in types if h.term in self.forms)
+        unwanted = dict.fromkeys(h.value for h in of("intent", True))
+        categories = [h.value for h in types]
+        if not categories and of("category", False):  # a chain names a necklace only where nothing else is named
+            categories = [h.value for h in of("category", False)]
+            wanted["pendant_chain"] = None
+        if not categories and {"band", "bands"}.intersection(words):
+            categories = ["ring"]
+        often = Counter(categories)
+        categories = sorted(often, key=lambda c: -often[c])  # the most named first, then in order
+        metals = Counter(h.value.split("~")[0] for h in of("metal", False))
+        metal = max(metals, key=metals.__getitem__) if metals else None
+        shapes = [h.value for h in of("shape", False)]
+        # how stones are laid out
+        if "three_stone" in wanted:
+            wanted.pop("solitaire", None)
+        if "big_stone" in wanted and not LAYOUTS.intersection(wanted):
+            wanted["solitaire"] = None
+        stones = bool(shapes or STONES.intersection(wanted))
+        if "diamond" in unwanted:  # no stones at all, or none but the one described
+            del unwanted["diamond"]
+            (unwanted if stones else wanted).setdefault("side_stones" if stones else "plain")
+        if stones:
+            wanted.pop("plain", None)  # plain describes a part then
+        if "solitaire" in wanted or "plain" in wanted:
+            wanted.pop("diamond", None)
+        if "plain" in wanted:
+            unwanted.setdefault("diamond")
+        if "thin" in wanted:
+            wanted.pop("wide", None)
+        return {
+            "category": categories[0] if categories else None, "categories": categories, "not_categories": sorted({h.value for h in of("category", True)} - set(categories)),
+            "metal": metal, "metals": list(metals), "not_metals": sorted({h.value.split("~")[0] for h in of("metal", True)} - {metal}), "metal_note": any("~" in h.value for h in of("metal", False)),
+            "shape": shapes[0] if shapes else None, "intents": list(wanted), "not_intents": list(unwanted),
+        }
+
+
+PARSED = """id long, corrections map<string,string>, category string, categories array<string>, not_categories array<string>, metal string, metals array<string>, not_metals array<string>, metal_note boolean,
+    shape string, intents array<string>, not_intents array<string>, leftover string, free_text string"""
 
 
 def parse(rows: DataFrame, key: str, text: str, lexicon: list[tuple[str, str, str]] | None = None, real: set[str] | None = None) -> DataFrame:
     """Structured queries for every row; a null text reads as an empty one. Repeated rows are read each."""
-    table = lexicon or SAMPLE
-    terms = {tuple(t.split()): (kind, value) for t, kind, value in table}
-    vocabulary = sorted({w for t, _, _ in table for w in t.split()} | AHEAD | BACK)
-    known = real or set()
+    table, known = lexicon or SAMPLE, real or set()
+    names = [c.split()[0] for c in re.split(r",\s+(?=\w+ )", PARSED)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: dict = {}
+        reader, seen = Lexicon(table, FORMS, known), {}
         for pdf in batches:
             out = []
             for i, t in zip(pdf["_id"], pdf["_t"]):
                 if t not in seen:
                     if len(seen) > 100_000:
                         seen.clear()
-                    seen[t] = parse_one(t, terms, vocabulary, known)
+                    seen[t] = reader.read(t)
                 out.append({"id": i, **seen[t]})
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in PARSED.split(", ")])
+            yield pd.DataFrame(out, columns=names)
 
     return rows.select(F.col(key).cast("long").alias("_id"), F.col(text).alias("_t")).mapInPandas(run, PARSED)
 

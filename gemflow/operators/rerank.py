@@ -30,7 +30,7 @@ def diversify(rows: DataFrame, k: int = 8, relevance: float = 0.8, pool: int | N
     Scores are scaled to 0..1 over the pool; each place goes to the row with the largest ``relevance`` * score minus
     (1 - ``relevance``) * largest cosine to those chosen, among families not shown yet; ties to the better score,
     then the smaller id. A query with fewer families than k gets fewer places. The rule is one over the best ``pool``
-    rows of a query (by default 400, or four for every place).
+    rows of a query (by default 80, or four for every place if that is more).
     """
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -50,7 +50,7 @@ def diversify(rows: DataFrame, k: int = 8, relevance: float = 0.8, pool: int | N
             near = sim if len(chosen) == 1 else np.maximum(near, sim)
         return pd.DataFrame({"query": pdf["query"].iloc[0], "item": pdf["item"].to_numpy()[chosen], "position": np.arange(1, len(chosen) + 1)})
 
-    slim = _bounded(rows.where("vec IS NOT NULL AND score IS NOT NULL"), "query", pool or max(400, 4 * k)).select("query", "item", "score", "family", "vec")
+    slim = _bounded(rows.where("vec IS NOT NULL AND score IS NOT NULL"), "query", pool or max(80, 4 * k)).select("query", "item", "score", "family", "vec")
     return slim.groupBy("query").applyInPandas(pick, "query long, item long, position int")
 
 

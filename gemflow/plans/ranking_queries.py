@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gemflow.functions import text as T
 from gemflow.functions import vectors as V
 from gemflow.operators import relational as R
 from gemflow.operators import rerank, scoring
@@ -102,16 +103,8 @@ def conflicts(spark, sf_dir):
     return o.join(out, ["uid", "opt"], "left_anti")
 
 
-@query("flt_stock_check", "SELECT l_orderkey, l_linenumber, l_quantity <= p_size AS enough FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_linenumber = 1")
+@query("flt_stock_check", "SELECT l_orderkey, l_linenumber, l_quantity <= p_size AS enough FROM lineitem LEFT JOIN part ON p_partkey = l_partkey")
 def stock_check(spark, sf_dir):
-    """JOIN-24: a pick against what is there."""
-    li = read_table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select("l_orderkey", "l_linenumber", "l_quantity", "l_partkey")
-    p = read_table(spark, sf_dir, "part").select("p_partkey", "p_size")
-    return li.join(p, F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", "l_linenumber", (F.col("l_quantity") <= F.col("p_size")).alias("enough"))
-
-
-@query("flt_stock_check_all", "SELECT l_orderkey, l_linenumber, l_quantity <= p_size AS enough FROM lineitem LEFT JOIN part ON p_partkey = l_partkey")
-def stock_check_all(spark, sf_dir):
     """JOIN-24: every pick against what is there; unknown where there is no part."""
     li = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_partkey")
     p = read_table(spark, sf_dir, "part").select("p_partkey", "p_size")
@@ -325,8 +318,17 @@ def options(spark, sf_dir):
     return read_table(spark, sf_dir, "search_history").select(F.explode("understood.intents").alias("opt")).groupBy("opt").agg(F.count("*").alias("n"))
 
 
-@query("ma_ring_size", "SELECT p_partkey, round((p_size + 11.63 - 11.63) / 0.8128 * 2, 0) / 2 AS us_size, round(p_retailprice * 1.14, 2) AS heavy FROM part WHERE p_size BETWEEN 12 AND 25")
+@query(
+    "ma_ring_size",
+    """WITH c AS (SELECT p_partkey, p_size, CAST(round(p_retailprice * 100) AS BIGINT) AS cents FROM part WHERE p_size BETWEEN 12 AND 25),
+       g AS (SELECT p_partkey, r, cents * r // 10000 AS q, cents * r % 10000 AS rest FROM c, (VALUES (85), (100), (114)) t(r)),
+       h AS (SELECT p_partkey, r, (q + CASE WHEN rest > 5000 OR (rest = 5000 AND q % 2 = 1) THEN 1 ELSE 0 END) / 100.0 AS w FROM g)
+       SELECT c.p_partkey, round_even((p_size - 11.63) / 0.8128 * 2, 0) / 2 AS us, CAST(round_even(pi() * p_size - 40, 0) AS BIGINT) AS indian, 11.63 + 0.8128 * 7 AS us7_mm, (12 + 40) / pi() AS indian12_mm,
+       max(w) FILTER (r = 85) AS k14, max(w) FILTER (r = 100) AS k18, max(w) FILTER (r = 114) AS k22 FROM c JOIN h USING (p_partkey) GROUP BY c.p_partkey, p_size""",
+)
 def ring_size(spark, sf_dir):
-    """MA-07, MA-08, MA-11: sizes to half steps, weights by ratio, a valid range."""
+    """MA-07, MA-08: an inner diameter in millimetres (valid from 12 to 25) as US half sizes and Indian sizes, both ways; gold by purity."""
+    d, weight = F.col("p_size").cast("double"), F.col("p_retailprice").cast("decimal(14,2)") * F.lit("0.01").cast("decimal(3,2)")
+    gold = [F.bround(weight * F.lit(r).cast("decimal(3,2)"), 2).cast("double").alias(k) for k, r in (("k14", "0.85"), ("k18", "1.00"), ("k22", "1.14"))]
     p = read_table(spark, sf_dir, "part").where("p_size BETWEEN 12 AND 25")
-    return p.select("p_partkey", (F.round((F.col("p_size") + 11.63 - 11.63) / 0.8128 * 2, 0) / 2).alias("us_size"), F.round(F.col("p_retailprice") * 1.14, 2).alias("heavy"))
+    return p.select("p_partkey", T.ring_us(d).alias("us"), T.ring_indian(d).alias("indian"), T.us_diameter(F.lit(7)).cast("double").alias("us7_mm"), T.indian_diameter(F.lit(12)).alias("indian12_mm"), *gold)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gemflow.functions import text as T
 from gemflow.functions import vectors as V
-from gemflow.operators import behaviour, lexicon
+from gemflow.operators import behaviour, lexicon, scoring
 from gemflow.operators.components import connected_components
 from gemflow.session import read_table
 
@@ -35,7 +35,7 @@ _S = "WITH s AS (SELECT id, any_value(user_id) AS user_id, any_value(query) AS q
 
 @query(
     "str_normalise",
-    _S + r"""SELECT id, trim(regexp_replace(regexp_replace(translate(lower(query), '’‘“”', '''''""'), '[^\p{L}\p{M}\p{N}''#.]+', ' ', 'g'), '\s+', ' ', 'g')) AS text FROM s""",
+    _S + r"""SELECT id, trim(regexp_replace(regexp_replace(replace(lower(query), '’', chr(39)), '[+&(),.;:!?"/\\_|*-]', ' ', 'g'), '\s+', ' ', 'g')) AS text FROM s""",
 )
 def normalise(spark, sf_dir):
     """STR-S01."""
@@ -45,7 +45,7 @@ def normalise(spark, sf_dir):
 @query(
     "str_script",
     _S + r""", n AS (SELECT id, len(regexp_extract_all(query, '[\x{0A80}-\x{0AFF}]')) AS g, len(regexp_extract_all(query, '[\x{0900}-\x{097F}]')) AS d, len(regexp_extract_all(query, '[A-Za-z]')) AS a FROM s)
-    SELECT id, CASE WHEN greatest(g, d, a) = 0 THEN NULL WHEN g >= d AND g >= a THEN 'gujarati' WHEN d >= a THEN 'hindi' ELSE 'latin' END AS script FROM n""",
+    SELECT id, CASE WHEN d > 0 AND d >= g AND d >= a THEN 'hi' WHEN g > 0 AND g > d AND g >= a THEN 'gu' ELSE 'en' END AS script FROM n""",
 )
 def script(spark, sf_dir):
     """STR-S04."""
@@ -112,15 +112,6 @@ def slug(spark, sf_dir):
 
 @query(
     "str_clean",
-    r"""SELECT doc_id, md5(left(trim(regexp_replace(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g')), 2000)) AS digest FROM documents""",
-)
-def clean(spark, sf_dir):
-    """STR-S13: cleaned text, compared by digest."""
-    return read_table(spark, sf_dir, "documents").select("doc_id", F.md5(T.clean_text("text", 2000)).alias("digest"))
-
-
-@query(
-    "str_clean_whole",
     r"""SELECT doc_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g'))) AS digest FROM documents""",
 )
 def clean_whole(spark, sf_dir):
@@ -151,13 +142,17 @@ def numbers(spark, sf_dir):
 
 @query(
     "str_paths",
-    r"""WITH p AS (SELECT uid, folders[1] || '/a.PNG' AS p FROM designs WHERE folders[1] IS NOT NULL)
-        SELECT uid, regexp_replace(p, '/[^/]*$', '') AS folder, CAST(len(list_filter(string_split(p, '/'), lambda x: x <> '')) AS INTEGER) AS depth, 'picture' AS kind FROM p""",
+    r"""WITH w AS (SELECT DISTINCT id, folder, pictures FROM web_designs WHERE json_valid(pictures) AND json_type(pictures) = 'ARRAY' AND folder IS NOT NULL),
+        p AS (SELECT id, folder || '/' || file AS p FROM (SELECT id, folder, unnest(from_json(pictures, '["JSON"]')) ->> 'file' AS file FROM w) WHERE file IS NOT NULL)
+        SELECT id, p AS path, regexp_replace(p, '/[^/]*$', '') AS folder, CAST(len(list_filter(string_split(p, '/'), lambda x: x <> '')) AS INTEGER) AS depth, lower(list_last(string_split(p, '.'))) AS ext,
+        CASE WHEN lower(list_last(string_split(p, '.'))) IN ('png', 'jpg', 'jpeg', 'webp', 'gif') THEN 'picture' WHEN lower(list_last(string_split(p, '.'))) IN ('mp4', 'mov', 'webm') THEN 'video'
+             WHEN lower(list_last(string_split(p, '.'))) IN ('glb', '3dm', 'stl') THEN 'model' ELSE 'other' END AS kind FROM p""",
 )
 def paths(spark, sf_dir):
-    """STR-S16, STR-S17."""
-    p = read_table(spark, sf_dir, "designs").select("uid", F.concat(F.get("folders", F.lit(0)), F.lit("/a.PNG")).alias("p")).where("p IS NOT NULL")
-    return p.select("uid", T.folder_of("p").alias("folder"), T.depth("p").alias("depth"), T.kind_of("p").alias("kind"))
+    """STR-S16, STR-S17: folder, depth, extension and kind of the files of scraped pages."""
+    w = read_table(spark, sf_dir, "web_designs").select("id", "folder", "pictures").distinct().where(F.try_parse_json("pictures").isNotNull() & F.ltrim("pictures").startswith("[") & F.col("folder").isNotNull())
+    p = w.select("id", "folder", F.explode(F.from_json("pictures", "array<struct<file:string>>")).alias("f")).where("f.file IS NOT NULL").select("id", F.concat("folder", F.lit("/"), "f.file").alias("path"))
+    return p.select("id", "path", T.folder_of("path").alias("folder"), T.depth("path").alias("depth"), T.extension("path").alias("ext"), T.kind_of("path").alias("kind"))
 
 
 @query(
@@ -184,19 +179,9 @@ def money(spark, sf_dir):
 
 @query(
     "str_size_label",
-    """SELECT p_partkey, CAST(p_size AS VARCHAR) || ' × ' || CAST(p_size / 4 AS VARCHAR) || ' mm' AS label FROM part WHERE p_size % 4 = 0""".replace("p_size / 4", "p_size // 4"),
-)
-def size_label(spark, sf_dir):
-    """STR-S25."""
-    p = read_table(spark, sf_dir, "part").where("p_size % 4 = 0")
-    return p.select("p_partkey", T.size_label(F.concat(F.format_string("%.2f", F.col("p_size").cast("double")), F.lit("X"), F.format_string("%.2f", F.col("p_size") / 4))).alias("label"))
-
-
-@query(
-    "str_size_label_all",
     r"""SELECT p_partkey, CAST(p_size AS VARCHAR) || ' × ' || regexp_replace(printf('%.2f', p_size / 4.0), '\.?0+$', '') || ' mm' AS label FROM part""",
 )
-def size_label_all(spark, sf_dir):
+def size_label(spark, sf_dir):
     """STR-S25: every part."""
     p = read_table(spark, sf_dir, "part")
     return p.select("p_partkey", T.size_label(F.concat(F.format_string("%.2f", F.col("p_size").cast("double")), F.lit("X"), F.format_string("%.2f", F.col("p_size") / 4))).alias("label"))
@@ -204,23 +189,32 @@ def size_label_all(spark, sf_dir):
 
 @query(
     "str_budget",
-    _S + r"""SELECT id, CAST(replace(regexp_extract(query, '(?i)\bunder\s+(\d[\d,]*)', 1), ',', '') AS BIGINT) AS budget FROM s WHERE regexp_matches(query, '(?i)\bunder\s+\d')""",
+    _S + r""", b AS (SELECT id, query, regexp_extract(query, '(?i)\b(?:under|below|upto|up to|within|less than)\s+(?:rs\.?|inr|₹)?\s*(\d[\d,]*)(?:\s*(k|lakh|lakhs|thousand))?\b', ['n', 'u']) AS m FROM s)
+    SELECT id, CAST(replace(m.n, ',', '') AS BIGINT) * CASE lower(m.u) WHEN 'k' THEN 1000 WHEN 'thousand' THEN 1000 WHEN 'lakh' THEN 100000 WHEN 'lakhs' THEN 100000 ELSE 1 END AS budget FROM b WHERE m.n <> ''""",
 )
 def budget(spark, sf_dir):
     """FLT-25: the price limit a text names."""
     return searches(spark, sf_dir).select("id", T.budget("query").alias("budget")).where("budget IS NOT NULL")
 
 
+CLAIMS = [r"\bfree\b", r"\d+(\.\d+)? (ct|carats?|grams?)\b", r"\blifetime\b", r"\bhand\b"]
+
+
 @query(
     "str_sentence_scrub",
-    r"""WITH d AS (SELECT doc_id, string_split_regex(text, '\. ') AS p FROM documents WHERE lang = 'en' AND text IS NOT NULL)
-        SELECT doc_id, CAST(len(list_filter(p, lambda s: NOT regexp_matches(s, '(?i)\b(free|cheap|best)\b'))) AS INTEGER) AS kept, CAST(len(p) AS INTEGER) AS sentences FROM d""",
+    r"""WITH d AS (SELECT doc_id, unnest(string_split_regex(lower(text), '[.!?।] ')) AS s, lower(coalesce(source, '')) || ' 18 grams, by hand' AS f FROM documents WHERE text IS NOT NULL),
+       c(rx) AS (VALUES ('\bfree\b'), ('\d+(\.\d+)? (ct|carats?|grams?)\b'), ('\blifetime\b'), ('\bhand\b')),
+       claims AS (SELECT DISTINCT doc_id, s, rx, f FROM d, c WHERE regexp_matches(s, rx)),
+       bad AS (SELECT DISTINCT doc_id, s FROM claims WHERE NOT regexp_matches(f, rx)
+               OR len(list_filter(regexp_extract_all(array_to_string(regexp_extract_all(s, rx), ' '), '\d+(?:\.\d+)?'), lambda n: NOT list_contains(regexp_extract_all(f, '\d+(?:\.\d+)?'), n))) > 0)
+       SELECT d.doc_id, count(*) FILTER (bad.s IS NULL) AS kept, count(*) AS sentences FROM d LEFT JOIN bad ON bad.doc_id = d.doc_id AND bad.s = d.s GROUP BY d.doc_id""",
 )
 def scrub(spark, sf_dir):
-    """FLT-22: sentences that make a claim are dropped."""
-    p = F.split("text", r"\. ")
-    d = read_table(spark, sf_dir, "documents").where("lang = 'en' AND text IS NOT NULL").select("doc_id", p.alias("p"))
-    return d.select("doc_id", F.size(F.filter("p", lambda s: ~s.rlike(r"(?i)\b(free|cheap|best)\b"))).alias("kept"), F.size("p").alias("sentences"))
+    """FLT-22: sentences that make a claim are dropped, unless the facts make the same one with the same numbers."""
+    d = read_table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    d = d.select("doc_id", F.split(F.lower("text"), r"[.!?।] ").alias("p"), F.concat(F.lower(F.coalesce("source", F.lit(""))), F.lit(" 18 grams, by hand")).alias("f"))
+    kept = F.filter("p", lambda s: ~T.unbacked(s, F.col("f"), CLAIMS))
+    return d.select("doc_id", F.size(kept).cast("long").alias("kept"), F.size("p").cast("long").alias("sentences"))
 
 
 @query("str_html_plain")
@@ -247,7 +241,7 @@ def parse(spark, sf_dir):
     """QL-01..QL-04, JOIN-18: searches to structured queries by a small lexicon."""
     p = lexicon.parse(searches(spark, sf_dir), "id", "query")
     joined = {c: F.array_join(c, "+").alias(c) for c in ("categories", "not_categories", "metals", "not_metals", "intents", "not_intents")}
-    return p.select("id", *joined.values(), "shape", "leftover")
+    return p.select("id", "category", *joined.values(), "metal", "shape", "leftover", "free_text")
 
 
 @query(
@@ -358,25 +352,29 @@ def map_explode(spark, sf_dir):
 
 @query(
     "arr_argmax_share",
-    """WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[])[1:8] AS v FROM embeddings) SELECT vec_id, CAST(list_position(v, list_max(v)) - 1 AS INTEGER) AS best, round(list_max(v), 6) AS p,
-       round(list_sum(list_transform(v, lambda x: x * x)), 6) AS energy FROM e""",
+    """WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), p AS (SELECT vec_id, list_transform(v, lambda x: x - list_min(v)) AS p FROM e)
+       SELECT vec_id, CAST(list_position(p, list_max(p)) - 1 AS INTEGER) AS best, round(list_max(p) / list_sum(p), 6) AS share FROM p""",
 )
 def argmax_share(spark, sf_dir):
-    """AR-01, AR-02, MA-01."""
-    e = read_table(spark, sf_dir, "embeddings").select("vec_id", F.slice(F.col("embedding").cast("array<double>"), 1, 8).alias("v"))
-    return e.select("vec_id", V.argmax(F.col("v")).alias("best"), F.round(F.array_max("v"), 6).alias("p"), F.round(V.dot("v", "v"), 6).alias("energy"))
+    """AR-01, AR-02, MA-01: the largest element and its share of the sum of all."""
+    e = read_table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    p = e.select("vec_id", F.transform("v", lambda x: x - F.array_min("v")).alias("p"))
+    return p.select("vec_id", V.argmax(F.col("p")).alias("best"), F.round(F.array_max(V.share("p")), 6).alias("share"))
 
 
 @query(
     "arr_combine",
-    """WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), c AS (SELECT vec_id, list_transform(list_zip(v[1:4], v[5:8]), lambda z: z[1] - 0.5 * z[2]) AS c FROM e)
-       SELECT vec_id, round(c[1] / sqrt(list_dot_product(c, c)), 6) AS x0, round(1 / (1 + exp(-c[2])), 6) AS s1 FROM c""",
+    """WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), m AS (SELECT i, avg(x) AS x FROM (SELECT unnest(v) AS x, generate_subscripts(v, 1) AS i FROM e) GROUP BY i),
+       b AS (SELECT list(x ORDER BY i) AS base FROM m), c AS (SELECT vec_id, list_transform(list_zip(v[1:32], v[33:64], base[1:32]), lambda z: z[1] - 0.5 * z[2] - 0.5 * z[3]) AS c FROM e, b)
+       SELECT vec_id, round(list_max(c) / sqrt(list_dot_product(c, c)), 6) AS most, round(1 / (1 + exp(-list_max(c))), 6) AS p FROM c""",
 )
 def combine(spark, sf_dir):
-    """AR-03, MA-03, VEC-02: weighted combination brought to unit length, sigmoid."""
+    """AR-03, MA-03, VEC-02: text less half of what is unwanted less half of the base, brought to unit length; sigmoid."""
     e = read_table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    c = e.select("vec_id", V.scale_sum(F.slice("v", 1, 4), 1.0, F.slice("v", 5, 4), -0.5).alias("c"))
-    return c.select("vec_id", F.round(V.normalise("c")[0], 6).alias("x0"), F.round(V.sigmoid(F.col("c")[1]), 6).alias("s1"))
+    base = scoring.mean_vectors(e.withColumn("_all", F.lit(1)), "_all", "v", renormalise=False).select(F.col("vec").alias("base"))
+    halves = e.crossJoin(F.broadcast(base)).select("vec_id", V.scale_sum(F.slice("v", 1, 32), 1.0, F.slice("v", 33, 32), -0.5).alias("c"), F.slice("base", 1, 32).alias("base"))  # base: one row
+    c = halves.select("vec_id", V.scale_sum("c", 1.0, "base", -0.5).alias("c"))
+    return c.select("vec_id", F.round(F.array_max(V.normalise("c")), 6).alias("most"), F.round(V.sigmoid(F.array_max("c")), 6).alias("p"))
 
 
 @query(
@@ -452,25 +450,29 @@ def fold(spark, sf_dir):
 
 @query(
     "hs_index_key",
-    "SELECT sha1(string_agg(design_id || '|' || coalesce(folders[1], ''), chr(10) ORDER BY uid)) AS index_key FROM designs",
+    """WITH l AS (SELECT row_number() OVER (ORDER BY uid, design_id) - 1 AS n, sha1(design_id || '|' || coalesce(folders[1], '')) AS h FROM designs),
+       a AS (SELECT n // 1024 AS k, sha1(string_agg(h, chr(10) ORDER BY n)) AS h FROM l GROUP BY 1),
+       b AS (SELECT k // 1024 AS k2, sha1(string_agg(h, chr(10) ORDER BY k)) AS h FROM a GROUP BY 1)
+       SELECT sha1(string_agg(h, chr(10) ORDER BY k2)) AS index_key FROM b""",
 )
 def index_key(spark, sf_dir):
-    """HS-01: fingerprint of an ordered index."""
+    """HS-01: fingerprint of an ordered index, as a tree of digests of 1024 each."""
     d = read_table(spark, sf_dir, "designs")
     line = F.concat("design_id", F.lit("|"), F.coalesce(F.get("folders", F.lit(0)), F.lit("")))
-    ordered = F.array_sort(F.collect_list(F.struct("uid", line.alias("l"))))  # one row per design of the catalogue, as the fingerprint is defined
-    return d.agg(F.sha1(F.array_join(F.transform(ordered, lambda x: x["l"]), "\n")).alias("index_key"))
+    return T.tree_digest(d.select("uid", "design_id", F.sha1(line).alias("h")), ["uid", "design_id"], "h").select(F.col("h").alias("index_key"))
 
 
 @query(
     "ma_rounding",
-    """SELECT p_partkey, CAST(round(CAST(p_retailprice AS DECIMAL(14,2)) * 0.925, 2) AS DOUBLE) AS half_up, CAST(round(CAST(p_retailprice AS DECIMAL(14,3)), 0) AS BIGINT) AS whole FROM part""",
+    """WITH c AS (SELECT p_partkey, CAST(round(p_retailprice * 100) AS BIGINT) AS cents, CAST(round(p_retailprice * 1000) AS BIGINT) AS mills FROM part),
+       r AS (SELECT p_partkey, cents * 925 // 1000 AS q, cents * 925 % 1000 AS rest, mills FROM c)
+       SELECT p_partkey, (q + CASE WHEN rest > 500 OR (rest = 500 AND q % 2 = 1) THEN 1 ELSE 0 END) / 100.0 AS half_even, (mills + 500) // 1000 AS whole FROM r""",
 )
 def rounding(spark, sf_dir):
-    """MA-07, MA-09, MA-10: decimals rounded half up."""
+    """MA-09, MA-10: rate of a purity, half to even; whole amounts, half up."""
     p = read_table(spark, sf_dir, "part")
     price = F.col("p_retailprice").cast("decimal(14,2)")
-    return p.select("p_partkey", F.round(price * F.lit(0.925).cast("decimal(4,3)"), 2).cast("double").alias("half_up"), F.round(F.col("p_retailprice").cast("decimal(14,3)"), 0).cast("long").alias("whole"))
+    return p.select("p_partkey", F.bround(price * F.lit(0.925).cast("decimal(4,3)"), 2).cast("double").alias("half_even"), F.round(F.col("p_retailprice").cast("decimal(14,3)"), 0).cast("long").alias("whole"))
 
 
 @query(

@@ -65,17 +65,6 @@ def hub_bias(spark, sf_dir):
     return scoring.hub_bias(bank).select("item", F.round("bias", 6).alias("bias"))
 
 
-def zero_shot(spark, sf_dir):
-    """VEC-10, MA-02: class probabilities from the classes' mean vectors, softmax at temperature 20."""
-    items = _items(spark, sf_dir)
-    classes = scoring.mean_vectors(items, "label", "embedding").select(F.col("label").alias("class"), "vec")
-    scored = _asked(items).crossJoin(F.broadcast(classes)).select("vec_id", "class", V.cosine("embedding", "vec").alias("s"))  # one row per class
-    listed = scored.groupBy("vec_id").agg(F.array_sort(F.collect_list(F.struct("class", "s"))).alias("c"))
-    p = V.softmax(F.transform("c", lambda x: x["s"]), 20.0)
-    out = listed.select("vec_id", F.posexplode(p).alias("_i", "p"), "c")
-    return out.select("vec_id", F.get("c", F.col("_i"))["class"].alias("class"), F.round("p", 6).alias("p"))
-
-
 def knn_vote(spark, sf_dir):
     """VEC-11, JOIN-23: label by the votes of the ten nearest."""
     near = scoring.best(_pairs(spark, sf_dir, top=10), 10)
@@ -115,17 +104,7 @@ def mean_by_label(spark, sf_dir):
 
 
 def taste_vectors(spark, sf_dir):
-    """AGG-12: weighted mean vector of the items a user touched, weights halving every 14 days."""
-    events = read_table(spark, sf_dir, "events").where("user_id IS NOT NULL")
-    age = F.timestamp_diff("SECOND", F.col("ts"), F.lit("2024-01-31").cast("timestamp_ntz")) / 86400.0
-    items = _items(spark, sf_dir)
-    liked = events.select("user_id", (F.col("event_id") % 500).alias("vec_id"), F.pow(F.lit(0.5), age / 14).alias("w")).join(items, "vec_id")
-    means = scoring.mean_vectors(liked, "user_id", "embedding", "w")
-    return means.select("user_id", F.round(F.get("vec", F.lit(0)), 6).alias("x0"), F.round(F.get("vec", F.lit(1)), 6).alias("x1"), F.round(V.norm("vec"), 6).alias("size"))
-
-
-def taste_vectors_all(spark, sf_dir):
-    """AGG-12: as taste_vectors, the events spread over all embeddings."""
+    """AGG-12: weighted mean vector of the items a user touched (events spread over all embeddings), weights halving every 14 days."""
     events = read_table(spark, sf_dir, "events").where("user_id IS NOT NULL")
     age = F.timestamp_diff("SECOND", F.col("ts"), F.lit("2024-01-31").cast("timestamp_ntz")) / 86400.0
     items = _items(spark, sf_dir)
@@ -149,22 +128,12 @@ def duplicate_families(spark, sf_dir):
     return scoring.duplicate_classes(read_table(spark, sf_dir, "photo_query"), "photo_id", "vec", 96, 0.995)
 
 
-def linear_probe(spark, sf_dir):
-    """VEC-15: class probabilities of a linear reader (weights from the labels' means), averaged over views."""
-    items = _items(spark, sf_dir)
-    weights = scoring.mean_vectors(items.where("label < 3"), "label", "embedding").select(F.col("label").alias("class"), "vec")
-    scored = _asked(items).crossJoin(F.broadcast(weights)).select("vec_id", "class", (8 * V.dot("embedding", "vec")).alias("s"))  # three rows
-    e = scored.withColumn("_e", F.exp("s"))
-    total = e.groupBy("vec_id").agg(F.sum("_e").alias("_t"))
-    return e.join(total, "vec_id").select("vec_id", "class", F.round(F.col("_e") / F.col("_t"), 6).alias("p"))
-
-
 def _by_family(p: DataFrame) -> DataFrame:
     """Class probabilities of the views, averaged per family."""
     return p.groupBy(_family_of("vec_id").alias("family"), "class").agg(F.round(F.avg("p"), 6).alias("p"))
 
 
-def zero_shot_all(spark, sf_dir):
+def zero_shot(spark, sf_dir):
     """VEC-10, MA-02: class probabilities of every item by softmax at temperature 20, averaged per family."""
     items = _items(spark, sf_dir)
     classes = scoring.mean_vectors(items, "label", "embedding").select(F.col("label").alias("class"), "vec")
@@ -175,7 +144,7 @@ def zero_shot_all(spark, sf_dir):
     return _by_family(out.select("vec_id", F.get("c", F.col("_i"))["class"].alias("class"), "p"))
 
 
-def linear_probe_all(spark, sf_dir):
+def linear_probe(spark, sf_dir):
     """VEC-15: class probabilities of a linear reader over every label and item, averaged over the views of a family."""
     items = _items(spark, sf_dir)
     weights = scoring.mean_vectors(items, "label", "embedding").select(F.col("label").alias("class"), "vec")
@@ -236,7 +205,6 @@ QUERIES = {
     "vec_zero_shot_softmax": zero_shot, "vec_knn_vote": knn_vote, "vec_neighbour_attr": neighbour_attribute, "vec_percentile_rank": percentile_rank,
     "vec_centred_scores": centred_scores, "vec_lead_next_family": lead_next_family, "vec_mean_by_label": mean_by_label, "vec_taste_vector": taste_vectors,
     "vec_best_view": best_view, "vec_duplicate_families": duplicate_families, "vec_linear_probe": linear_probe, "vec_distribution_overlap": distribution_overlap,
-    "vec_taste_vector_all": taste_vectors_all, "vec_zero_shot_all": zero_shot_all, "vec_linear_probe_all": linear_probe_all,
     "vec_picture_score": picture_score, "rerank_mmr": mmr, "rerank_shop_spread": shop_spread, "rerank_browse_order": browse_order,
 }
 
@@ -253,11 +221,6 @@ SQL = {
         SELECT query, item, fused, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY fused DESC, item) AS rank FROM f) WHERE rank <= 8""",
     "vec_hub_bias_top30": _SQL_PAIRS + """SELECT item, round(avg(score), 6) AS bias FROM (SELECT item, score, row_number() OVER (PARTITION BY item ORDER BY score DESC, query) AS r
         FROM pairs WHERE ql = il) WHERE r <= 30 GROUP BY item""",
-    "vec_zero_shot_softmax": """WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
-        d AS (SELECT label AS class, pos, avg(x) AS x FROM (SELECT label, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM e) GROUP BY 1, 2),
-        c AS (SELECT class, list(x ORDER BY pos) AS m FROM d GROUP BY class),
-        s AS (SELECT vec_id, class, exp(20 * (list_cosine_similarity(v, m) - max(list_cosine_similarity(v, m)) OVER (PARTITION BY vec_id))) AS x FROM e, c WHERE vec_id % 50 = 0)
-        SELECT vec_id, class, round(x / sum(x) OVER (PARTITION BY vec_id), 6) AS p FROM s""",
     "vec_knn_vote": _SQL_PAIRS + f""", near AS (SELECT *, exp(50 * (score - max(score) OVER (PARTITION BY query))) AS w FROM (SELECT *, {_RANK} AS r FROM pairs) WHERE r <= 10),
         t AS (SELECT query, sum(w) AS t FROM near GROUP BY query) SELECT query, il AS label, round(sum(w) / any_value(t), 6) AS p FROM near JOIN t USING (query) GROUP BY query, il""",
     "vec_neighbour_attr": _SQL_PAIRS + f""", near AS (SELECT *, exp(50 * (score - max(score) OVER (PARTITION BY query))) AS w FROM (SELECT *, {_RANK} AS r FROM pairs) WHERE r <= 10)
@@ -271,11 +234,6 @@ SQL = {
     "vec_mean_by_label": """WITH d AS (SELECT label, pos, avg(x) AS x FROM (SELECT label, unnest(CAST(embedding AS DOUBLE[])) AS x, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings) GROUP BY 1, 2)
         SELECT label, CAST(pos AS INTEGER) AS pos, round(x / sqrt(sum(x * x) OVER (PARTITION BY label)), 6) AS x FROM d""",
     "vec_taste_vector": """WITH l AS (SELECT user_id, pow(0.5, date_diff('second', ts, TIMESTAMP '2024-01-31') / 86400.0 / 14) AS w, CAST(embedding AS DOUBLE[]) AS v
-            FROM events JOIN embeddings ON vec_id = event_id % 500 WHERE user_id IS NOT NULL),
-        d AS (SELECT user_id, pos, sum(w * x) / sum(w) AS x FROM (SELECT user_id, w, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM l) GROUP BY 1, 2),
-        n AS (SELECT user_id, pos, x / sqrt(sum(x * x) OVER (PARTITION BY user_id)) AS x FROM d)
-        SELECT user_id, round(max(x) FILTER (pos = 1), 6) AS x0, round(max(x) FILTER (pos = 2), 6) AS x1, round(sqrt(sum(x * x)), 6) AS size FROM n GROUP BY user_id""",
-    "vec_taste_vector_all": """WITH l AS (SELECT user_id, pow(0.5, date_diff('second', ts, TIMESTAMP '2024-01-31') / 86400.0 / 14) AS w, CAST(embedding AS DOUBLE[]) AS v
             FROM events JOIN embeddings ON vec_id = event_id % (SELECT count(*) FROM embeddings) WHERE user_id IS NOT NULL),
         d AS (SELECT user_id, pos, sum(w * x) / sum(w) AS x FROM (SELECT user_id, w, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM l) GROUP BY 1, 2),
         n AS (SELECT user_id, pos, x / sqrt(sum(x * x) OVER (PARTITION BY user_id)) AS x FROM d)
@@ -292,14 +250,9 @@ SQL = {
         reach AS (SELECT id, id AS other FROM r UNION SELECT reach.id, e.b FROM reach JOIN e ON e.a = reach.other),
         cls AS (SELECT id, min(other) AS class_id FROM reach GROUP BY id), links AS (SELECT a, count(*) AS n FROM e GROUP BY a)
         SELECT rep.id, class_id, coalesce(n, 0) AS n_links FROM rep JOIN cls ON cls.id = rep.rep LEFT JOIN links ON links.a = rep.rep""",
-    "vec_linear_probe": """WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
-        d AS (SELECT label AS class, pos, avg(x) AS x FROM (SELECT label, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM e WHERE label < 3) GROUP BY 1, 2),
-        c AS (SELECT class, list(x ORDER BY pos) AS m, sqrt(sum(x * x)) AS n FROM d GROUP BY class),
-        s AS (SELECT vec_id, class, exp(8 * list_dot_product(v, m) / n) AS x FROM e, c WHERE vec_id % 50 = 0)
-        SELECT vec_id, class, round(x / sum(x) OVER (PARTITION BY vec_id), 6) AS p FROM s""",
-    "vec_zero_shot_all": _SQL_CLASSES + """, s AS (SELECT vec_id, class, exp(20 * (list_cosine_similarity(v, m) - max(list_cosine_similarity(v, m)) OVER (PARTITION BY vec_id))) AS x FROM e, c)
+    "vec_zero_shot_softmax": _SQL_CLASSES + """, s AS (SELECT vec_id, class, exp(20 * (list_cosine_similarity(v, m) - max(list_cosine_similarity(v, m)) OVER (PARTITION BY vec_id))) AS x FROM e, c)
         SELECT vec_id // 3 AS family, class, round(avg(p), 6) AS p FROM (SELECT vec_id, class, x / sum(x) OVER (PARTITION BY vec_id) AS p FROM s) GROUP BY 1, 2""",
-    "vec_linear_probe_all": _SQL_CLASSES + """, s AS (SELECT vec_id, class, exp(8 * list_dot_product(v, m) / n) AS x FROM e, c)
+    "vec_linear_probe": _SQL_CLASSES + """, s AS (SELECT vec_id, class, exp(8 * list_dot_product(v, m) / n) AS x FROM e, c)
         SELECT vec_id // 3 AS family, class, round(avg(p), 6) AS p FROM (SELECT vec_id, class, x / sum(x) OVER (PARTITION BY vec_id) AS p FROM s) GROUP BY 1, 2""",
     "vec_distribution_overlap": """WITH p AS (SELECT photo_id, list_transform(map_values(attrs), lambda x: greatest(coalesce(x, 0.0), 0.0)) AS a FROM photo_query WHERE attrs IS NOT NULL AND cardinality(attrs) > 0)
         SELECT photo_id, round(list_sum(list_transform(a, lambda x: sqrt(x / list_sum(a) / len(a)))), 6) AS overlap FROM p WHERE list_sum(a) <> 0""",

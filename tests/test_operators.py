@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from gemflow.functions import text as T
 from gemflow.functions import vectors as V
-from gemflow.operators import behaviour, filters, lexicon, relational, rerank, scoring
+from gemflow.operators import behaviour, filters, relational, rerank, scoring
 from gemflow.operators.components import connected_components
 from gemflow.operators.prefix import running_sum
 
@@ -162,15 +162,6 @@ def test_osa(a, b, limit, d):
     assert T.osa_distance(a, b, limit) == d
 
 
-def test_parser_reads_terms_negation_and_spelling(spark):
-    rows = [(1, "show me a rign in rose gold"), (2, "necklace without pearl or ruby"), (3, "white gold bangles, no halo"), (4, None), (5, "plain solitaire pendant"), (6, "heere nahi diamond nahi ring")]
-    got = {r.id: r for r in lexicon.parse(spark.createDataFrame(rows, "id long, query string"), "id", "query").collect()}
-    assert got[1].categories == ["ring"] and got[1].metals == ["rose_gold"] and got[1].corrections == {"rign": "ring"}
-    assert got[2].not_intents == ["pearl", "ruby"] and got[2].categories == ["necklace"]
-    assert got[3].not_intents == ["halo"] and got[3].metals == ["white_gold"]
-    assert got[4].categories == [] and got[5].intents == ["plain"] and got[6].not_intents == ["diamond"]
-
-
 def test_text_functions(spark):
     df = spark.createDataFrame([("+91 98200-12345", "12.00X8.50", "a.jpg 320w, b.jpg 1024w, c.jpg 640w", "<p>A &amp; B</p><script>x</script><br>C", "DDLR-092-OV", "ring under 2 lakh 18k")], "ph string, sz string, ss string, h string, code string, q string")
     r = df.select(T.phone("ph").alias("ph"), T.size_label("sz").alias("sz"), T.largest_in_srcset("ss").alias("ss"), T.plain_html(F.col("h")).alias("h"), T.family_of("code", {"OV": "oval"}).alias("f"), T.budget("q").alias("b"), T.strip_budget("q").alias("q")).first()

@@ -32,12 +32,12 @@ def test_clean_whole_digests_what_follows_a_cap(spark, tmp_path):
     assert len({r.digest for r in text_queries.clean_whole(spark, str(tmp_path)).collect()}) == 2
 
 
-@pytest.mark.parametrize("name", ["vec_zero_shot_all", "vec_linear_probe_all"])
+@pytest.mark.parametrize("name", ["vec_zero_shot_softmax", "vec_linear_probe"])
 def test_class_probabilities_cover_every_label_and_family(spark, con, name):
     labels, families = con.sql("SELECT count(DISTINCT label), count(DISTINCT vec_id // 3) FROM embeddings").fetchall()[0]
     assert vector_queries.QUERIES[name](spark, DATA).count() == labels * families
 
 
 def test_stock_check_and_size_label_keep_every_row(spark, con):
-    for name, module, table in (("flt_stock_check_all", ranking_queries, "lineitem"), ("str_size_label_all", text_queries, "part")):
+    for name, module, table in (("flt_stock_check", ranking_queries, "lineitem"), ("str_size_label", text_queries, "part")):
         assert module.QUERIES[name](spark, DATA).count() == con.sql(f"SELECT count(*) FROM {table}").fetchall()[0][0]
