@@ -12,6 +12,7 @@ from gemflow.operators.behaviour import rate_limited
 from gemflow.operators.behaviour import round_robin as interleave
 from gemflow.operators.rerank import budget_fill
 from gemflow.session import read_table
+from gemflow.sources.writers import packed
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -241,7 +242,7 @@ def unservable(spark, sf_dir):
        SELECT bid, web_id FROM j WHERE r = 1""",
 )
 def best_match(spark, sf_dir):
-    """JOIN-11, JOIN-12: for every listing the page with the shortest title."""
+    """JOIN-12: for every listing the page with the shortest title."""
     w = read_table(spark, sf_dir, "web_designs").where("brand_design_id IS NOT NULL").select(F.col("id").alias("web_id"), F.col("brand_design_id").alias("bid"), F.length("title").alias("n")).distinct()
     b = read_table(spark, sf_dir, "brand_designs").select(F.col("id").alias("bid"), "site").distinct()
     return R.best_match(b, w, "bid", F.col("n"), [F.col("web_id").asc_nulls_last()], "bid").select("bid", "web_id")
@@ -249,16 +250,15 @@ def best_match(spark, sf_dir):
 
 @query(
     "join_longest_prefix",
-    """WITH o AS (SELECT split_part(folders[1], '/', 1) || '/' || split_part(folders[1], '/', 2) AS folder, category AS owner FROM designs WHERE folders[1] IS NOT NULL
-                  UNION ALL SELECT split_part(folders[1], '/', 1), category FROM designs WHERE folders[1] IS NOT NULL),
+    """WITH f AS (SELECT DISTINCT unnest(folders) AS f, category FROM designs), o AS (SELECT split_part(f, '/', 1) || '/' || split_part(f, '/', 2) AS folder, category AS owner FROM f UNION ALL SELECT split_part(f, '/', 1), category FROM f),
        s AS (SELECT folder, min(owner) AS owner FROM o WHERE folder <> '' GROUP BY folder HAVING count(DISTINCT owner) = 1),
-       p AS (SELECT DISTINCT folders[1] || '/1.png' AS path FROM designs WHERE folders[1] IS NOT NULL),
+       p AS (SELECT DISTINCT f || '/1.png' AS path FROM f WHERE f IS NOT NULL),
        j AS (SELECT path, folder, owner, row_number() OVER (PARTITION BY path ORDER BY length(folder) DESC) AS r FROM p LEFT JOIN s ON starts_with(path, folder || '/'))
        SELECT path, folder, owner FROM j WHERE r = 1""",
 )
 def longest_prefix(spark, sf_dir):
-    """JOIN-13: a file's nearest ancestor folder that one owner alone has."""
-    f = designs(spark, sf_dir).select(F.get("folders", F.lit(0)).alias("f"), "category").where("f IS NOT NULL")
+    """JOIN-13: a file's nearest ancestor folder that one owner alone has, over all folders."""
+    f = designs(spark, sf_dir).select(F.explode("folders").alias("f"), "category").where("f IS NOT NULL").distinct()
     parts = F.split("f", "/")
     owners = f.select(F.array_join(F.slice(parts, 1, 2), "/").alias("folder"), F.col("category").alias("owner")).unionByName(f.select(F.get(parts, F.lit(0)).alias("folder"), F.col("category").alias("owner"))).where("folder <> ''")
     return R.nearest_ancestor(f.select(F.concat("f", F.lit("/1.png")).alias("path")).distinct(), owners)
@@ -376,11 +376,11 @@ def agg_category(spark, sf_dir):
 
 @query(
     "agg_status_rollup",
-    """SELECT archive_status, site, count(DISTINCT id) AS n FROM web_designs WHERE site LIKE '%.test' GROUP BY ROLLUP (archive_status, site)""",
+    """SELECT archive_status, site, GROUPING(archive_status, site) AS level, count(DISTINCT id) AS n FROM web_designs GROUP BY ROLLUP (archive_status, site)""",
 )
 def status_rollup(spark, sf_dir):
-    """AGG-02, AGG-16, AGG-31: counts with subtotals."""
-    return read_table(spark, sf_dir, "web_designs").where("site LIKE '%.test'").rollup("archive_status", "site").agg(F.count_distinct("id").alias("n"))
+    """AGG-02, AGG-16: counts with subtotals."""
+    return read_table(spark, sf_dir, "web_designs").rollup("archive_status", "site").agg(F.grouping_id().cast("long").alias("level"), F.count_distinct("id").alias("n"))
 
 
 @query(
@@ -411,15 +411,14 @@ def path_list(spark, sf_dir):
 
 @query(
     "agg_merge_fold",
-    """WITH e AS (SELECT family, unnest(map_entries(attrs['stones'])) AS e, NOT contains(key, '|PHOTOS/') AS pref, uid FROM designs WHERE attrs['stones'] IS NOT NULL),
-       one AS (SELECT family, e.key AS k, arg_max(e.value, (pref, CASE WHEN pref THEN uid ELSE -uid END)) AS v FROM e GROUP BY family, e.key)
-       SELECT family, k AS attr, v AS p FROM one""",
+    """WITH d AS (SELECT uid, upper(regexp_extract(design_id, '^([A-Za-z]+)', 1)) AS series, NOT contains(key, '|PHOTOS/') AS pref, attrs FROM designs WHERE attrs IS NOT NULL),
+       g AS (SELECT uid, series, pref, unnest(map_entries(attrs)) AS g FROM d), e AS (SELECT uid, series, pref, g.key AS grp, unnest(map_entries(g.value)) AS e FROM g)
+       SELECT series, grp, e.key AS attr, arg_max(e.value, (pref, CASE WHEN pref THEN uid ELSE -uid END)) AS p FROM e WHERE series <> '' GROUP BY 1, 2, 3""",
 )
 def merge_fold(spark, sf_dir):
-    """AGG-14, AGG-15: maps of a family merged; the last outside PHOTOS wins, else the first inside."""
-    d = designs(spark, sf_dir).where(F.col("attrs")["stones"].isNotNull()).select("family", F.col("attrs")["stones"].alias("m"), (~F.contains("key", F.lit("|PHOTOS/"))).alias("pref"), "uid")
-    merged = R.merge_maps(d, ["family"], "m", F.col("pref"), F.col("uid"))
-    return merged.select("family", F.explode("m").alias("attr", "p"))
+    """AGG-14, AGG-15: maps merged by the series in their names; the last outside PHOTOS wins, else the first inside."""
+    d = designs(spark, sf_dir).where("attrs IS NOT NULL").select(F.upper(F.regexp_extract("design_id", "^([A-Za-z]+)", 1)).alias("series"), F.explode("attrs").alias("grp", "m"), (~F.contains("key", F.lit("|PHOTOS/"))).alias("pref"), "uid").where("series <> ''")
+    return R.merge_maps(d, ["series", "grp"], "m", F.col("pref"), F.col("uid")).select("series", "grp", F.explode("m").alias("attr", "p"))
 
 
 @query(
@@ -452,7 +451,7 @@ def median_calibration(spark, sf_dir):
        SELECT CAST(cut AS DOUBLE) AS cut, round(avg(CASE WHEN p >= cut THEN 1.0 ELSE 0.0 END), 6) AS shown, round(avg(CASE WHEN p >= cut THEN CASE WHEN truth THEN 1.0 ELSE 0.0 END END), 6) AS precision FROM d, t GROUP BY cut""",
 )
 def threshold_table(spark, sf_dir):
-    """AGG-32, AGG-33: share shown and precision at thresholds; four thresholds."""
+    """AGG-32: share shown and precision at thresholds; four thresholds."""
     d = designs(spark, sf_dir).select(probability("stones", "solitaire").alias("p"), (F.col("stone_frac") > 0.1).alias("truth")).where("p IS NOT NULL AND truth IS NOT NULL")
     each = d.select("p", "truth", F.explode(F.array(*[F.lit(x) for x in (0.3, 0.5, 0.7, 0.9)])).alias("cut"))
     hit = F.col("p") >= F.col("cut")
@@ -464,7 +463,7 @@ def threshold_table(spark, sf_dir):
     """SELECT source, count(*) FILTER (lang = 'en') AS en, count(*) FILTER (lang = 'hi') AS hi, count(*) FILTER (lang = 'gu') AS gu FROM documents WHERE source IS NOT NULL GROUP BY source""",
 )
 def section_pivot(spark, sf_dir):
-    """AGG-34, AGG-30: counts per section, deciders as columns."""
+    """AGG-34: counts per section, deciders as columns."""
     p = read_table(spark, sf_dir, "documents").where("source IS NOT NULL").groupBy("source").pivot("lang", ["en", "hi", "gu"]).agg(F.count(F.lit(1)))
     return p.select("source", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("en", "hi", "gu")])
 
@@ -474,7 +473,7 @@ def section_pivot(spark, sf_dir):
     """SELECT p_type, round(p_retailprice / 100, 0) AS size_class, count(*) AS n, round(sum(p_retailprice), 2) AS total FROM part GROUP BY 1, 2""",
 )
 def spec_groups(spark, sf_dir):
-    """AGG-25, AGG-26: groups by rounded measure with count and sum."""
+    """AGG-25: groups by rounded measure with count and sum."""
     return read_table(spark, sf_dir, "part").groupBy("p_type", F.round(F.col("p_retailprice") / 100, 0).alias("size_class")).agg(F.count("*").alias("n"), F.round(F.sum("p_retailprice"), 2).alias("total"))
 
 
@@ -506,7 +505,7 @@ def lru_evict(spark, sf_dir):
     """SELECT uid, CASE WHEN n > 1 THEN family || '-' || n ELSE family END AS unique_name FROM (SELECT uid, family, row_number() OVER (PARTITION BY family ORDER BY uid) AS n FROM designs)""",
 )
 def unique_names(spark, sf_dir):
-    """WIN-19, WIN-20: names made unique by number."""
+    """WIN-19: names made unique by number."""
     return R.numbered_names(designs(spark, sf_dir), "family", [F.col("uid")]).select("uid", "unique_name")
 
 
@@ -558,7 +557,7 @@ def richness(spark, sf_dir):
 
 @query("srt_page", "SELECT uid, design_id FROM designs ORDER BY lower(design_id), uid LIMIT 20 OFFSET 40")
 def page(spark, sf_dir):
-    """SRT-04, SRT-06: third page of a case-insensitive order."""
+    """SRT-04: third page of a case-insensitive order."""
     return designs(spark, sf_dir).orderBy(F.lower("design_id"), "uid").offset(40).limit(20).select("uid", "design_id")
 
 
@@ -600,10 +599,11 @@ def difference(spark, sf_dir):
     return read_table(spark, sf_dir, "search_history").where("user_id IS NOT NULL").select("user_id").subtract(read_table(spark, sf_dir, "photo_query").select("user_id"))
 
 
-@query("set_intersection", "SELECT user_id FROM favorites INTERSECT SELECT user_id FROM search_history")
+@query("set_intersection", "SELECT design_uid AS uid FROM favorites INTERSECT SELECT unnest(result_uids) FROM search_history")
 def intersection(spark, sf_dir):
-    """SET-04, extra: users of both."""
-    return read_table(spark, sf_dir, "favorites").select("user_id").intersect(read_table(spark, sf_dir, "search_history").select("user_id"))
+    """SET-04, extra: designs both kept and shown."""
+    shown = read_table(spark, sf_dir, "search_history").select(F.explode("result_uids").alias("uid"))
+    return read_table(spark, sf_dir, "favorites").select(F.col("design_uid").alias("uid")).intersect(shown)
 
 
 @query(
@@ -612,7 +612,7 @@ def intersection(spark, sf_dir):
        array_to_string(list_sort(list_filter(['white_gold', 'rose_gold', 'yellow_gold'], lambda m: NOT list_contains(metals, m))), ',') AS missing FROM designs WHERE metals IS NOT NULL""",
 )
 def set_arrays(spark, sf_dir):
-    """SET-05, SET-06, SET-07, SET-08: intersection, subset and difference of arrays."""
+    """SET-05, SET-06, SET-08: intersection, subset and difference of arrays."""
     a = lambda *xs: F.array(*[F.lit(x) for x in xs])
     d = designs(spark, sf_dir).where("metals IS NOT NULL")
     return d.select(
@@ -656,11 +656,8 @@ def soft_delete(spark, sf_dir):
     return read_table(spark, sf_dir, "brand_designs").select("id", "status").distinct().withColumn("deleted", F.when(F.col("status") == "hidden", 1).otherwise(0))
 
 
-@query(
-    "snk_compress_choice",
-    "SELECT doc_id, CASE WHEN len(text) * 2 <= 0.9 * octet_length(encode(text)) THEN 'zstd' ELSE 'plain' END AS codec FROM documents WHERE text IS NOT NULL",
-)
+@query("snk_compress_choice")
 def compress_choice(spark, sf_dir):
     """SNK-10: packed only where that saves a tenth."""
-    d = read_table(spark, sf_dir, "documents").where("text IS NOT NULL")
-    return d.select("doc_id", F.when(F.length("text") * 2 <= 0.9 * F.octet_length("text"), "zstd").otherwise("plain").alias("codec"))
+    d = read_table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", "text")
+    return packed(d, "text").select("doc_id", "codec", F.octet_length("body").alias("stored"))

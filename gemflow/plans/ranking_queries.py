@@ -56,7 +56,7 @@ def type_colour(spark, sf_dir):
        SELECT id FROM b WHERE len(list_filter(from_json(json_extract_string(original, '$.variants'), '["JSON"]'), lambda v: v->>'available' = 'true')) > 0 AND json_extract_string(original, '$.title') <> ''""",
 )
 def feed_admission(spark, sf_dir):
-    """FLT-21: products with a title and a variant in stock."""
+    """FLT-21: products with a title and a variant in stock (pictures, types and handles: flt_feed)."""
     b = read_table(spark, sf_dir, "brand_designs").select("id", "original").distinct().where(F.try_parse_json("original").isNotNull() & F.ltrim("original").startswith("{"))
     v = F.get_json_object("original", "$.variants")
     b = b.withColumn("v", v).where(F.col("v").startswith("["))
@@ -71,7 +71,7 @@ def feed_admission(spark, sf_dir):
        SELECT id, max(area) AS area, count(*) AS n FROM w GROUP BY id""",
 )
 def picture_choice(spark, sf_dir):
-    """FLT-23, FLT-24, SET-09: large enough pictures that are no icons, the largest one's area."""
+    """FLT-24: large enough pictures that are no icons, the largest one's area."""
     b = read_table(spark, sf_dir, "brand_designs").select("id", "pictures").where("pictures IS NOT NULL").distinct()
     p = b.select("id", F.explode(F.from_json("pictures", "array<struct<file:string,width:long,height:long>>")).alias("p"))
     fine = p.where((F.col("p.width") >= 800) & ~F.col("p.file").rlike("(?i)icon|logo"))
@@ -135,7 +135,7 @@ def front(spark, sf_dir):
        SELECT id, min(v) FILTER (label = 'Purity') AS purity, CAST(coalesce(sum(TRY_CAST(v AS BIGINT)) FILTER (label LIKE '%No. of%'), 0) AS BIGINT) AS stones FROM t WHERE label IS NOT NULL GROUP BY id""",
 )
 def key_figures(spark, sf_dir):
-    """AGG-27, STR-S19: first match and sums over labelled values."""
+    """AGG-27: first match and sums over labelled values."""
     b = read_table(spark, sf_dir, "brand_designs").select("id", "original").distinct().where(F.try_parse_json("original").isNotNull() & F.ltrim("original").startswith("{"))
     specs = b.select("id", F.get_json_object("original", "$.specs").alias("s")).where("s LIKE '[%'")
     each = specs.select("id", F.explode(F.from_json("s", "array<struct<label:string,value:string>>")).alias("x")).select("id", "x.label", "x.value").where("label IS NOT NULL")
@@ -145,7 +145,7 @@ def key_figures(spark, sf_dir):
 
 @query("agg_least_of_map", "SELECT uid, list_min(map_values(attrs['stones'])) AS least, list_sum(map_values(attrs['stones'])) AS total FROM designs WHERE attrs['stones'] IS NOT NULL AND cardinality(attrs['stones']) > 0")
 def least_of_map(spark, sf_dir):
-    """AGG-28, AGG-29: least and sum over the values of a map."""
+    """AGG-29: least and sum over the values of a map."""
     m = F.map_values(F.col("attrs")["stones"])
     d = designs(spark, sf_dir).where(F.col("attrs")["stones"].isNotNull() & (F.size(F.col("attrs")["stones"]) > 0))
     return d.select("uid", F.array_min(m).alias("least"), F.aggregate(m, F.lit(0.0), lambda a, x: a + x).alias("total"))
@@ -244,12 +244,17 @@ def agreement(spark, sf_dir):
 
 @query(
     "vec_colour_probability",
-    """WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[])[1:3] AS v FROM embeddings) SELECT vec_id, round(exp(10 * v[1]) / (exp(10 * v[1]) + exp(10 * v[2]) + exp(10 * v[3])), 6) AS p FROM e""",
+    """WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), k AS (SELECT v AS a FROM e WHERE vec_id = 0), k1 AS (SELECT v AS b FROM e WHERE vec_id = 1), k2 AS (SELECT v AS c FROM e WHERE vec_id = 2),
+       s AS (SELECT vec_id, exp(20 * list_cosine_similarity(v, a)) AS x, exp(20 * list_cosine_similarity(v, b)) AS y, exp(20 * list_cosine_similarity(v, c)) AS z FROM e, k, k1, k2)
+       SELECT vec_id, round(x / (x + y + z), 6) AS p, CASE WHEN greatest(x, y, z) / (x + y + z) >= 0.7 THEN CASE WHEN x >= greatest(y, z) THEN 'yellow' WHEN y >= z THEN 'white' ELSE 'rose' END END AS sure FROM s""",
 )
 def colour_probability(spark, sf_dir):
-    """VEC-25, MA-02: softmax over three scores."""
-    e = read_table(spark, sf_dir, "embeddings").select("vec_id", F.slice(F.col("embedding").cast("array<double>"), 1, 3).alias("v"))
-    return e.select("vec_id", F.round(V.softmax("v", 10.0)[0], 6).alias("p"))
+    """VEC-25, MA-02, VEC-09: softmax of the similarities to three colours' vectors, and the colour where it is sure."""
+    e = read_table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    colours = e.where("vec_id < 3").agg(F.array_sort(F.collect_list(F.struct("vec_id", "v"))).alias("c"))  # three rows
+    s = e.crossJoin(F.broadcast(colours)).select("vec_id", V.softmax(F.array(*[V.cosine(F.col("v"), F.col("c")[i]["v"]) for i in range(3)]), 20.0).alias("p"))
+    sure = F.when(F.array_max("p") >= 0.7, F.element_at(F.array(F.lit("yellow"), F.lit("white"), F.lit("rose")), V.argmax(F.col("p")) + 1))
+    return s.select("vec_id", F.round(F.col("p")[0], 6).alias("p"), sure.alias("sure"))
 
 
 @query(
@@ -258,10 +263,10 @@ def colour_probability(spark, sf_dir):
        SELECT fid, round(max(list_cosine_similarity(e.v, f.v)), 6) AS best, max(list_cosine_similarity(e.v, f.v)) >= 0.3 AS passes FROM f JOIN e ON e.label = f.label AND e.vec_id <> fid GROUP BY fid""",
 )
 def fidelity(spark, sf_dir):
-    """VEC-30, JOIN-27, FLT-28: best cosine to one's own pictures against a threshold."""
+    """VEC-30, JOIN-27: best cosine to one's own pictures against a threshold."""
     items = read_table(spark, sf_dir, "embeddings")
-    pairs = scoring.pair_scores(items, items.where("vec_id % 50 = 0"), "vec_id", "embedding", "label", same_label=True)
-    return pairs.groupBy(F.col("query").alias("fid")).agg(F.round(F.max("score"), 6).alias("best"), (F.max("score") >= 0.3).alias("passes"))
+    pairs = scoring.pair_scores(items, items.where("vec_id % 50 = 0"), "vec_id", "embedding", "label", same_label=True, reduce="max")
+    return pairs.select(F.col("query").alias("fid"), F.round("score", 6).alias("best"), (F.col("score") >= 0.3).alias("passes"))
 
 
 @query(
@@ -314,7 +319,7 @@ def count_shown(spark, sf_dir):
 
 @query("ql_options", "SELECT opt, count(*) AS n FROM (SELECT unnest(understood.intents) AS opt FROM search_history) GROUP BY opt")
 def options(spark, sf_dir):
-    """QL-07, QL-13, QL-15: options that searches name."""
+    """QL-07: how often searches name each option."""
     return read_table(spark, sf_dir, "search_history").select(F.explode("understood.intents").alias("opt")).groupBy("opt").agg(F.count("*").alias("n"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gemflow.functions import vectors as V
@@ -163,9 +163,24 @@ def distribution_overlap(spark, sf_dir):
 
 
 def picture_score(spark, sf_dir):
-    """VEC-20, WIN-21: best score of each query over all items minus its mean, and novelty against the queries before it."""
-    pairs = _pairs(spark, sf_dir)
-    return pairs.groupBy("query").agg(F.round(F.max("score") - F.avg("score"), 6).alias("lead"), F.round(F.greatest(F.lit(0.0), F.max("score") - 0.3) * 10, 6).alias("repeat"))
+    """VEC-20: how much better the best item of a query's label fits than it fits the label in general, in calibrated logits."""
+    items = _items(spark, sf_dir)
+    generic = scoring.mean_vectors(items, "label", "embedding").select(F.col("label").alias("_l"), "vec")
+    best = scoring.pair_scores(items, _asked(items), "vec_id", "embedding", "label", same_label=True, reduce="max")
+    plain = items.join(F.broadcast(generic), F.col("label") == F.col("_l")).groupBy("label").agg(F.max(V.cosine("embedding", "vec")).alias("g"))  # one row per label
+    asked = _asked(items).select(F.col("vec_id").alias("query"), "label")
+    return best.join(asked, "query").join(F.broadcast(plain), "label").select("query", F.round(100 * (F.col("score") - F.col("g")), 6).alias("lead"))
+
+
+def novelty(spark, sf_dir):
+    """WIN-21: a search against the five before it of the same user: only near repeats lose."""
+    s = read_table(spark, sf_dir, "search_history").where("user_id IS NOT NULL AND created_at IS NOT NULL").select("id", "user_id", "created_at").dropDuplicates(["id"])
+    e = _items(spark, sf_dir)
+    n = s.crossJoin(F.broadcast(e.agg(F.count("*").alias("_n"))))  # one row
+    v = n.join(e.select(F.col("vec_id"), F.col("embedding").alias("v")), F.col("id") % F.col("_n") == F.col("vec_id"))
+    before = F.collect_list("v").over(Window.partitionBy("user_id").orderBy("created_at", "id").rowsBetween(-5, -1))
+    near = F.array_max(F.transform("_b", lambda x: V.cosine(F.col("v"), x)))
+    return v.withColumn("_b", before).select("id", F.round(-10 * F.greatest(F.lit(0.0), F.coalesce(near, F.lit(0.0)) - 0.9), 6).alias("novelty"))
 
 
 def mmr(spark, sf_dir):
@@ -205,7 +220,7 @@ QUERIES = {
     "vec_zero_shot_softmax": zero_shot, "vec_knn_vote": knn_vote, "vec_neighbour_attr": neighbour_attribute, "vec_percentile_rank": percentile_rank,
     "vec_centred_scores": centred_scores, "vec_lead_next_family": lead_next_family, "vec_mean_by_label": mean_by_label, "vec_taste_vector": taste_vectors,
     "vec_best_view": best_view, "vec_duplicate_families": duplicate_families, "vec_linear_probe": linear_probe, "vec_distribution_overlap": distribution_overlap,
-    "vec_picture_score": picture_score, "rerank_mmr": mmr, "rerank_shop_spread": shop_spread, "rerank_browse_order": browse_order,
+    "vec_picture_score": picture_score, "win_novelty": novelty, "rerank_mmr": mmr, "rerank_shop_spread": shop_spread, "rerank_browse_order": browse_order,
 }
 
 SQL = {
@@ -256,5 +271,9 @@ SQL = {
         SELECT vec_id // 3 AS family, class, round(avg(p), 6) AS p FROM (SELECT vec_id, class, x / sum(x) OVER (PARTITION BY vec_id) AS p FROM s) GROUP BY 1, 2""",
     "vec_distribution_overlap": """WITH p AS (SELECT photo_id, list_transform(map_values(attrs), lambda x: greatest(coalesce(x, 0.0), 0.0)) AS a FROM photo_query WHERE attrs IS NOT NULL AND cardinality(attrs) > 0)
         SELECT photo_id, round(list_sum(list_transform(a, lambda x: sqrt(x / list_sum(a) / len(a)))), 6) AS overlap FROM p WHERE list_sum(a) <> 0""",
-    "vec_picture_score": _SQL_PAIRS + "SELECT query, round(max(score) - avg(score), 6) AS lead, round(greatest(0.0, max(score) - 0.3) * 10, 6) AS repeat FROM pairs GROUP BY query",
+    "vec_picture_score": _SQL_CLASSES + """, g AS (SELECT label, max(list_cosine_similarity(v, m)) AS g FROM e JOIN c ON c.class = e.label GROUP BY label)
+        SELECT q.vec_id AS query, round(100 * (max(list_cosine_similarity(q.v, i.v)) - any_value(g)), 6) AS lead FROM e q JOIN e i ON i.label = q.label AND i.vec_id <> q.vec_id JOIN g ON g.label = q.label WHERE q.vec_id % 50 = 0 GROUP BY q.vec_id""",
+    "win_novelty": """WITH s AS (SELECT id, any_value(user_id) AS user_id, any_value(created_at) AS t FROM search_history WHERE user_id IS NOT NULL AND created_at IS NOT NULL GROUP BY id),
+        v AS (SELECT s.*, CAST(embedding AS DOUBLE[]) AS v, row_number() OVER (PARTITION BY user_id ORDER BY t, id) AS r FROM s JOIN embeddings ON vec_id = id % (SELECT count(*) FROM embeddings))
+        SELECT a.id, round(-10 * greatest(0.0, coalesce(max(list_cosine_similarity(a.v, b.v)), 0.0) - 0.9), 6) AS novelty FROM v a LEFT JOIN v b ON b.user_id = a.user_id AND b.r BETWEEN a.r - 5 AND a.r - 1 GROUP BY a.id""",
 }

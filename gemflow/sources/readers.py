@@ -63,6 +63,18 @@ def import_csv(spark: SparkSession, path: str, columns: dict[str, str], aliases:
 _NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
 
 
+def _first_sheet(book: zipfile.ZipFile, names: list[str]) -> str:
+    """The part that holds the sheet the workbook lists first; without such a list the sheet of the lowest number."""
+    relation = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
+    if "xl/workbook.xml" in names and "xl/_rels/workbook.xml.rels" in names:
+        first = ElementTree.fromstring(book.read("xl/workbook.xml")).find("m:sheets/m:sheet", _NS)
+        for link in ElementTree.fromstring(book.read("xl/_rels/workbook.xml.rels")):
+            if first is not None and link.get("Id") == first.get(relation):
+                target = link.get("Target").lstrip("/")
+                return target if target.startswith("xl/") else f"xl/{target}"
+    return min((n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.search(r"\d+", n).group()))
+
+
 def sheet_cells(content: bytes) -> list[tuple[int, int, str]]:
     """(row, column, text) of the first sheet of a workbook, both from 1; empty cells left out."""
     with zipfile.ZipFile(io.BytesIO(content)) as book:
@@ -71,9 +83,8 @@ def sheet_cells(content: bytes) -> list[tuple[int, int, str]]:
         if "xl/sharedStrings.xml" in names:
             for item in ElementTree.fromstring(book.read("xl/sharedStrings.xml")).findall("m:si", _NS):
                 shared.append("".join(t.text or "" for t in item.iter(f"{{{_NS['m']}}}t")))
-        sheets = sorted((n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.search(r"\d+", n).group()))
         out = []
-        for cell in ElementTree.fromstring(book.read(sheets[0])).iter(f"{{{_NS['m']}}}c"):
+        for cell in ElementTree.fromstring(book.read(_first_sheet(book, names))).iter(f"{{{_NS['m']}}}c"):
             letters, number = re.fullmatch(r"([A-Z]+)(\d+)", cell.get("r")).groups()
             column = 0
             for ch in letters:
@@ -173,17 +184,19 @@ class _Page(HTMLParser):
             self._in = None
 
 
-def _products(value, depth: int = 0) -> list[dict]:
-    """Product nodes anywhere in a JSON-LD value."""
-    if depth > 50:
-        return []
-    if isinstance(value, list):
-        return [p for v in value for p in _products(v, depth + 1)]
-    if isinstance(value, dict):
-        kinds = value.get("@type")
-        own = [value] if "Product" in (kinds if isinstance(kinds, list) else [kinds]) else []
-        return own + [p for v in value.values() for p in _products(v, depth + 1)]
-    return []
+def _products(value) -> list[dict]:
+    """Product nodes anywhere in a JSON-LD value, in order; the type is read without case, a group of variants counts as a product."""
+    found, todo = [], [value]
+    while todo:
+        node = todo.pop()
+        if isinstance(node, dict):
+            kinds = node.get("@type")
+            if any(isinstance(k, str) and k.lower() in ("product", "productgroup") for k in (kinds if isinstance(kinds, list) else [kinds])):
+                found.append(node)
+            todo += list(node.values())[::-1]
+        elif isinstance(node, list):
+            todo += node[::-1]
+    return found
 
 
 PAGE = "url string, title string, description string, links array<string>, images array<string>, product string, price double, currency string"
@@ -227,10 +240,11 @@ def read_pages(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
 
 
 class PagedFeed(DataSource):
-    """A feed read page by page until a short page: ``format("paged_feed")`` with options path (a JSON file of pages), size.
+    """A feed read page by page until a short page: ``format("paged_feed")`` with options path, size, cap.
 
-    Pages are fetched in one task, since the next page's existence is known only from the last; products repeat
-    across pages and are to be reduced by id afterwards.
+    path is a JSON file of pages, or several separated by commas; each feed is one task, since whether a next page exists is
+    known only from the last. ``cap`` pages at most are read of a feed: one that goes on beyond is an error, not a short
+    result. Products repeat across pages; ``feed_products`` reduces them by id.
     """
 
     @classmethod
@@ -238,24 +252,32 @@ class PagedFeed(DataSource):
         return "paged_feed"
 
     def schema(self):
-        return "id long, title string, page int"
+        return "feed string, id long, title string, page int"
 
     def reader(self, schema):
-        return _FeedReader(self.options["path"], int(self.options.get("size", 50)), int(self.options.get("cap", 200)))
+        return _FeedReader(self.options["path"].split(","), int(self.options.get("size", 50)), int(self.options.get("cap", 200)))
 
 
 class _FeedReader(DataSourceReader):
-    def __init__(self, path: str, size: int, cap: int):
-        self.path, self.size, self.cap = path, size, cap
+    def __init__(self, paths: list[str], size: int, cap: int):
+        self.paths, self.size, self.cap = paths, size, cap
 
     def partitions(self):
-        return [InputPartition(0)]
+        return [InputPartition(i) for i in range(len(self.paths))]
 
     def read(self, partition):
-        with open(self.path, encoding="utf-8") as f:
+        path = self.paths[partition.value]
+        with open(path, encoding="utf-8") as f:
             pages = json.load(f)
-        for number, page in enumerate(pages[: self.cap], 1):
+        for number, page in enumerate(pages, 1):
+            if number > self.cap:
+                raise ValueError(f"{path} has more than {self.cap} pages")
             for product in page:
-                yield (int(product["id"]), product.get("title"), number)
+                yield (path, int(product["id"]), product.get("title"), number)
             if len(page) < self.size:
                 break
+
+
+def feed_products(feed: DataFrame) -> DataFrame:
+    """One row per product of a feed, as its last page states it."""
+    return feed.groupBy("feed", "id").agg(F.max_by("title", "page").alias("title"), F.max("page").alias("page"))

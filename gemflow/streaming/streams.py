@@ -1,4 +1,4 @@
-"""Stateful streams: popularity over a sliding window, the latest row per key, a rate limiter, chunk assembly, sessions."""
+"""Stateful streams: popularity over a sliding window, the latest row per key, a rate limiter, chunk assembly, sessions, a token store, logs and retries."""
 
 from __future__ import annotations
 
@@ -100,3 +100,61 @@ def assemble_chunks(chunks: DataFrame, idle_ms: int = 7_200_000) -> DataFrame:
 
     slim = chunks.select(F.col("upload").cast("string").alias("upload"), F.col("offset").cast("long").alias("offset"), F.col("size").cast("long").alias("size"), F.col("total").cast("long").alias("total"))
     return slim.groupBy("upload").applyInPandasWithState(run, "upload string, state string, received long", "received long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def token_store(requests: DataFrame, ttl_s: float, most: int = 1000, shards: int = 64) -> DataFrame:
+    """(token, at, value, found): gets answered from what was put before, no longer than ``ttl_s`` ago.
+
+    requests: token, at, value (null: a get). A shard of tokens keeps at most ``most`` values; the one used least recently
+    goes first. Requests of a shard are taken in time order within a batch, puts before gets of one instant.
+    """
+
+    def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held: dict[str, list] = {t: [v, put, used] for t, v, put, used in zip(*state.get)} if state.exists else {}
+        out = []
+        rows = pd.concat(list(batches)).assign(_get=lambda d: d["value"].isna()).sort_values(["_t", "_get", "token"])
+        for token, t, value in zip(rows["token"], rows["_t"], rows["value"]):
+            if isinstance(value, str):
+                held[token] = [value, t, t]
+                if len(held) > most:
+                    del held[min(held, key=lambda x: (held[x][2], x))]
+                continue
+            entry = held.get(token)
+            if entry is not None and t - entry[1] > ttl_s:
+                del held[token]
+                entry = None
+            if entry is not None:
+                entry[2] = t
+            out.append((token, t, entry[0] if entry else None, entry is not None))
+        state.update(tuple(list(x) for x in zip(*[(t, *e) for t, e in held.items()])) if held else ([], [], [], []))
+        yield pd.DataFrame(out, columns=["token", "at", "value", "found"])
+
+    slim = requests.where("token IS NOT NULL AND at IS NOT NULL").select(
+        F.pmod(F.xxhash64("token"), F.lit(shards)).alias("_shard"), "token", (F.unix_micros(F.col("at").cast("timestamp")) / 1e6).alias("_t"), F.col("value").cast("string").alias("value"))
+    schema = "tokens array<string>, vals array<string>, put array<double>, used array<double>"
+    return slim.groupBy("_shard").applyInPandasWithState(run, "token string, at double, value string, found boolean", schema, "append", GroupStateTimeout.NoTimeout)
+
+
+def audit_log(path: str) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that appends events; a batch written again replaces itself, so none counts twice."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={number}")
+
+    return write
+
+
+def retry_aged(pending: SwappedTable, push: Callable[[DataFrame], DataFrame], key: str, at: str, now: Callable[[], str], least: str = "5 minutes") -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function for staged rows: those older than ``least`` are pushed, what fails or is young stays pending.
+
+    ``push`` gets the rows that are due and gives the keys that went through.
+    """
+
+    def write(batch: DataFrame, _: int) -> None:
+        staged = pending.read().unionByName(batch.select(*pending.read().columns)) if pending.versions() else batch
+        staged = staged.groupBy(key).agg(F.min_by(F.struct(*staged.columns), F.struct(at)).alias("_r")).select("_r.*")
+        due = F.col(at) <= F.to_timestamp(F.lit(now())) - F.expr(f"INTERVAL {least}")
+        done = push(staged.where(due)).select(key)
+        pending.write(staged.join(done, key, "left_anti"))
+
+    return write

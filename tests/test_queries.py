@@ -2,10 +2,10 @@ import os
 
 import pytest
 
-from gemflow.plans import catalogue_queries, data_prep, ranking_queries, search_queries, text_queries, vector_queries
+from gemflow.plans import catalogue_queries, data_prep, detail_queries, ranking_queries, search_queries, text_queries, vector_queries
 from oracle import DATA, check, connect
 
-MODULES = [data_prep, vector_queries, search_queries, catalogue_queries, text_queries, ranking_queries]
+MODULES = [data_prep, vector_queries, search_queries, catalogue_queries, text_queries, ranking_queries, detail_queries]
 WITH_SQL = [(name, m) for m in MODULES for name in m.SQL]
 WITHOUT = [(name, m) for m in MODULES for name in m.QUERIES if name not in m.SQL]
 
