@@ -123,5 +123,14 @@ def mix(documents: DataFrame, targets: DataFrame, block: int = BLOCK, slots: int
     reached = plan.join(used, ["mix", "source"], "left").withColumn("mixed_size", F.coalesce("mixed_size", F.lit(0)))
     whole = reached.groupBy("mix").agg(F.sum("mixed_size").alias("mix_size"))
     share = F.when(F.col("mix_size") > 0, F.col("mixed_size") / F.col("mix_size") * 100)
-    shares = reached.join(whole, "mix").select("mix", "source", "share_pct", "max_repeats", "source_size", "mixed_size", share.alias("reached_pct"), "reachable")
+    shares = reached.join(whole, "mix").select("mix", "source", "share_pct", "max_repeats", "source_size", "total_size", "mixed_size", share.alias("reached_pct"), "reachable")
     return pieces, shares, plan
+
+
+def short_sources(shares: DataFrame) -> DataFrame:
+    """The rows of shares whose source cannot reach its share in a mix as large as all documents.
+
+    A mix never holds more of a source than ``max_repeats`` allows, so every such source came out short of its share of the
+    mix; those that are short by chance of the draw only are told apart by what the source has.
+    """
+    return shares.where((100 * F.col("mixed_size") < F.col("share_pct") * F.col("total_size")) & ~F.col("reachable"))

@@ -112,7 +112,7 @@ def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources that cannot reach their share of a mix as large as all documents with a source."""
     _, shares, _ = mixing.mix(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "mix_target"))
-    return shares.where("NOT reachable").select("mix", "source")
+    return mixing.short_sources(shares).select("mix", "source")
 
 
 def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -132,6 +132,7 @@ def test_mixes_reach_shares_and_keep_to_repeats(spark):
     got = {(r.mix, r.source): r for r in shares.collect()}
     assert [k for k, r in sorted(got.items()) if not r.reachable] == [("m", "small"), ("n", "absent")]
     assert got["m", "small"].mixed_size == 3 * got["m", "small"].source_size  # all it may give
+    assert sorted((r.mix, r.source) for r in mixing.short_sources(shares).collect()) == [("m", "small"), ("n", "absent")]
     assert abs(got["n", "small"].reached_pct - 2 / 0.98 / 1.02) < 1.5 and got["n", "absent"].mixed_size == 0
     use = pieces.groupBy("mix", "source", "doc_id", "doc_from").count().groupBy("mix", "source").agg(F.max("count").alias("m")).collect()
     limit = {("m", "big"): 5, ("m", "small"): 3, ("n", "big"): 2, ("n", "small"): 2}
