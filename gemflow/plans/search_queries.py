@@ -6,11 +6,11 @@ the embeddings stand for the signals of two picture models and of a title.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gemflow.functions import vectors as V
-from gemflow.operators import rerank, scoring
+from gemflow.operators import probes, rerank, scoring
 from gemflow.operators.search import fused_search
 from gemflow.session import read_table
 
@@ -205,3 +205,62 @@ def web_page(spark, sf_dir):
     p = _products(spark, sf_dir)
     pool = fused_search(p, e.select("query", *_signals("v")), {"sig": 1.0, "dino": 1.0}, k=48, own=True)
     return rerank.spread(pool.join(p.select("item", F.xxhash64("site").alias("shop"), F.col("sig").alias("vec")), "item"), k=8)
+
+
+# --- reading photos
+
+
+@query(
+    "vec_read_photo",
+    """WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+       d AS (SELECT label AS class, pos, avg(x) AS x FROM (SELECT label, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM e) GROUP BY 1, 2), c AS (SELECT class, list(x ORDER BY pos) AS m FROM d GROUP BY class),
+       z AS (SELECT vec_id, class, exp(20 * list_cosine_similarity(v, m)) AS x FROM e, c WHERE vec_id % 50 = 0), zero AS (SELECT vec_id, class, x / sum(x) OVER (PARTITION BY vec_id) AS p FROM z),
+       n AS (SELECT q.vec_id, i.label, list_cosine_similarity(q.v, i.v) AS s, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(q.v, i.v) DESC, i.vec_id) AS r FROM e q JOIN e i ON i.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0),
+       w AS (SELECT vec_id, label, exp(50 * (s - max(s) OVER (PARTITION BY vec_id))) AS w FROM n WHERE r <= 10), vote AS (SELECT vec_id, label, sum(w) / any_value(t) AS p FROM (SELECT *, sum(w) OVER (PARTITION BY vec_id) AS t FROM w) GROUP BY 1, 2),
+       b AS (SELECT zero.vec_id, class, 0.3 * zero.p + 0.7 * coalesce(vote.p, 0) AS p FROM zero LEFT JOIN vote ON vote.vec_id = zero.vec_id AND vote.label = class)
+       SELECT vec_id, arg_max(class, (p, -class)) AS kind, round(max(p), 6) AS p, max(p) >= 0.6 AS sure FROM b GROUP BY vec_id""",
+)
+def read_photo(spark, sf_dir):
+    """VEC-09: the type of a photo: three tenths zero-shot reading, seven tenths votes of its nearest; sure from 0.6 on."""
+    e = read_table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"), "label")
+    asked = e.where("vec_id % 50 = 0")
+    classes = scoring.mean_vectors(e, "label", "v").select(F.col("label").alias("class"), "vec")
+    z = asked.crossJoin(F.broadcast(classes)).select("vec_id", "class", F.exp(20 * V.cosine("v", "vec")).alias("x"))  # one row per class
+    zero = z.withColumn("zero", F.col("x") / F.sum("x").over(Window.partitionBy("vec_id")))
+    near = scoring.best(scoring.pair_scores(e, asked, "vec_id", "v", top=10), 10).join(e.select(F.col("vec_id").alias("item"), "label"), "item")
+    vote = scoring.vote(near, "label").select(F.col("query").alias("vec_id"), F.col("label").alias("class"), "p")
+    both = zero.join(vote, ["vec_id", "class"], "left").select("vec_id", "class", (0.3 * F.col("zero") + 0.7 * F.coalesce("p", F.lit(0.0))).alias("p"))
+    return both.groupBy("vec_id").agg(F.max_by("class", F.struct("p", -F.col("class"))).alias("kind"), F.round(F.max("p"), 6).alias("p"), (F.max("p") >= 0.6).alias("sure"))
+
+
+@query(
+    "vec_trait_shown",
+    f"""WITH t AS (SELECT photo_id, unnest(map_entries(attrs)) AS e FROM (SELECT DISTINCT ON (photo_id) * FROM photo_query) WHERE attrs IS NOT NULL), n AS (SELECT photo_id, e.key AS trait, e.value AS p, percent_rank() OVER (PARTITION BY e.key ORDER BY e.value) AS pr FROM t WHERE e.value IS NOT NULL),
+        m AS (SELECT *, p - avg(p) OVER (PARTITION BY trait) AS c FROM n), r AS (SELECT *, (rank() OVER (PARTITION BY trait ORDER BY c) - 1) / count(*) OVER (PARTITION BY trait) AS pct FROM m)
+        SELECT photo_id, trait, round(c, 6) AS centred, round(pct, 6) AS percentile FROM r WHERE pct >= 0.95 QUALIFY row_number() OVER (PARTITION BY photo_id ORDER BY round(c, 6) DESC, trait) <= 2""",
+)
+def trait_shown(spark, sf_dir):
+    """VEC-14: traits that outscore nearly all other pieces on them, centred, two at most."""
+    t = read_table(spark, sf_dir, "photo_query").where("attrs IS NOT NULL").dropDuplicates(["photo_id"]).select("photo_id", F.explode("attrs").alias("trait", "p")).where("p IS NOT NULL")
+    mean = t.groupBy("trait").agg(F.avg("p").alias("m"))
+    c = t.join(F.broadcast(mean), "trait").select("photo_id", "trait", (F.col("p") - F.col("m")).alias("c"))  # one row per trait
+    w = Window.partitionBy("trait")
+    r = c.withColumn("pct", (F.rank().over(w.orderBy("c")) - 1) / F.count("*").over(w)).where("pct >= 0.95")
+    first = Window.partitionBy("photo_id").orderBy(F.round("c", 6).desc(), "trait")
+    return r.withColumn("_n", F.row_number().over(first)).where("_n <= 2").select("photo_id", "trait", F.round("c", 6).alias("centred"), F.round("pct", 6).alias("percentile"))
+
+
+@query("vec_train_probe")
+def train_probe(spark, sf_dir):
+    """VEC-27: a linear reader trained by folds of families; how often it is right per fold."""
+    e = read_table(spark, sf_dir, "embeddings").withColumn("family", (F.col("vec_id") / 3).cast("long"))
+    read = probes.train_by_folds(e, "vec_id", "embedding", "label", "family")
+    return read.groupBy("fold").agg(F.count("*").alias("n"), F.round(F.avg((F.col("read") == F.col("label")).cast("double")), 4).alias("right"))
+
+
+@query("vec_train_finder")
+def train_finder(spark, sf_dir):
+    """VEC-28: a reader of patches, piece or background, over the tables' vectors read as patches; the patches found."""
+    e = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding", (F.col("label") < 5).cast("int").alias("piece"))
+    model = probes.train_probe(e, "embedding", "piece")
+    return probes.read_with(model, e, "embedding").where("read = 1").select("vec_id", F.round(F.col("p")[1], 4).alias("p"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gemflow.functions import vectors as V
 from gemflow.operators import rerank, scoring
+from gemflow.operators.search import fused_search
 from gemflow.session import read_table
 
 
@@ -46,16 +47,12 @@ def similar_other_family(spark, sf_dir):
 
 
 def zscore_fusion(spark, sf_dir):
-    """VEC-08, WIN-01: sum of standardised scores of two views of the vectors, stats over the query's own label."""
+    """VEC-08, WIN-01: sum of standardised scores of two views of the vectors, within the query's own label."""
     items = _items(spark, sf_dir)
-    front = items.select("vec_id", F.slice("embedding", 1, 32).alias("embedding"), "label")
-    a = _pairs(spark, sf_dir)
-    b = scoring.pair_scores(front, _asked(front), "vec_id", "embedding", "label").withColumnRenamed("score", "second")
-    labels = items.select(F.col("vec_id").alias("item"), F.col("label").alias("_li"))
-    asked = items.select(F.col("vec_id").alias("query"), F.col("label").alias("_lq"))
-    both = a.join(b, ["query", "item"]).join(labels, "item").join(asked, "query").withColumn("own", F.col("_li") == F.col("_lq"))
-    z = scoring.standardise(both, ["score", "second"], mask="own").withColumn("fused", F.round(F.col("z_score") + 0.5 * F.col("z_second"), 6))
-    return scoring.best(z.drop("score"), 8, score="fused").select("query", "item", "fused", "rank")
+    views = lambda df, key, kind: df.select(F.col("vec_id").alias(key), kind, F.col("embedding").alias("whole"), F.slice("embedding", 1, 32).alias("front"))
+    label = F.col("label").cast("string")
+    found = fused_search(views(items, "item", label.alias("kind")), views(_asked(items), "query", F.array(label).alias("kinds")), {"whole": 1.0, "front": 0.5}, own=True)
+    return found.select("query", "item", F.col("score").alias("fused"), "rank")
 
 
 def hub_bias(spark, sf_dir):
@@ -228,10 +225,9 @@ SQL = {
     "vec_similar_excl_family": _SQL_PAIRS + f""", one AS (SELECT query, item, score FROM (SELECT *, row_number() OVER (PARTITION BY query, family ORDER BY score DESC, item) AS r
         FROM pairs WHERE ql = il AND family <> query // 3) WHERE r = 1)
         SELECT query, item, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, {_RANK} AS rank FROM one) WHERE rank <= 8""",
-    "vec_zscore_fusion": _SQL_PAIRS + """, two AS (SELECT p.query, p.item, p.score, p.ql = p.il AS own, list_cosine_similarity(q.v[1:32], i.v[1:32]) AS second
-            FROM pairs p JOIN items q ON q.vec_id = p.query JOIN items i ON i.vec_id = p.item),
-        stats AS (SELECT query, coalesce(avg(score) FILTER (own), avg(score)) AS m1, coalesce(stddev_pop(score) FILTER (own), stddev_pop(score)) AS s1,
-                  coalesce(avg(second) FILTER (own), avg(second)) AS m2, coalesce(stddev_pop(second) FILTER (own), stddev_pop(second)) AS s2 FROM two GROUP BY query),
+    "vec_zscore_fusion": _SQL_PAIRS + """, two AS (SELECT p.query, p.item, p.score, list_cosine_similarity(q.v[1:32], i.v[1:32]) AS second
+            FROM pairs p JOIN items q ON q.vec_id = p.query JOIN items i ON i.vec_id = p.item WHERE p.ql = p.il),
+        stats AS (SELECT query, avg(score) AS m1, stddev_pop(score) AS s1, avg(second) AS m2, stddev_pop(second) AS s2 FROM two GROUP BY query),
         f AS (SELECT t.query, item, round((score - m1) / (s1 + 1e-9) + 0.5 * (second - m2) / (s2 + 1e-9), 6) AS fused FROM two t JOIN stats USING (query))
         SELECT query, item, fused, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY fused DESC, item) AS rank FROM f) WHERE rank <= 8""",
     "vec_hub_bias_top30": _SQL_PAIRS + """SELECT item, round(avg(score), 6) AS bias FROM (SELECT item, score, row_number() OVER (PARTITION BY item ORDER BY score DESC, query) AS r

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gemflow.operators import geometry, phrases
+from gemflow.operators import geometry, phrases, probes
 from gemflow.operators.search import fused_search
 from gemflow.session import scratch_path
 from gemflow.sources import readers, tables, writers
@@ -154,3 +154,18 @@ def test_token_store_log_and_retries(spark, tmp_path):
     write(staged, 0)
     write(staged.limit(0), 1)
     assert [sorted(p) for p in pushed] == [[1, 2], [2]] and sorted(r.id for r in pending.read().collect()) == [2, 3]
+
+
+def test_probes_read_classes_they_never_saw_a_family_of(spark):
+    rng = np.random.default_rng(3)
+    centre = rng.normal(size=(3, 8)) * 3
+    rows = [(i, i // 2, [0, 0, 0, 1, 2][i % 5], (centre[[0, 0, 0, 1, 2][i % 5]] + rng.normal(size=8)).tolist()) for i in range(200)] + [(900, 1, None, [0.0] * 8), (901, 1, 1, None), (902, None, 1, [0.0] * 8)]
+    df = spark.createDataFrame(rows, "id long, family long, label int, v array<double>")
+    got = probes.train_by_folds(df, "id", "v", "label", "family", steps=20).collect()
+    assert len(got) == 200 and sum(r.read == r.label for r in got) >= 195 and {r.fold for r in got} == set(range(5))
+    by = {}
+    for r in got:
+        by.setdefault(r.id // 2, set()).add(r.fold)
+    assert all(len(f) == 1 for f in by.values())
+    read = probes.read_with(probes.train_probe(df, "v", "label", 20), df, "v")
+    assert read.count() == 203 and read.where("v IS NULL AND read IS NULL").count() == 1
