@@ -535,3 +535,59 @@ def table_request(spark, sf_dir):
     b = read_table(spark, sf_dir, "brand_designs").select("id", "site", "status", "category", "created_at").distinct()
     asked = {"select": "id,site,status", "status": "eq.listed", "category": "in.(ring,pendant)", "created_at": "gte.2019-01-02 00:00:00", "id": "not.in.(1,2)", "or": "(site.ilike.*gold*,site.ilike.*karat*)", "order": "created_at.desc,id", "limit": "50"}
     return request(b, asked)
+
+
+# --- suggestions
+
+
+@query(
+    "ql_refinements",
+    f"""WITH {_S}, q AS (SELECT DISTINCT understood.category AS category, understood.metal AS metal FROM s WHERE understood.category IS NOT NULL),
+        o(facet, value) AS (VALUES ('metal', 'rose_gold'), ('metal', 'white_gold'), ('metal', 'yellow_gold'), ('stones', 'solitaire'), ('stones', 'plain')),
+        c AS (SELECT q.category, q.metal, facet, value, count(*) FILTER ((q.metal IS NULL OR list_contains(d.metals, q.metal)) AND CASE WHEN facet = 'metal' THEN list_contains(d.metals, value) ELSE coalesce(d.attrs[facet][value] >= 0.5, false) END) AS n,
+              count(*) FILTER (q.metal IS NULL OR list_contains(d.metals, q.metal)) AS before FROM q, o JOIN designs d ON true WHERE d.category = q.category GROUP BY ALL)
+        SELECT category, metal, facet, value, n FROM c WHERE n >= 8 AND n <= 0.9 * before AND NOT (facet = 'metal' AND metal IS NOT NULL)""",
+)
+def refinements(spark, sf_dir):
+    """QL-09, QL-10: what a search may add: it keeps the meaning, adds its own claim, still fills a page, and narrows."""
+    q = searches(spark, sf_dir).select(F.col("understood.category").alias("category"), F.col("understood.metal").alias("metal")).where("category IS NOT NULL").distinct()
+    options = [("metal", m) for m in ("rose_gold", "white_gold", "yellow_gold")] + [("stones", s) for s in ("solitaire", "plain")]
+    d = read_table(spark, sf_dir, "designs").select(F.col("category").alias("c"), "metals", "attrs")
+    kept = q.join(d, (F.col("category") == F.col("c")) & (F.col("metal").isNull() | F.array_contains("metals", F.col("metal"))))
+    test = lambda f, v: F.array_contains("metals", v) if f == "metal" else F.coalesce(F.col("attrs")[f][v] >= 0.5, F.lit(False))
+    counts = kept.groupBy("category", "metal").agg(F.count("*").alias("before"), *[F.count_if(test(f, v)).alias(f"{f}|{v}") for f, v in options])
+    rows = F.array(*[F.struct(F.lit(f).alias("facet"), F.lit(v).alias("value"), F.col(f"{f}|{v}").alias("n")) for f, v in options])
+    out = counts.select("category", "metal", "before", F.inline(rows))
+    return out.where((F.col("n") >= 8) & (F.col("n") <= 0.9 * F.col("before")) & ~((F.col("facet") == "metal") & F.col("metal").isNotNull())).drop("before")
+
+
+@query(
+    "ql_completed",
+    f"""WITH {_S}, v(term) AS (VALUES ('rose gold'), ('rose gold ring'), ('ring'), ('rings for men'), ('necklace'), ('pearl necklace'), ('plain band')),
+        t AS (SELECT id, string_split(trim(lower(query)), ' ') AS w FROM s WHERE query IS NOT NULL AND trim(query) <> ''), c AS (SELECT id, v.term, n FROM t, (VALUES (1), (2), (3)) k(n), v WHERE len(w) >= n AND starts_with(v.term, array_to_string(w[-n:], ' ')) AND v.term <> array_to_string(w[-n:], ' '))
+        SELECT id, term, CAST(max(n) AS INTEGER) AS tail FROM c GROUP BY id, term QUALIFY row_number() OVER (PARTITION BY id ORDER BY max(n) DESC, length(term), term) <= 3""",
+)
+def completed(spark, sf_dir):
+    """QL-08: what continues the last one, two or three words of every search, the longest tail first."""
+    terms = ("rose gold", "rose gold ring", "ring", "rings for men", "necklace", "pearl necklace", "plain band")
+    t = searches(spark, sf_dir).where("query IS NOT NULL AND trim(query) <> ''").select("id", F.split(F.trim(F.lower("query")), " ").alias("w"))
+    tails = F.array_compact(F.array(*[F.when(F.size("w") >= n, F.struct(F.lit(n).alias("n"), F.array_join(F.slice("w", -n, n), " ").alias("t"))) for n in (1, 2, 3)]))
+    # every beginning of every term: a join on equal texts instead of one on prefixes
+    starts = spark.createDataFrame([(x[:i], x) for x in terms for i in range(0, len(x))], "t string, term string")
+    hit = t.select("id", F.inline(tails)).join(F.broadcast(starts), "t").groupBy("id", "term").agg(F.max("n").alias("tail"))  # as many as the terms have letters
+    w = Window.partitionBy("id").orderBy(F.col("tail").desc(), F.length("term"), "term")
+    return hit.withColumn("_r", F.row_number().over(w)).where("_r <= 3").select("id", "term", "tail")
+
+
+@query(
+    "ql_verdict",
+    f"""WITH {_S}, f AS (SELECT id, lower(coalesce(query, '')) AS q, understood.category AS c, coalesce(understood.refused.reason, '') AS r FROM s),
+        v AS (SELECT id, CASE WHEN regexp_matches(q, '\\b(rings?|necklaces?|earrings?|pendants?|bracelets?|bangles?|gold|diamonds?)\\b') THEN 'words' WHEN q = '' THEN 'empty' WHEN c IS NOT NULL THEN 'judge' WHEN r <> '' THEN 'refused' ELSE 'picture' END AS via FROM f)
+        SELECT id, via, via IN ('words', 'judge', 'picture') AS ok, CASE via WHEN 'empty' THEN 'Type what you look for.' WHEN 'refused' THEN 'This is not about jewellery.' END AS message FROM v""",
+)
+def verdict(spark, sf_dir):
+    """FLT-26, QL-06: whether a text is a search at all, by the cheapest test that decides, and what is said if not."""
+    s = searches(spark, sf_dir).select("id", F.lower(F.coalesce("query", F.lit(""))).alias("q"), F.col("understood.category").alias("c"), F.coalesce("understood.refused.reason", F.lit("")).alias("r"))
+    via = F.when(F.col("q").rlike(r"(?<![a-z0-9_])(rings?|necklaces?|earrings?|pendants?|bracelets?|bangles?|gold|diamonds?)(?![a-z0-9_])"), "words").when(F.col("q") == "", "empty").when(F.col("c").isNotNull(), "judge").when(F.col("r") != "", "refused").otherwise("picture")
+    v = s.select("id", via.alias("via"))
+    return v.select("id", "via", F.col("via").isin("words", "judge", "picture").alias("ok"), F.when(F.col("via") == "empty", "Type what you look for.").when(F.col("via") == "refused", "This is not about jewellery.").alias("message"))

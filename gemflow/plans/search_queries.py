@@ -264,3 +264,57 @@ def train_finder(spark, sf_dir):
     e = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding", (F.col("label") < 5).cast("int").alias("piece"))
     model = probes.train_probe(e, "embedding", "piece")
     return probes.read_with(model, e, "embedding").where("read = 1").select("vec_id", F.round(F.col("p")[1], 4).alias("p"))
+
+
+@query(
+    "vec_match_label",
+    f"""WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+        p AS (SELECT q.vec_id AS query, i.vec_id AS item, i.vec_id // 3 AS family, {_sims("sig", "dino").replace("p.v", "i.v")} FROM e q JOIN e i ON i.label = q.label AND i.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0),
+        z AS (SELECT query, item, family, (sig - avg(sig) OVER w) / (stddev_pop(sig) OVER w + 1e-9) AS a, (dino - avg(dino) OVER w) / (stddev_pop(dino) OVER w + 1e-9) AS b FROM p WINDOW w AS (PARTITION BY query)),
+        f AS (SELECT *, a + b AS s FROM z), one AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY query, family ORDER BY s DESC, item) = 1),
+        l AS (SELECT *, s - lead(s) OVER (PARTITION BY query ORDER BY s DESC, item) AS lead, row_number() OVER (PARTITION BY query ORDER BY s DESC, item) AS r FROM one)
+        SELECT query, item, round(lead, 6) AS lead, CASE WHEN least(a, b) >= 1.5 AND lead >= 1.3 THEN 'same' WHEN least(a, b) >= 1.5 AND lead >= 0.8 THEN 'very_close' ELSE 'similar' END AS label FROM l WHERE r = 1""",
+)
+def match_label(spark, sf_dir):
+    """VEC-19, WIN-03: what the first find may be called: from its lead over the next family, where both models rate it well."""
+    e = read_table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"), "label")
+    both = None
+    for s in ("sig", "dino"):
+        part = e.select("vec_id", "label", F.slice("v", *PARTS[s]).alias("v"))
+        own = scoring.pair_scores(part, part.where("vec_id % 50 = 0"), "vec_id", "v", "label", same_label=True).withColumnRenamed("score", s)
+        both = own if both is None else both.join(own, ["query", "item"])
+    z = scoring.standardise(both, ["sig", "dino"]).withColumn("family", F.floor(F.col("item") / 3)).withColumn("score", F.col("z_sig") + F.col("z_dino"))
+    first = scoring.lead_over_next_family(z, "family").join(z.select("query", "item", "z_sig", "z_dino"), ["query", "item"])
+    labelled = scoring.match_label(first, "z_sig", "z_dino")
+    same = (F.least("z_sig", "z_dino") >= 1.5) & (F.col("lead") >= 1.3)
+    return labelled.select("query", "item", F.round("lead", 6).alias("lead"), F.when(same, "same").otherwise(F.col("label")).alias("label"))
+
+
+@query(
+    "vec_detail_agreement",
+    """WITH p AS (SELECT photo_id, user_id, attrs FROM (SELECT DISTINCT ON (photo_id) * FROM photo_query) WHERE user_id IS NOT NULL AND attrs IS NOT NULL), f AS (SELECT user_id, min(photo_id) AS first FROM p GROUP BY user_id),
+       e AS (SELECT photo_id, user_id, unnest(map_entries(attrs)) AS e FROM p), j AS (SELECT a.photo_id, a.e.value AS x, b.e.value AS y FROM e a JOIN f USING (user_id) JOIN e b ON b.photo_id = f.first AND b.e.key = a.e.key WHERE a.photo_id <> f.first)
+       SELECT photo_id, round(avg(CASE WHEN (x >= 0.8) = (y >= 0.8) THEN 1.0 ELSE 0.0 END) FILTER ((x >= 0.8 OR x <= 0.2) AND (y >= 0.8 OR y <= 0.2)), 6) AS agreement FROM j GROUP BY photo_id""",
+)
+def detail_agreement(spark, sf_dir):
+    """VEC-18: agreement of all readings of two pictures that are clear in both; here with the user's first picture."""
+    p = read_table(spark, sf_dir, "photo_query").where("user_id IS NOT NULL AND attrs IS NOT NULL").dropDuplicates(["photo_id"]).select("photo_id", "user_id", "attrs")
+    first = p.groupBy("user_id").agg(F.min_by(F.struct("photo_id", "attrs"), "photo_id").alias("f")).select("user_id", F.col("f.photo_id").alias("first"), F.col("f.attrs").alias("other"))
+    j = p.join(first, "user_id").where("photo_id <> first").select("photo_id", "other", F.explode("attrs").alias("k", "x")).withColumn("y", F.try_element_at("other", F.col("k"))).where("y IS NOT NULL")
+    clear = lambda c: (F.col(c) >= 0.8) | (F.col(c) <= 0.2)
+    same = F.when(clear("x") & clear("y"), ((F.col("x") >= 0.8) == (F.col("y") >= 0.8)).cast("double"))
+    return j.groupBy("photo_id").agg(F.round(F.avg(same), 6).alias("agreement"))
+
+
+@query(
+    "vec_arbitration",
+    """WITH d AS (SELECT uid, category AS rule, lower(regexp_extract(folders[1], '/([A-Z]+)/', 1)) AS folder, CASE WHEN attrs['stones']['solitaire'] >= 0.5 THEN 'ring' WHEN attrs['stones']['plain'] >= 0.5 THEN 'earrings' END AS model FROM designs)
+       SELECT uid, CASE WHEN rule = folder OR rule = model THEN rule WHEN folder = model THEN folder ELSE coalesce(rule, nullif(folder, ''), model) END AS category, CASE WHEN rule = folder AND rule = model THEN 'all' WHEN rule = folder OR rule = model OR folder = model THEN 'two' ELSE 'one' END AS agree FROM d""",
+)
+def arbitration(spark, sf_dir):
+    """VEC-29: a type out of a rule, the folder and a model: two that agree win, else the rule."""
+    solitaire, plain = F.col("attrs")["stones"]["solitaire"], F.col("attrs")["stones"]["plain"]
+    d = read_table(spark, sf_dir, "designs").select("uid", F.col("category").alias("rule"), F.lower(F.regexp_extract(F.get("folders", F.lit(0)), "/([A-Z]+)/", 1)).alias("folder"), F.when(solitaire >= 0.5, "ring").when(plain >= 0.5, "earrings").alias("model"))
+    rf, rm, fm = (F.coalesce(F.col(a) == F.col(b), F.lit(False)) for a, b in (("rule", "folder"), ("rule", "model"), ("folder", "model")))
+    category = F.when(rf | rm, F.col("rule")).when(fm, F.col("folder")).otherwise(F.coalesce("rule", F.nullif("folder", F.lit("")), "model"))
+    return d.select("uid", category.alias("category"), F.when(rf & rm, "all").when(rf | rm | fm, "two").otherwise("one").alias("agree"))

@@ -72,33 +72,79 @@ def series(spark, sf_dir):
     return d.select("uid", T.series_of("design_id").alias("series"), T.family_of("design_id", {"OV": "oval", "PR": "princess"})["family"].alias("base"))
 
 
+# What a listing that is none of the types says, and what names a type, earrings before rings.
+_NO_PIECE = r"(?i)\b(gift ?cards?|pouch|cleaner|nose ?pins?|nath|anklets?|payal|toe ?rings?|brooch|watch(?:es)?|sets?|combo|cufflinks?)\b"
+_PIECES = [("earrings", r"(?i)\b(ear ?rings?|studs?|hoops?|jhumk[aei]s?)\b"), ("ring", r"(?i)\b(rings?|bands?|bague|anguthi)\b"), ("pendant", r"(?i)\b(pendants?|lockets?)\b"), ("bracelet", r"(?i)\b(bracelets?|bangles?|kadas?|kangan|cuffs?)\b"), ("necklace", r"(?i)\b(necklaces?|chokers?|mangalsutras?|chains?|haar|collier)\b")]
+_FLAGS = ", ".join(f"regexp_matches({{0}}, '{p}') AS {k}" for k, p in _PIECES)
+
+
 @query(
     "str_category_rules",
-    """SELECT id, CASE WHEN regexp_matches(lower(title), '\\b(ear ?rings?|studs?|jhumke|hoops?)\\b') THEN 'earrings' WHEN regexp_matches(lower(title), '\\b(pendants?|lockets?)\\b') THEN 'pendant'
-       WHEN regexp_matches(lower(title), '\\b(rings?|bands?|bague)\\b') THEN 'ring' ELSE 'other' END AS category FROM (SELECT DISTINCT id, title FROM web_designs)""".replace("\\\\", "\\"),
+    f"""WITH w AS (SELECT DISTINCT ON (id) id, title, replace(regexp_replace(url, '^.*/', ''), '-', ' ') AS tags FROM web_designs WHERE title IS NOT NULL),
+        f AS (SELECT id, title AS t, title, 1 AS turn, {_FLAGS.format("title")} FROM w UNION ALL SELECT id, tags, title, 2, {_FLAGS.format("coalesce(tags, '')")} FROM w),
+        g AS (SELECT id, title, turn, list_filter([CASE WHEN earrings THEN 'earrings' END, CASE WHEN ring AND NOT earrings THEN 'ring' END, CASE WHEN pendant THEN 'pendant' END, CASE WHEN bracelet THEN 'bracelet' END,
+              CASE WHEN necklace AND NOT pendant AND NOT ((ring AND NOT earrings OR earrings OR bracelet) AND regexp_matches(t, '(?i)\bchains?\b') AND NOT regexp_matches(t, '(?i)necklace|choker|mangalsutra')) THEN 'necklace' END], lambda x: x IS NOT NULL) AS l FROM f),
+        o AS (SELECT a.id, a.title, CASE WHEN len(a.l) > 0 THEN a.l ELSE b.l END AS l, CASE WHEN len(a.l) > 0 THEN 'title' ELSE 'link' END AS source FROM g a JOIN g b ON a.id = b.id AND a.turn = 1 AND b.turn = 2)
+        SELECT id, CASE WHEN regexp_matches(title, '{_NO_PIECE}') THEN NULL WHEN regexp_matches(title, '(?i)mangalsutra') THEN 'necklace' WHEN len(l) = 1 THEN l[1] END AS category,
+               CASE WHEN NOT regexp_matches(title, '{_NO_PIECE}') AND (len(l) = 1 OR regexp_matches(title, '(?i)mangalsutra')) THEN CASE WHEN regexp_matches(title, '(?i)mangalsutra') THEN 'title' ELSE source END END AS source FROM o""",
 )
 def category_rules(spark, sf_dir):
-    """STR-S08, STR-S09: words of a title to a type, in order of precedence."""
-    w = read_table(spark, sf_dir, "web_designs").select("id", "title").distinct()
-    t = F.lower("title")
-    kind = F.when(t.rlike(r"\b(ear ?rings?|studs?|jhumke|hoops?)\b"), "earrings").when(t.rlike(r"\b(pendants?|lockets?)\b"), "pendant").when(t.rlike(r"\b(rings?|bands?|bague)\b"), "ring").otherwise("other")
-    return w.select("id", kind.alias("category"))
+    """STR-S08, STR-S09: the type that a title names, else its link; none for other goods and where several are named."""
+    w = read_table(spark, sf_dir, "web_designs").where("title IS NOT NULL").dropDuplicates(["id"])
+    tags = F.coalesce(F.replace(F.regexp_replace("url", "^.*/", ""), F.lit("-"), F.lit(" ")), F.lit(""))
+
+    def named(text):
+        hit = {k: text.rlike(p) for k, p in _PIECES}
+        hit["ring"] = hit["ring"] & ~hit["earrings"]
+        only_chain = text.rlike(r"(?i)\bchains?\b") & ~text.rlike("(?i)necklace|choker|mangalsutra") & (hit["earrings"] | hit["ring"] | hit["bracelet"])
+        hit["necklace"] = hit["necklace"] & ~hit["pendant"] & ~only_chain
+        return F.array_compact(F.array(*[F.when(h, k) for k, h in hit.items()]))
+
+    w = w.select("id", "title", named(F.col("title")).alias("a"), named(tags).alias("b"))
+    own, first = F.when(F.size("a") > 0, F.col("a")).otherwise(F.col("b")), F.when(F.size("a") > 0, "title").otherwise("link")
+    fine, wed = ~F.col("title").rlike(_NO_PIECE), F.col("title").rlike("(?i)mangalsutra")
+    return w.select("id", F.when(fine, F.when(wed, "necklace").when(F.size(own) == 1, own[0])).alias("category"), F.when(fine, F.when(wed, "title").when(F.size(own) == 1, first)).alias("source"))
 
 
 @query(
     "str_colours",
-    r"""SELECT id, array_to_string(list_filter([CASE WHEN regexp_matches(lower(title), '\b(rose|pink)[ -]gold\b') THEN 'rose' END, CASE WHEN regexp_matches(lower(title), '\bwhite[ -]gold\b') THEN 'white' END,
-        CASE WHEN regexp_matches(lower(title), '\byellow[ -]gold\b') THEN 'yellow' END], lambda c: c IS NOT NULL), '+') AS colours,
-        array_to_string(list_filter([nullif(regexp_extract(lower(title), '\b(\d{1,2} ?k(?:t|arat)?)\b', 1), ''), CASE WHEN lower(title) LIKE '%diamond%' THEN 'diamond' END], lambda c: c IS NOT NULL), ' · ') AS material
-        FROM (SELECT DISTINCT id, title FROM web_designs)""",
+    r"""WITH w AS (SELECT DISTINCT ON (id) id, lower(title) AS t FROM web_designs), r AS (SELECT id, t, regexp_replace(t, 'rose gold|white gold|rose|platinum|rhodium', ' ', 'g') AS rest FROM w),
+        f AS (SELECT id, t, t LIKE '%rose%' AS rose, regexp_matches(t, 'white gold|platinum|rhodium') AS white, regexp_matches(rest, '\b(yellow|gold|golden)\b') AS yellow, regexp_matches(rest, '\b(silver|sterling|925)\b') AS silver,
+              regexp_extract(t, '\b(9|10|14|18|22|24) ?(?:k|kt|karat|carat)\b', 1) AS k FROM r)
+        SELECT id, array_to_string(list_filter([CASE WHEN rose THEN 'rose_gold' END, CASE WHEN white OR (silver AND NOT yellow AND NOT rose) THEN 'white_gold' END, CASE WHEN yellow THEN 'yellow_gold' END], lambda c: c IS NOT NULL), '+') AS colours,
+        concat_ws(' · ', CASE WHEN k <> '' THEN k || 'KT gold' WHEN regexp_matches(t, '\b(925|sterling silver|pure silver)\b') THEN CASE WHEN t LIKE '%plated%' AND t LIKE '%gold%' THEN '925 silver · gold plated' ELSE '925 silver' END
+            WHEN regexp_matches(t, 'plated|plating') THEN CASE WHEN t LIKE '%gold%' THEN 'Gold plated' ELSE 'Plated' END WHEN t LIKE '%silver%' THEN 'Silver' WHEN t LIKE '%platinum%' THEN 'Platinum' END,
+        CASE WHEN regexp_matches(t, 'lab[- ]?grown|laboratory grown|lgd') THEN 'Lab-grown diamond' WHEN t LIKE '%moissanite%' THEN 'Moissanite' WHEN regexp_matches(t, '\b(zircon|zirconia|cz)\b') THEN 'Zircon' WHEN t LIKE '%diamond%' THEN 'Diamond' WHEN t LIKE '%pearl%' THEN 'Pearl' END) AS material FROM f""",
 )
 def colours(spark, sf_dir):
-    """STR-S10, STR-S11: colours and material named in a title."""
-    t = F.lower("title")
-    found = F.array_compact(F.array(F.when(t.rlike(r"\b(rose|pink)[ -]gold\b"), "rose"), F.when(t.rlike(r"\bwhite[ -]gold\b"), "white"), F.when(t.rlike(r"\byellow[ -]gold\b"), "yellow")))
-    karat = F.nullif(F.regexp_extract(t, r"\b(\d{1,2} ?k(?:t|arat)?)\b", 1), F.lit(""))
-    material = F.array_compact(F.array(karat, F.when(t.contains("diamond"), "diamond")))
-    return read_table(spark, sf_dir, "web_designs").select("id", "title").distinct().select("id", F.array_join(found, "+").alias("colours"), F.array_join(material, " · ").alias("material"))
+    """STR-S10, STR-S11: metal colours a title names (silver, platinum and rhodium look white), and its material as a label."""
+    w = read_table(spark, sf_dir, "web_designs").dropDuplicates(["id"]).select("id", F.lower("title").alias("t"))
+    rest = F.regexp_replace("t", "rose gold|white gold|rose|platinum|rhodium", " ")
+    has = lambda p, c=F.col("t"): c.rlike(p)
+    yellow = has(r"\b(yellow|gold|golden)\b", rest)
+    white = has("white gold|platinum|rhodium") | (has(r"\b(silver|sterling|925)\b", rest) & ~yellow & ~has("rose"))
+    found = F.array_compact(F.array(F.when(has("rose"), "rose_gold"), F.when(white, "white_gold"), F.when(yellow, "yellow_gold")))
+    karat = F.nullif(F.regexp_extract("t", r"\b(9|10|14|18|22|24) ?(?:k|kt|karat|carat)\b", 1), F.lit(""))
+    gold = has("gold")
+    metal = F.when(karat.isNotNull(), F.concat(karat, F.lit("KT gold"))).when(has(r"\b(925|sterling silver|pure silver)\b"), F.when(has("plated") & gold, "925 silver · gold plated").otherwise("925 silver"))
+    metal = metal.when(has("plated|plating"), F.when(gold, "Gold plated").otherwise("Plated")).when(has("silver"), "Silver").when(has("platinum"), "Platinum")
+    stone = F.when(has("lab[- ]?grown|laboratory grown|lgd"), "Lab-grown diamond").when(has("moissanite"), "Moissanite").when(has(r"\b(zircon|zirconia|cz)\b"), "Zircon").when(has("diamond"), "Diamond").when(has("pearl"), "Pearl")
+    return w.select("id", F.array_join(found, "+").alias("colours"), F.concat_ws(" · ", metal, stone).alias("material"))
+
+
+@query(
+    "str_hashtags",
+    r"""WITH w AS (SELECT DISTINCT ON (id) id, regexp_extract_all(replace(title, chr(39), ''), '[A-Za-z0-9]+') AS l FROM web_designs WHERE title IS NOT NULL)
+        SELECT id, CASE WHEN len(l) > 0 THEN '#' || array_to_string(list_transform(l[1:4], lambda x: upper(left(x, 1)) || substr(x, 2)), '') ELSE '' END AS tag,
+        array_to_string(list_transform(l, lambda x: CASE WHEN length(x) > 3 AND ends_with(lower(x), 's') AND NOT ends_with(lower(x), 'ss') THEN left(lower(x), length(x) - 1) ELSE lower(x) END), ' ') AS singular FROM w""",
+)
+def hashtags(spark, sf_dir):
+    """STR-S20: the first four words as one tag, and all words without the plural."""
+    words = F.regexp_extract_all(F.replace("title", F.lit("'"), F.lit("")), F.lit("([A-Za-z0-9]+)"), 1)
+    w = read_table(spark, sf_dir, "web_designs").where("title IS NOT NULL").dropDuplicates(["id"]).select("id", words.alias("l"))
+    tag = F.concat(F.lit("#"), F.array_join(F.transform(F.slice("l", 1, 4), lambda x: F.concat(F.upper(F.left(x, F.lit(1))), F.substring(x, 2, 1000))), ""))
+    one = F.transform("l", lambda x: F.when((F.length(x) > 3) & F.lower(x).endswith("s") & ~F.lower(x).endswith("ss"), F.regexp_replace(F.lower(x), "s$", "")).otherwise(F.lower(x)))
+    return w.select("id", F.when(F.size("l") > 0, tag).otherwise("").alias("tag"), F.array_join(one, " ").alias("singular"))
 
 
 @query(
