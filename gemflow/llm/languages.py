@@ -17,6 +17,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -149,6 +150,7 @@ def features(word: str) -> np.ndarray:
     return np.array(sorted({zlib.crc32(g.encode()) % DIM for g in grams}), dtype=np.int64)
 
 
+@lru_cache
 def codewords(classes: int = len(LANGUAGES), bits: int = BITS, tries: int = 3000, seed: int = 2) -> np.ndarray:
     """Codewords of +1 and -1, the set with the largest least distance among seeded random ones; no bit is constant."""
     rng = np.random.default_rng(seed)
@@ -287,9 +289,9 @@ def train(texts: list[str], labels: list[str], seed: int = 4, rounds: int = 220,
     """
     rng = np.random.default_rng(seed)
     code = codewords()
-    spans, target = [], []
+    spans, target, pieces = [], [], {}
     for text, label in zip(texts, labels):
-        words = [w for w, _ in words_of(text)]
+        words = [w for w, _ in words_of(text, pieces)]
         if not words:
             continue
         y = LANGUAGES.index(label)
@@ -347,7 +349,8 @@ def voted(texts: list[str], counts: list[dict[str, int]]) -> list[tuple[str, str
     of texts with the same words; scripts that a language isn't written in are out.
     """
     votes: dict[str, np.ndarray] = {}
-    split = [[w for w, _ in words_of(t)] for t in texts]
+    pieces: dict = {}
+    split = [[w for w, _ in words_of(t, pieces)] for t in texts]
     for words, labels in zip(split, counts):
         row = np.array([labels.get(name, 0) for name in LANGUAGES], dtype=float)
         for w in set(words):
@@ -389,8 +392,8 @@ def fit(rows: DataFrame, text: str, label: str, sample_texts: int = 12_000, per_
                 out.append((t, lang))
         return out
 
-    model = train(*zip(*[*seeds, *some(clean)]), rounds=120)
     kept = some(clean)
+    model = train(*zip(*[*seeds, *kept]), rounds=120)
     clean = [(t, lang) for (t, lang), parts in zip(kept, model.segment_all([t for t, _ in kept])) if {p[0] for p in parts} == {lang}]
     return train(*zip(*[*seeds, *clean]))
 
@@ -398,8 +401,8 @@ def fit(rows: DataFrame, text: str, label: str, sample_texts: int = 12_000, per_
 SEGMENTS = "id long, label string, languages array<string>, segments array<struct<lang:string,confidence:double,ambiguous:boolean,words:string>>"
 
 
-def identify(rows: DataFrame, model: Identifier, key: str = "id", text: str = "query", label: str = "lang") -> DataFrame:
-    """Languages and segments per row: (id, label, languages, segments).
+def identify(rows: DataFrame, model: Identifier, key: str = "id", text: str = "query", label: str = "lang", detail: bool = True) -> DataFrame:
+    """Languages and segments per row: (id, label, languages, segments), without the segments where no ``detail`` is wanted.
 
     A null or wordless text has no languages. Repeated keys count once (the row with the largest text); null
     keys take no part. ``label`` comes out without case and country.
@@ -415,12 +418,12 @@ def identify(rows: DataFrame, model: Identifier, key: str = "id", text: str = "q
                 places.setdefault(t, len(places))
             found = own.segment_all([t if isinstance(t, str) else None for t in places])
             parts = [found[places[t]] for t in pdf["t"]]
-            yield pd.DataFrame({
-                "id": pdf["id"], "label": [label_of(x) for x in pdf["l"]], "languages": [sorted({p[0] for p in x}) for x in parts],
-                "segments": [[dict(zip(("lang", "confidence", "ambiguous", "words"), p)) for p in x] for x in parts],
-            })
+            out = pd.DataFrame({"id": pdf["id"], "label": [label_of(x) for x in pdf["l"]], "languages": [sorted({p[0] for p in x}) for x in parts]})
+            if detail:
+                out["segments"] = [[dict(zip(("lang", "confidence", "ambiguous", "words"), p)) for p in x] for x in parts]
+            yield out
 
-    return once.mapInPandas(run, SEGMENTS)
+    return once.mapInPandas(run, SEGMENTS if detail else SEGMENTS.split(", segments")[0])
 
 
 def mislabelled(found: DataFrame) -> DataFrame:

@@ -35,7 +35,8 @@ def p3_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Searches whose languages are not exactly the label's, one row per language."""
-    return languages.mislabelled(p3_segments(spark, sf_dir))
+    searches = read_table(spark, sf_dir, "search_history")
+    return languages.mislabelled(languages.identify(searches, languages.fit(searches, "query", "lang"), detail=False))
 
 
 # --- 4: listings of one product
