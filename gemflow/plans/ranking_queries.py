@@ -286,15 +286,52 @@ def stone_labels(spark, sf_dir):
 
 @query(
     "ql_recommender_score",
-    """WITH f AS (SELECT user_id, count(DISTINCT design_uid) AS n FROM favorites GROUP BY user_id), s AS (SELECT user_id, count(DISTINCT id) AS m, count(DISTINCT query) AS d FROM search_history WHERE user_id IS NOT NULL GROUP BY user_id)
-       SELECT s.user_id, round(1.2 * d / m + 0.8 * ln(1 + m) + 1.5 * coalesce(n, 0) / (1 + coalesce(n, 0)), 6) AS score FROM s LEFT JOIN f USING (user_id)""",
+    """WITH s AS (SELECT id, arg_max(user_id, coalesce(matches, -1)) AS user_id, arg_max(created_at, coalesce(matches, -1)) AS t, arg_max(understood, coalesce(matches, -1)) AS u FROM search_history GROUP BY id),
+       m AS (SELECT user_id, coalesce(u.category, '') AS category, coalesce(u.metal, '') AS metal, pow(0.5, coalesce(greatest(0.0, (epoch_us(TIMESTAMP '2019-01-21') - epoch_us(t)) / 86400e6), 365.0) / 14) AS w,
+                    row_number() OVER (PARTITION BY user_id ORDER BY t DESC NULLS LAST, id DESC) AS r FROM s WHERE user_id IS NOT NULL),
+       k AS (SELECT user_id, category, metal, min(r) AS r FROM m GROUP BY 1, 2, 3),
+       tot AS (SELECT user_id, sum(w) AS t FROM m GROUP BY 1), ca AS (SELECT user_id, category, sum(w) AS w FROM m GROUP BY 1, 2), ma AS (SELECT user_id, metal, sum(w) AS w FROM m GROUP BY 1, 2),
+       last AS (SELECT user_id, category FROM m WHERE r = 1), pop AS (SELECT category, metal, count(*) AS n FROM m GROUP BY 1, 2),
+       d AS (SELECT uid, category, metals, stone_frac, (rank() OVER (ORDER BY stone_frac) - 1) / count(*) OVER () AS pr FROM designs WHERE stone_frac IS NOT NULL),
+       fav AS (SELECT user_id, avg(pr) - 0.5 AS lift, avg(stone_frac) AS stones FROM (SELECT DISTINCT user_id, design_uid FROM favorites) f JOIN d ON d.uid = f.design_uid GROUP BY user_id),
+       look AS (SELECT category, avg(stone_frac) AS stones FROM d GROUP BY 1), deep AS (SELECT pop.category, pop.metal, (SELECT count(*) FROM designs x WHERE x.category = pop.category AND (pop.metal = '' OR list_contains(x.metals, pop.metal))) AS n FROM pop)
+       SELECT k.user_id, k.category, k.metal, round(1.2 * (ca.w / t + ma.w / t) + 0.8 * CASE WHEN last.category = k.category THEN 1 ELSE 0 END + 1.0 * coalesce(1 - abs(fav.stones - look.stones), 0) + 1.5 * coalesce(fav.lift, 0)
+              - 0.8 * CASE WHEN k.r <= 5 THEN 1 ELSE 0 END + 0.8 * pop.n / (SELECT max(n) FROM pop) + 0.3 * ln(1 + deep.n) / ln(1 + (SELECT count(*) FROM designs)), 6) AS score
+       FROM k JOIN tot USING (user_id) JOIN ca ON ca.user_id = k.user_id AND ca.category = k.category JOIN ma ON ma.user_id = k.user_id AND ma.metal = k.metal JOIN last ON last.user_id = k.user_id
+       JOIN pop ON pop.category = k.category AND pop.metal = k.metal JOIN deep ON deep.category = k.category AND deep.metal = k.metal LEFT JOIN fav ON fav.user_id = k.user_id LEFT JOIN look ON look.category = k.category""",
 )
 def recommender_score(spark, sf_dir):
-    """QL-12: weighted features of a user."""
-    f = read_table(spark, sf_dir, "favorites").groupBy("user_id").agg(F.count_distinct("design_uid").alias("n"))
-    s = read_table(spark, sf_dir, "search_history").where("user_id IS NOT NULL").groupBy("user_id").agg(F.count_distinct("id").alias("m"), F.count_distinct("query").alias("d"))
-    n = F.coalesce("n", F.lit(0))
-    return s.join(f, "user_id", "left").select("user_id", F.round(1.2 * F.col("d") / F.col("m") + 0.8 * F.log1p("m") + 1.5 * n / (1 + n), 6).alias("score"))
+    """QL-12: what a user looked for, scored by affinity, session, taste, favourites, novelty, popularity and depth.
+
+    Likeness of looks is the share of stones here, as there is no picture model among the tables.
+    """
+    raw = read_table(spark, sf_dir, "search_history").select("id", "user_id", "created_at", "understood", "matches")
+    s = raw.groupBy("id").agg(F.max_by(F.struct("user_id", "created_at", "understood"), F.coalesce("matches", F.lit(-1))).alias("r")).select("id", "r.*").where("user_id IS NOT NULL")
+    weight = T.decay(T.age_days("created_at", "2019-01-21"), 14)
+    order = Window.partitionBy("user_id").orderBy(F.col("created_at").desc_nulls_last(), F.col("id").desc())
+    m = s.select("user_id", F.coalesce("understood.category", F.lit("")).alias("category"), F.coalesce("understood.metal", F.lit("")).alias("metal"), weight.alias("w"), F.row_number().over(order).alias("r"))
+    k = m.groupBy("user_id", "category", "metal").agg(F.min("r").alias("r"), F.sum("w").alias("w"), F.count("*").alias("n"))
+    user = Window.partitionBy("user_id")
+    share = lambda *by: F.sum("w").over(Window.partitionBy("user_id", *by)) / F.sum("w").over(user)
+    k = k.withColumn("affinity", share("category") + share("metal")).withColumn("session", (F.min_by("category", "r").over(user) == F.col("category")).cast("int"))
+    pop = k.groupBy("category", "metal").agg(F.sum("n").alias("pop"))
+    d = designs(spark, sf_dir)
+    deep = pop.join(d.select(F.col("category").alias("c"), "metals"), (F.col("category") == F.col("c")) & ((F.col("metal") == "") | F.array_contains("metals", F.col("metal"))), "left")
+    deep = deep.groupBy("category", "metal", "pop").agg(F.count("c").alias("deep"))
+    most = deep.agg(F.max("pop").alias("most")).crossJoin(d.agg(F.count("*").alias("all")))  # one row
+    known = d.where("stone_frac IS NOT NULL").select("uid", "category", "stone_frac")
+    total = known.agg(F.count("*").alias("n"))
+    below = known.groupBy("stone_frac").agg(F.count("*").alias("c")).withColumn("below", F.coalesce(F.sum("c").over(Window.orderBy("stone_frac").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # one row per measured share
+    ranked = known.join(below, "stone_frac").crossJoin(F.broadcast(total)).select("uid", "stone_frac", (F.col("below") / F.col("n")).alias("pr"))
+    f = read_table(spark, sf_dir, "favorites").select("user_id", F.col("design_uid").cast("long").alias("uid")).distinct().join(ranked, "uid")
+    fav = f.groupBy("user_id").agg((F.avg("pr") - 0.5).alias("lift"), F.avg("stone_frac").alias("stones"))
+    look = known.groupBy("category").agg(F.avg("stone_frac").alias("look"))
+    j = k.join(F.broadcast(deep), ["category", "metal"]).join(fav, "user_id", "left").join(F.broadcast(look), "category", "left").crossJoin(F.broadcast(most))  # one row per meaning, per type, one row
+    score = (
+        1.2 * F.col("affinity") + 0.8 * F.col("session") + F.coalesce(1 - F.abs(F.col("stones") - F.col("look")), F.lit(0.0)) + 1.5 * F.coalesce("lift", F.lit(0.0))
+        - 0.8 * (F.col("r") <= 5).cast("int") + 0.8 * F.col("pop") / F.col("most") + 0.3 * F.log1p("deep") / F.log1p("all")
+    )
+    return j.select("user_id", "category", "metal", F.round(score, 6).alias("score"))
 
 
 @query("ql_slate")

@@ -8,6 +8,7 @@ import re
 import zipfile
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from urllib.parse import urljoin
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -153,23 +154,56 @@ def text_sections(spark: SparkSession, path: str) -> DataFrame:
     return marked.where((F.trim("text") != "") & ~F.col("text").startswith("#"))
 
 
+#: How much a page's own word for its picture counts.
+_META_PICTURES = {"og:image": 5, "og:image:secure_url": 5, "og:image:url": 5, "twitter:image": 4, "twitter:image:src": 4, "image": 4, "thumbnailurl": 3}
+
+
+def _largest(srcset: str) -> str:
+    """The link of a srcset with the largest width or density."""
+    best = (-1.0, "")
+    for entry in srcset.split(","):
+        parts = entry.split()
+        size = re.fullmatch(r"([\d.]+)[wx]", parts[-1]) if len(parts) > 1 else None
+        if parts:
+            best = max(best, (float(size.group(1)) if size else 0.0, parts[0]), key=lambda b: b[0])
+    return best[1]
+
+
 class _Page(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.meta, self.links, self.images, self.blocks, self.title = {}, [], [], [], ""
+        self.ranked: list[tuple[float, str]] = []
         self._in, self._text = None, []
 
     def handle_starttag(self, tag, attrs):
-        a = dict(attrs)
-        if tag == "meta" and (a.get("property") or a.get("name")) and a.get("content"):
-            self.meta.setdefault((a.get("property") or a.get("name")).lower(), a["content"])
+        a = {k: v or "" for k, v in attrs}
+        name = (a.get("property") or a.get("name") or a.get("itemprop") or "").lower()
+        if tag == "meta" and name and a.get("content"):
+            self.meta.setdefault(name, a["content"])
+            if name in _META_PICTURES:
+                self.ranked.append((_META_PICTURES[name], a["content"]))
+        elif tag == "link" and a.get("href") and "image_src" in a.get("rel", "").lower():
+            self.ranked.append((3, a["href"]))
         elif tag == "a" and a.get("href"):
             self.links.append(a["href"])
         elif tag == "img" and (a.get("src") or a.get("srcset")):
-            self.images.append(a.get("src") or a["srcset"].split(",")[-1].split()[0])
+            link = _largest(a["srcset"]) if a.get("srcset") else a["src"]
+            self.images.append(link)
+            sides = [int(a[k]) for k in ("width", "height") if a.get(k, "").isdigit() and int(a[k])]
+            if not sides or min(sides) >= 100:  # a picture said to be smaller is an icon
+                self.ranked.append((2.0 * (a.get("itemprop", "").lower() == "image") + (max(sides, default=0) >= 400), link))
         elif tag == "title" or (tag == "script" and (a.get("type") or "").lower() == "application/ld+json"):
             self._in, self._text = tag, []
 
+    def pictures(self, base: str, first: list[str]) -> list[str]:
+        """Links of the page's pictures, those of its products first, then by rank, equal ones in page order."""
+        seen: dict[str, None] = {}
+        for link in [*first, *(u for _, u in sorted(self.ranked, key=lambda r: -r[0]))]:
+            if link and not link.startswith("data:"):
+                seen.setdefault(urljoin(base, link.strip()))
+        return list(seen)
+
     def handle_data(self, data):
         if self._in:
             self._text.append(data)
@@ -199,7 +233,7 @@ def _products(value) -> list[dict]:
     return found
 
 
-PAGE = "url string, title string, description string, links array<string>, images array<string>, product string, price double, currency string"
+PAGE = "url string, title string, description string, links array<string>, images array<string>, pictures array<string>, product string, price double, currency string"
 
 
 def read_page(url: str, text: str | None) -> tuple:
@@ -226,7 +260,9 @@ def read_page(url: str, text: str | None) -> tuple:
         price = None
     currency = offer.get("priceCurrency") or page.meta.get("product:price:currency") or page.meta.get("og:price:currency")
     name = first.get("name") if isinstance(first.get("name"), str) else None
-    return (url, page.meta.get("og:title") or page.title or None, page.meta.get("og:description") or page.meta.get("description"), page.links, page.images, name, price, currency)
+    own = [v for p in products for v in (p.get("image") if isinstance(p.get("image"), list) else [p.get("image")])]
+    own = [v.get("contentUrl") or v.get("url") if isinstance(v, dict) else v for v in own]
+    return (url, page.meta.get("og:title") or page.title or None, page.meta.get("og:description") or page.meta.get("description"), page.links, page.images, page.pictures(url or "", [v for v in own if isinstance(v, str)]), name, price, currency)
 
 
 def read_pages(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:

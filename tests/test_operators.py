@@ -9,7 +9,9 @@ from gemflow.operators.components import connected_components
 from gemflow.operators.prefix import running_sum
 
 
-def test_running_sum_equals_a_window(spark):
+@pytest.mark.parametrize("broadcast", [500_000, 0])
+def test_running_sum_equals_a_window(spark, monkeypatch, broadcast):
+    monkeypatch.setattr("gemflow.operators.prefix.BROADCAST_ROWS", broadcast)
     df = spark.range(500).selectExpr("id", "CASE WHEN id % 3 = 0 THEN NULL WHEN id % 3 = 1 THEN 'a' ELSE 'b' END AS g", "id % 7 AS v", "'x' AS _inside_not")
     got = {r.id: r.before for r in running_sum(df, ["g"], ["id"], "v", "before").collect()}
     want, sums = {}, {}

@@ -58,6 +58,9 @@ def test_pages(spark):
     rows = spark.createDataFrame([("u1", html), ("u2", None), ("u3", "<<<&")], "url string, html string")
     got = {r.url: r for r in readers.read_pages(rows).collect()}
     assert (got["u1"].title, got["u1"].description, got["u1"].product, got["u1"].price, got["u1"].currency, got["u1"].links) == ("T", "D", "Ring", 1099.0, "INR", ["/x"])
+    more = '<meta itemprop="image" content="m.png"><link rel="image_src" href="/l.png"><img src="icon.png" width="20"><img srcset="s.png 320w, b.png 1024w, c.png" itemprop="image"><img src="plain.png"><meta property="og:image" content="//cdn.x/o.png">'
+    ranked = readers.read_page("https://a.example/p/1", f'<script type="application/ld+json">{{"@type":"product","image":[{{"url":"z.png"}}]}}</script>{more}')
+    assert dict(zip([c.split()[0] for c in readers.PAGE.split(", ")], ranked))["pictures"] == [f"https://{u}" for u in ("a.example/p/z.png", "cdn.x/o.png", "a.example/p/m.png", "a.example/l.png", "a.example/p/b.png", "a.example/p/plain.png")]
     assert got["u2"].title is None and got["u2"].links == [] and got["u3"].price is None
 
 
