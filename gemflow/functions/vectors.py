@@ -27,8 +27,9 @@ def cosine(a, b) -> Column:
 
 
 def normalise(a) -> Column:
-    size = norm(a)
-    return F.transform(doubles(a), lambda x: F.when(size > 0, x / size))
+    """To unit length; null elements where the norm is zero. The norm is an accumulator's result, so it is computed once a vector."""
+    a = doubles(a)
+    return F.aggregate(a, F.lit(0.0), lambda s, x: s + x * x, lambda s: F.transform(a, lambda x: F.when(s > 0, x / F.sqrt(s))))
 
 
 def scale_sum(a, x: float, b, y: float) -> Column:
@@ -39,15 +40,13 @@ def scale_sum(a, x: float, b, y: float) -> Column:
 def softmax(scores, temperature: float = 1.0) -> Column:
     """Softmax of an array, shifted by its largest element so that it never overflows."""
     a = doubles(scores)
-    shifted = F.transform(a, lambda x: F.exp((x - F.array_max(a)) * temperature))
-    return share(shifted)
+    return share(F.aggregate(a, F.lit(float("-inf")), lambda m, x: F.greatest(m, x), lambda m: F.transform(a, lambda x: F.exp((x - m) * temperature))))
 
 
 def share(a) -> Column:
     """Elements over their sum; null elements where the sum is zero."""
     a = doubles(a)
-    total = F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
-    return F.transform(a, lambda x: F.when(total != 0, x / total))
+    return F.aggregate(a, F.lit(0.0), lambda s, x: s + x, lambda total: F.transform(a, lambda x: F.when(total != 0, x / total)))
 
 
 def sigmoid(x: Column) -> Column:

@@ -121,8 +121,8 @@ class _Text:
             for _, end in words[i : i + longest]:
                 if self.text[start:end] in terms:
                     found.append((start, end, self.text[start:end]))
-        for term in terms:
-            if not term.isascii():
+        for term in () if self.text.isascii() else terms:
+            if not term.isascii() and term in self.text:
                 found += [(m.start(), m.end(), term) for m in re.finditer(re.escape(term), self.text)]
         kept = []
         for start, end, term in sorted(found, key=lambda f: (f[0] - f[1], f[0])):
@@ -148,11 +148,16 @@ class Lexicon:
         self.forms, self.real = forms or {}, real or set()
         self.longest = max((len(t.split()) for t in self.terms), default=1)
         self.vocabulary = sorted({w for t in [*self.terms, *CUES] for w in t.split() if w.isascii()} | STOP)
-        self.known = set(self.vocabulary)
+        self.known = {w: w for w in self.vocabulary}  # and every word that was looked up
 
     def repair(self, words: list[str]) -> tuple[list[str], dict[str, str]]:
         """Words with misspelt ones replaced, and what was."""
-        out = [w if w in self.known else closest(w, self.vocabulary, self.real) for w in words]
+        if len(self.known) > 200_000:
+            self.known = {w: w for w in self.vocabulary}
+        for w in words:
+            if w not in self.known:
+                self.known[w] = closest(w, self.vocabulary, self.real)
+        out = [self.known[w] for w in words]
         return out, {w: c for w, c in zip(words, out) if w != c}
 
     def find(self, words: list[str]) -> tuple[_Text, list[Hit]]:
