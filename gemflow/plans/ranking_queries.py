@@ -122,7 +122,7 @@ def detail(spark, sf_dir):
 
 @query("prj_front", "SELECT uid, coalesce(nullif(front_view, ''), variants[len(variants)], 'none') AS front, {'c': category, 'n': len(metals)}.c AS c FROM designs")
 def front(spark, sf_dir):
-    """PRJ-03, PRJ-05: the recorded view, else the last one."""
+    """PRJ-05: the recorded view, else the last one."""
     last = F.when(F.size("variants") > 0, F.element_at("variants", -1))
     return designs(spark, sf_dir).select("uid", F.coalesce(F.nullif("front_view", F.lit("")), last, F.lit("none")).alias("front"), F.struct(F.col("category").alias("c"), F.size("metals").alias("n"))["c"].alias("c"))
 
@@ -263,7 +263,7 @@ def colour_probability(spark, sf_dir):
        SELECT fid, round(max(list_cosine_similarity(e.v, f.v)), 6) AS best, max(list_cosine_similarity(e.v, f.v)) >= 0.3 AS passes FROM f JOIN e ON e.label = f.label AND e.vec_id <> fid GROUP BY fid""",
 )
 def fidelity(spark, sf_dir):
-    """VEC-30, JOIN-27: best cosine to one's own pictures against a threshold."""
+    """VEC-30: best cosine to one's own pictures against a threshold."""
     items = read_table(spark, sf_dir, "embeddings")
     pairs = scoring.pair_scores(items, items.where("vec_id % 50 = 0"), "vec_id", "embedding", "label", same_label=True, reduce="max")
     return pairs.select(F.col("query").alias("fid"), F.round("score", 6).alias("best"), (F.col("score") >= 0.3).alias("passes"))
@@ -347,6 +347,46 @@ def slate(spark, sf_dir):
     return rerank.slate(v.dropDuplicates(["user_id", "item", "kind"]))
 
 
+@query("ql_recommend")
+def recommend(spark, sf_dir):
+    """QL-11, WIN-12: five suggestions per user: what they looked for last, what their scores favour, what is popular and not looked for yet."""
+    scored = recommender_score(spark, sf_dir)
+    meaning = F.concat_ws("/", "category", "metal")
+    # the order of a user's own meanings by score stands for their kinds: the first two are recent ones
+    own = scored.select("user_id", meaning.alias("meaning"), F.col("category").alias("type"), "score", F.row_number().over(Window.partitionBy("user_id").orderBy(F.col("score").desc(), meaning)).alias("r"))
+    own = own.withColumn("kind", F.when(F.col("r") <= 2, "recent").otherwise("for_you"))
+    top = scored.groupBy(meaning.alias("meaning"), F.col("category").alias("type")).agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "meaning").limit(10)  # ten meanings
+    users = scored.select("user_id").distinct()
+    popular = users.crossJoin(F.broadcast(top)).join(own.select("user_id", "meaning"), ["user_id", "meaning"], "left_anti").select("user_id", "meaning", "type", F.lit(0.3).alias("score"), F.lit("popular").alias("kind"))
+    rows = own.select("user_id", "meaning", "type", "score", "kind").unionByName(popular)
+    vec = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: (F.pmod(F.xxhash64("type", i), F.lit(2)) * 2 - 1).cast("double"))
+    return rerank.slate(rows.withColumn("item", F.xxhash64("meaning")).withColumn("vec", vec))
+
+
+@query(
+    "prj_explain",
+    """WITH s AS (SELECT id, any_value(query) AS query, any_value(understood) AS u FROM search_history GROUP BY id)
+       SELECT id, query AS raw, u.category AS category, u.metal AS metal, u.shape AS shape, coalesce(array_to_string(u.intents, '+'), '') AS intents, coalesce(len(u.intents), 0) AS n_intents, u.refused.reason AS refused FROM s""",
+)
+def explain(spark, sf_dir):
+    """PRJ-03: what a search was understood as."""
+    s = read_table(spark, sf_dir, "search_history").select("id", "query", "understood").dropDuplicates(["id"])
+    intents = F.coalesce("understood.intents", F.array().cast("array<string>"))
+    return s.select("id", F.col("query").alias("raw"), "understood.category", "understood.metal", "understood.shape", F.array_join(intents, "+").alias("intents"), F.size(intents).cast("long").alias("n_intents"), F.col("understood.refused.reason").alias("refused"))
+
+
+@query(
+    "join_view_max",
+    """WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), views AS (SELECT vec_id, label, v FROM e WHERE vec_id % 50 = 0)
+       SELECT e.vec_id AS product, round(max(list_cosine_similarity(e.v, w.v)), 6) AS best FROM e JOIN views w ON w.label = e.label AND w.vec_id <> e.vec_id GROUP BY e.vec_id""",
+)
+def view_max(spark, sf_dir):
+    """JOIN-27: views of designs against all products of the label, the best view per product."""
+    e = read_table(spark, sf_dir, "embeddings")
+    best = scoring.pair_scores(e.where("vec_id % 50 = 0"), e, "vec_id", "embedding", "label", same_label=True, reduce="max")
+    return best.select(F.col("query").alias("product"), F.round("score", 6).alias("best"))
+
+
 @query("ql_count_shown", "SELECT category, count(*) FILTER (list_contains(metals, 'rose_gold')) AS n, CASE WHEN count(*) FILTER (list_contains(metals, 'rose_gold')) <= 0.9 * count(*) THEN true ELSE false END AS shown FROM designs GROUP BY category")
 def count_shown(spark, sf_dir):
     """QL-09, QL-10: a refinement's count, shown only where it narrows."""
