@@ -45,6 +45,17 @@ def update_if_unchanged(stored: DataFrame, changes: DataFrame, key: str, version
     return table, refused
 
 
+def common_rows(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Distinct rows of ``a`` that ``b`` has too, nulls equal to nulls; columns meet by place and are named as in ``a``.
+
+    One aggregate over both, combined map-side: a join would leave it to an estimate from file sizes whether all rows of
+    a side, exploded ones too, are sent to the driver.
+    """
+    side = lambda df, i: df.toDF(*a.columns).withColumn("_side", F.lit(i))
+    held = side(a, 0).union(side(b, 1)).groupBy(*a.columns).agg(F.min("_side").alias("_min"), F.max("_side").alias("_max"))
+    return held.where("_min = 0 AND _max = 1").select(*a.columns)
+
+
 def best_match(left: DataFrame, right: DataFrame, on: str, rank: Column, order: Sequence[Column], keep: str) -> DataFrame:
     """Left rows with the best right row of the same key: smallest non-null ``rank``, then ``order``; without one, nulls."""
     joined = left.join(right, on, "left").withColumn("_rank", rank)

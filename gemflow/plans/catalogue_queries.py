@@ -603,7 +603,7 @@ def difference(spark, sf_dir):
 def intersection(spark, sf_dir):
     """SET-04, extra: designs both kept and shown."""
     shown = read_table(spark, sf_dir, "search_history").select(F.explode("result_uids").alias("uid"))
-    return read_table(spark, sf_dir, "favorites").select(F.col("design_uid").alias("uid")).intersect(shown)
+    return R.common_rows(read_table(spark, sf_dir, "favorites").select(F.col("design_uid").alias("uid")), shown)
 
 
 @query(

@@ -7,6 +7,7 @@ from gemflow.functions import vectors as V
 from gemflow.operators import behaviour, filters, relational, rerank, scoring
 from gemflow.operators.components import connected_components
 from gemflow.operators.prefix import running_sum
+from gemflow.plans import catalogue_queries
 
 
 @pytest.mark.parametrize("broadcast", [500_000, 0])
@@ -23,6 +24,14 @@ def test_running_sum_equals_a_window(spark, monkeypatch, broadcast):
     assert running_sum(df.limit(0), ["g"], ["id"], "v", "before").count() == 0
 
 
+def test_intersection_sends_no_side_to_the_driver(spark, tmp_path):
+    spark.createDataFrame([(1,), (1,), (2,), (None,), (5,)], "design_uid int").write.parquet(f"{tmp_path}/favorites.parquet")
+    spark.createDataFrame([([1, 1, 3],), ([None, 5],), ([],), (None,)], "result_uids array<int>").write.parquet(f"{tmp_path}/search_history.parquet")
+    got = catalogue_queries.intersection(spark, str(tmp_path))
+    assert sorted((r.uid for r in got.collect()), key=str) == [1, 5, None] and got.dtypes == [("uid", "int")]
+    assert "Broadcast" not in got._jdf.queryExecution().toString()
+
+
 def test_components_of_paths_stars_and_loops(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 20)] + [(5, 5), (None, 3), (201, 200), (200, 201)]
     got = {r.id: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
