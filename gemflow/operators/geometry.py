@@ -17,27 +17,28 @@ def boxes(rows: DataFrame, key: str, open_: Column | None = None) -> DataFrame:
     return rows.select(key, F.inline(shown))
 
 
-def _volume(origin: Column) -> Column:
-    """Sum of the signed volumes of the triangles' tetrahedra with a common tip."""
-    p, q, r = ([F.col(c)[i] - origin[i] for i in range(3)] for c in "abc")
-    cross = [q[1] * r[2] - q[2] * r[1], q[2] * r[0] - q[0] * r[2], q[0] * r[1] - q[1] * r[0]]
-    return F.sum((p[0] * cross[0] + p[1] * cross[1] + p[2] * cross[2]) / 6)
-
-
 def closed_volumes(triangles: DataFrame, key: str, off: float = 0.02) -> DataFrame:
     """(key, volume) of meshes given as triangles (key, a, b, c); null where the surface is open.
 
     A closed surface has the same signed volume from every point; one from which two points see volumes apart by more
-    than ``off`` is open. Sums are combined map-side, so a mesh with most triangles is no hot group.
+    than ``off`` is open. The volume seen from a point o is that from zero less o times the sum of the triangles' normals,
+    so one aggregate, combined map-side, has both points' volumes: a mesh with most triangles is no hot group, and meshes
+    are joined to nothing. Normals are of edges, so a mesh far from zero keeps the digits its corners have.
     """
     corner = lambda f, i: f(*[F.col(c)[i] for c in "abc"])
-    bounds = triangles.groupBy(key).agg(
-        F.array(*[F.min(corner(F.least, i)) for i in range(3)]).alias("low"), F.array(*[F.max(corner(F.greatest, i)) for i in range(3)]).alias("high"))
-    seen = triangles.join(bounds, key)
-    far = F.transform(F.arrays_zip("low", "high"), lambda z: z["high"] * 2 - z["low"])
-    sums = seen.withColumn("far", far).groupBy(key).agg(_volume(F.col("low")).alias("v0"), _volume(F.col("far")).alias("v1"))
+    p, q, r = ([F.col(c)[i] for i in range(3)] for c in "abc")
+    u, v = ([x[i] - p[i] for i in range(3)] for x in (q, r))
+    normal = [u[1] * v[2] - u[2] * v[1], u[2] * v[0] - u[0] * v[2], u[0] * v[1] - u[1] * v[0]]
+    volume = p[0] * normal[0] + p[1] * normal[1] + p[2] * normal[2]  # null where a number is missing; such a triangle adds nothing
+    sums = triangles.where(F.col(key).isNotNull()).groupBy(key).agg(
+        F.sum(volume).alias("v"), *[F.sum(F.when(volume.isNotNull(), normal[i])).alias(f"n{i}") for i in range(3)],
+        *[F.min(corner(F.least, i)).alias(f"low{i}") for i in range(3)], *[F.max(corner(F.greatest, i)).alias(f"high{i}") for i in range(3)],
+    )
+    seen = lambda o: (F.col("v") - (o[0] * F.col("n0") + o[1] * F.col("n1") + o[2] * F.col("n2"))) / 6
+    low = [F.col(f"low{i}") for i in range(3)]
+    both = sums.select(key, seen(low).alias("v0"), seen([F.col(f"high{i}") * 2 - low[i] for i in range(3)]).alias("v1"))
     closed = F.abs(F.col("v0") - F.col("v1")) <= off * F.greatest(F.abs("v0"), F.lit(1e-12))
-    return sums.select(key, F.when(closed, F.abs("v0")).alias("volume"))
+    return both.select(key, F.when(closed, F.abs("v0")).alias("volume"))
 
 
 def shape_gap(a, b) -> Column:

@@ -16,6 +16,16 @@ def test_volumes_of_closed_and_open_meshes(spark):
     assert geometry.closed_volumes(geometry.boxes(rows.limit(0), "id"), "id").count() == 0
 
 
+def test_volumes_send_no_side_to_the_driver(spark):
+    rows = spark.createDataFrame([(1, 1.0, 2.0, 3.0), (2, 2.0, 2.0, 2.0), (3, 4.0, 1.0, 0.5), (None, 1.0, 1.0, 1.0)], "id int, x double, y double, z double")
+    moved = geometry.boxes(rows, "id", open_=F.col("id") == 2).select("id", *[F.transform(c, lambda x: x + 1e7).alias(c) for c in "abc"])
+    broken = spark.createDataFrame([(1, [5e7, None, 1.0], [1e7] * 3, [1e7] * 3), (4, [None, 0.0, 0.0], [1.0] * 3, [2.0] * 3)], "id int, a array<double>, b array<double>, c array<double>")
+    volumes = geometry.closed_volumes(moved.union(broken), "id")
+    got = {r.id: r.volume for r in volumes.collect()}
+    assert got.keys() == {1, 2, 3, 4} and got[1] == pytest.approx(6.0) and got[2] is None and got[3] == pytest.approx(2.0) and got[4] is None
+    assert "Join" not in volumes._jdf.queryExecution().toString()
+
+
 def test_mask_figures(spark):
     m = np.zeros((4, 4), dtype=bool)
     m[1, 0] = m[1, 3] = m[2, 3] = True
