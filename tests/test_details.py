@@ -53,6 +53,39 @@ def test_prompts_of_pages(spark):
     assert {r.id: r.prompt for r in phrases.page_prompts(df, "id", "texts").collect()} == {1: "oval diamond rings", 2: None, 3: None}
 
 
+def test_searches_that_ask_the_same_are_one_and_rounds_agree(spark, monkeypatch):
+    from gemflow.operators import search
+
+    rng = np.random.default_rng(6)
+    x, q = rng.normal(size=(90, 4)), rng.normal(size=(5, 4))
+    di = spark.createDataFrame([(i, f"k{i % 2}", [f"t{i % 9}"], [i % 3 / 3], x[i].tolist()) for i in range(90)], "item long, kind string, tags array<string>, bonus array<double>, a array<double>")
+    dq = spark.createDataFrame([(j, ["k0"], "t2" if j % 2 else None, [0.5], q[j % 5].tolist()) for j in range(200)], "query long, kinds array<string>, tag string, weights array<double>, a array<double>")
+    found, members = search.search_classes(di, dq, {"a": 1.0}, k=6, unit=False)
+    assert members.count() == 200 and found.select("class").distinct().count() == 10
+    want = {}
+    for r in search.for_all(found, members).collect():
+        want.setdefault(r.query, {})[r["rank"]] = (r["item"], r.score, r.n, r.relaxed)
+    for j in range(200):
+        tag = np.array([i % 2 == 0 and (j % 2 == 0 or i % 9 == 2) for i in range(90)])
+        mask = tag if tag.sum() >= 6 else np.arange(90) % 2 == 0
+        s = x @ q[j % 5]
+        total = np.round((s - s[mask].mean()) / (s[mask].std() + 1e-9) + 0.5 * (np.arange(90) % 3 / 3), 6)
+        best = sorted(np.flatnonzero(mask), key=lambda i: (-total[i], i))[:6]
+        assert [want[j][r][0] for r in range(1, 7)] == best and want[j][1][2:] == (int(mask.sum()), bool(tag.sum() < 6))
+    monkeypatch.setattr(search, "ROUND", 3)
+    again = {}
+    for r in search.fused_search(di, dq, {"a": 1.0}, k=6, unit=False).collect():
+        again.setdefault(r.query, {})[r["rank"]] = (r["item"], r.score, r.n, r.relaxed)
+    assert again == want
+
+
+def test_text_searches_shuffle_no_photo_for_each_block_of_searches(spark):
+    from gemflow.plans import search_queries
+
+    plan = search_queries.text_search(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "FlatMapCoGroups" not in plan and "MapInPandas" in plan
+
+
 def test_fused_search_equals_numpy(spark, monkeypatch):
     from gemflow.operators import search
 
