@@ -52,6 +52,22 @@ def test_pair_scores_equal_numpy(spark):
     assert {(r.query, r["item"]) for r in top} == {(q, int(i)) for q in range(4) for i in sorted(set(range(60)) - {q}, key=lambda i: -u[q] @ u[i])[:3]}
 
 
+@pytest.mark.parametrize("round_", [65_536, 70])
+def test_close_pairs_equal_all_pairs_and_shuffle_no_blocks(spark, monkeypatch, round_):
+    monkeypatch.setattr(scoring, "ROUND", round_)
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(150, 24))
+    x = np.vstack([base, base[:60] + rng.normal(scale=0.12, size=(60, 24)), base[20:40] + rng.normal(scale=0.08, size=(20, 24))])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    pairs = scoring.close_pairs(spark.createDataFrame([(i, u[i].tolist()) for i in range(len(u))], "id long, v array<double>"), "id", "v", 0.99, size=16)
+    s = u @ u.T
+    want = {(i, j) for i in range(len(u)) for j in range(i + 1, len(u)) if s[i, j] >= 0.99}
+    rows = pairs.collect()
+    assert {(r.a, r.b) for r in rows} == want and len(rows) == len(want) > 20
+    assert all(abs(r.score - s[r.a, r.b]) < 1e-12 for r in rows)
+    assert "FlatMapGroupsInPandas" not in pairs._jdf.queryExecution().toString() and "MapInPandas" not in pairs._jdf.queryExecution().toString()
+
+
 def test_close_pairs_lose_none(spark):
     rng = np.random.default_rng(2)
     base = rng.normal(size=(40, 8))
