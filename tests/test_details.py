@@ -86,6 +86,16 @@ def test_text_searches_shuffle_no_photo_for_each_block_of_searches(spark):
     assert "FlatMapCoGroups" not in plan and "MapInPandas" in plan
 
 
+def test_pages_are_laid_once_for_searches_that_ask_the_same(spark, monkeypatch):
+    from gemflow.plans import search_queries
+
+    laid = []
+    diversify = search_queries.rerank.diversify
+    monkeypatch.setattr(search_queries.rerank, "diversify", lambda pool, **given: laid.append(pool) or diversify(pool, **given))
+    pages = search_queries.text_search_page(spark, "/root/testdata/sf0.01").select("query").distinct().count()
+    assert 0 < laid[0].select("query").distinct().count() < pages
+
+
 def test_fused_search_equals_numpy(spark, monkeypatch):
     from gemflow.operators import search
 
